@@ -25,12 +25,13 @@ names = base._mapped(NAMES_SQL)
 raw_members = base._mapped(RAW_SQL)
 
 
-def classified(s, d):
-    return committees.with_subsector(base.labelled(s, d), overrides(s, d), industry_map(s, d))
+def classified(s, d, rows=None):
+    rows = base.labelled(s, d) if rows is None else rows
+    return committees.with_subsector(rows, overrides(s, d), industry_map(s, d))
 
 
-def relevant(s, d):
-    return committees.flag_committee(classified(s, d), base.members(s, d), coverage(s, d), names(s, d))
+def relevant(s, d, rows=None):
+    return committees.flag_committee(classified(s, d, rows), base.members(s, d), coverage(s, d), names(s, d))
 
 
 def corrected(s, d):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("scoring", "committees")
+MODULES = ("scoring", "committees", "signals", "quotes")
 
 
 def _merge(attr: str) -> dict:

@@ -9,6 +9,7 @@ from catalog.base import CTES, with_ctes
 from filingscope.functions.rounding import stable_round
 from filingscope.operators import barriers, flags, prices
 from filingscope.plans import grid, reports, scoring
+from filingscope.session import materialize
 
 # Thresholds that populate the basket groups on the test tables (defaults are 10 and 20).
 BASKET_TD, BASKET_DD = 5, 3
@@ -16,26 +17,37 @@ PARAMS = scoring.ScoreParams(basket_trade=BASKET_TD, basket_disclosure=BASKET_DD
 PAIRS = [(5.0, 10.0), (10.0, 10.0), (10.0, 20.0), (15.0, 5.0)]
 
 
-def repeated(spark, d):
-    """All labelled buys with the repeat flag (0 outside the qualifying set)."""
-    trades = base.trades(spark, d)
-    rows = base.labelled(spark, d)
+def repeat_column(rows, trades):
+    """Labelled buys with the repeat flag (0 outside the qualifying set)."""
     pool = flags.exclude_baskets(flags.qualifying_buys(rows), trades, None, BASKET_TD, BASKET_DD)
     repeats = flags.flag_repeats(pool).filter("repeat_before_close = 1").select("trade_id", "repeat_before_close")
     return rows.join(repeats, "trade_id", "left").withColumn("repeat_before_close", F.coalesce("repeat_before_close", F.lit(0)))
 
 
-def published(spark, d):
-    trades = base.trades(spark, d)
-    scores = scoring.score_by_asset(repeated(spark, d), trades, PARAMS)
-    return scoring.publish_scores(base.filers(spark, d), scores)
+def repeated(spark, d, rows=None):
+    rows = materialize(base.labelled(spark, d)) if rows is None else rows
+    return repeat_column(rows, base.trades(spark, d))
 
 
-def relevant(spark, d):
+def scores(spark, d, rows=None):
+    return scoring.score_by_asset(materialize(repeated(spark, d, rows)), base.trades(spark, d), PARAMS)
+
+
+def published(spark, d, rows=None):
+    return scoring.publish_scores(base.filers(spark, d), scores(spark, d, rows))
+
+
+def relevant(spark, d, rows=None):
     """Labelled buys with committee relevance (see catalog.committees)."""
     from catalog import committees
 
-    return committees.relevant(spark, d)
+    return committees.relevant(spark, d, rows)
+
+
+def leaders(s, d):
+    rows = materialize(base.labelled(s, d))
+    return reports.leaderboard(
+        published(s, d, rows), scoring.filing_stats(relevant(s, d, rows)), scoring.late_filings(base.trades(s, d)), base.trades(s, d))
 
 
 QUERIES = {
@@ -66,13 +78,13 @@ QUERIES = {
     "score_dedup": lambda s, d: scoring.collapse_filings(flags.qualifying_buys(base.labelled(s, d))).select(
         "filer_id", "ticker", "disclosure_date", "trade_id", "size_midpoint", stable_round("max_drawdown_disc", 4).alias("max_drawdown_disc"), "outcome"),
     "filer_score": lambda s, d: scoring.score_filers(scoring.scoreable(repeated(s, d), base.trades(s, d), ["stock"], PARAMS), PARAMS),
-    "score_split": lambda s, d: scoring.score_by_asset(repeated(s, d), base.trades(s, d), PARAMS).select(
+    "score_split": lambda s, d: scores(s, d).select(
         "filer_id", "score", "win_rate", "total_trades", "score_etf", "win_rate_etf", "etf_trade_count"),
     "score_publish": lambda s, d: published(s, d).select("filer_id", "name", "score", "avg_dd", "large_trade_wr", "score_etf"),
     "filing_stats": lambda s, d: scoring.filing_stats(relevant(s, d)),
     "late_filings": lambda s, d: scoring.late_filings(base.trades(s, d)),
     "outcome_totals": lambda s, d: scoring.outcome_totals(
-        base.filers(s, d), scoring.score_by_asset(repeated(s, d), base.trades(s, d), PARAMS),
+        base.filers(s, d), scores(s, d),
         flags.qualifying_buys(base.labelled(s, d), exclude_repeats=False)),
     "leaderboard": lambda s, d: leaders(s, d),
 }
@@ -82,10 +94,6 @@ def dual(s, d):
     return barriers.label_both_anchors(base.buys(s, d), base.prices(s, d), horizon_days=base.HORIZON)
 
 
-def leaders(s, d):
-    return reports.leaderboard(published(s, d), scoring.filing_stats(relevant(s, d)), scoring.late_filings(base.trades(s, d)), base.trades(s, d))
-
-
 # ---------------------------------------------------------------------------------------------
 
 CTES["open_paths"] = (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,19 +26,22 @@ def build_session(app: str = "filingscope", master: str | None = None, **conf: s
     return builder.getOrCreate()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage on reliable storage.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder all executors can reach; a scratch folder only in local mode without a setting."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="filingscope-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
-    The folder comes from ``spark.checkpoint.dir``; a scratch folder is used only when the
-    session names none and runs in local mode (tests).
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write an intermediate used by several consumers once, as a table in the shared folder.
+
+    Unlike an RDD checkpoint the result keeps column pruning, filter pushdown and size statistics.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            shared = tempfile.mkdtemp(prefix="filingscope-ckpt-")
-        sc.setCheckpointDir(shared)
-    return df.checkpoint()
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/filingscope/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
