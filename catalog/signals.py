@@ -19,7 +19,12 @@ CLUSTERS, MOVES = [2, 3, 4], [10.0, 15.0]
 
 
 def pool(s, d, rows=None):
-    return flags.qualifying_buys(base.labelled(s, d) if rows is None else rows)
+    return flags.qualifying_buys(table(s, d) if rows is None else rows)
+
+
+def table(s, d):
+    """The labelled buys as a written table: most operators below read their input more than once."""
+    return materialize(base.labelled(s, d))
 
 
 def measured(s, d):
@@ -65,7 +70,7 @@ def runs(s, d):
 QUERIES = {
     "cluster_dd": lambda s, d: clusters.cluster_count(pool(s, d)).select("trade_id", "cluster_count"),
     "cluster_td": lambda s, d: clusters.cluster_count_td(pool(s, d)).select("trade_id", "cluster_count_td"),
-    "cluster_winrate": lambda s, d: clusters.cluster_winrate(clusters.cluster_count_td(pool(s, d, materialize(base.labelled(s, d))))),
+    "cluster_winrate": lambda s, d: clusters.cluster_winrate(clusters.cluster_count_td(pool(s, d))),
     "value_distribution": lambda s, d: reports.distribution(clusters.cluster_count(pool(s, d)), "cluster_count", 10),
     "signal_flag": lambda s, d: measured(s, d).select("trade_id", "signal_flag"),
     "new_signals": lambda s, d: announce(s, d).select("trade_id", "ticker", "name", "disclosure_date", "cluster_count_td", "abs_pct_move_before_disclosure", "report"),
@@ -74,12 +79,12 @@ QUERIES = {
     "order_levels": lambda s, d: flags.with_order_levels(base.labelled(s, d)).select("trade_id", "stop_price", "target_price", "limit_price"),
     "execution_filter": lambda s, d: flags.executable(measured(s, d)).select("trade_id", "signal_flag", "basket_day"),
     "gap_buckets": lambda s, d: reports.gap_analysis(base.labelled(s, d), skip=2.0),
-    "repeat_features": lambda s, d: features.repeat_features(base.labelled(s, d)),
+    "repeat_features": lambda s, d: features.repeat_features(table(s, d)),
     "pit_recency": lambda s, d: features.pit_recency(base.buys(s, d)),
     "pit_concentration": lambda s, d: features.pit_concentration(base.buys(s, d)),
-    "pit_quality": lambda s, d: features.pit_quality(scoring_queries.repeated(s, d)),
-    "pit_performance": lambda s, d: features.pit_performance(base.labelled(s, d)),
-    "pit_performance_exit": lambda s, d: features.pit_performance(base.labelled(s, d), resolved="exited", as_of_exit=True),
+    "pit_quality": lambda s, d: features.pit_quality(materialize(scoring_queries.repeated(s, d))),
+    "pit_performance": lambda s, d: features.pit_performance(table(s, d)),
+    "pit_performance_exit": lambda s, d: features.pit_performance(table(s, d), resolved="exited", as_of_exit=True),
     "routine_buyer": lambda s, d: features.routine_buyers(base.buys(s, d)),
     "repeat_buckets": lambda s, d: repeat_buckets(s, d),
     "latest_per_filer": lambda s, d: latest(s, d),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -62,16 +63,23 @@ def parse_amount(col: Column) -> Column:
     text = F.trim(F.lower(F.regexp_replace(col, "[$,]", "")))
     whole = lambda s: F.when(s != "", s).try_cast("bigint")
     over = whole(F.regexp_extract(text, r"(\d+)", 1))
-    parts = F.filter(
-        F.transform(F.split(text, "[-–to]+"), lambda p: F.regexp_replace(p, r"\D", "")), lambda p: p != ""
-    )
-    first, second = whole(F.try_element_at(parts, F.lit(1))), whole(F.try_element_at(parts, F.lit(2)))
+    # Only digits and separators matter: the first two runs of digits between separators.
+    runs = F.regexp_replace(text, "[^0-9to–-]", "")
+    first = whole(F.regexp_extract(runs, "^[to–-]*([0-9]+)", 1))
+    second = whole(F.regexp_extract(runs, "^[to–-]*[0-9]+[to–-]+([0-9]+)", 1))
     is_over = text.startswith("over")
     low = F.when(is_over, over).otherwise(first)
     high = F.when(is_over, over).otherwise(F.coalesce(second, first))
     return _size(low, high)
 
 
+def _shape(fmt: str) -> str:
+    """Regular expression of a format's outline, so that parsing is only tried where it can succeed."""
+    for token, pattern in (("yyyy", r"\d{4}"), ("MMM", "[A-Za-z]{3}"), ("M", r"\d{1,2}"), ("d", r"\d{1,2}"), (" ", r"\s+")):
+        fmt = re.sub(rf"(?<![A-Za-z\\]){token}(?![A-Za-z])" if token != " " else " ", lambda _: pattern, fmt)
+    return f"^{fmt}$"
+
+
 def parse_date(col: Column, formats: Sequence[str] = API_DATE_FORMATS, as_of: Column | None = None) -> Column:
     """First matching format wins, junk gives NULL.
 
@@ -82,7 +90,7 @@ def parse_date(col: Column, formats: Sequence[str] = API_DATE_FORMATS, as_of: Co
         text = F.trim(F.regexp_replace(text, r"^\d{1,2}:\d{2}\s*", ""))
         text = F.regexp_replace(text, r"([A-Za-z]{3})(\d{4})", "$1 $2")
         text = F.regexp_replace(text, r"(\d{1,2})([A-Za-z])", "$1 $2")
-    parsed = F.coalesce(*[F.try_to_date(text, f) for f in formats])
+    parsed = F.coalesce(*[F.when(text.rlike(_shape(f)), F.try_to_date(text, f)) for f in formats])
     if as_of is None:
         return parsed
     word = F.lower(col)

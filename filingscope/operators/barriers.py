@@ -8,7 +8,6 @@ does not grow with the number of trades that share an anchor.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,46 +50,82 @@ def _summarise(
     )
 
 
-def _open_ended_candidates(
+def _open_ended(
     anchors: DataFrame, indexed: DataFrame, stops: Sequence[float], targets: Sequence[float],
 ) -> DataFrame:
-    """Path rows that can decide an anchor when paths have no end.
+    """First touches when paths have no end.
 
-    Price days are summarised in blocks of ``BLOCK_DAYS``.  Whole blocks are compared first; only
-    the head block and the first touching block of each barrier are opened into days, the blocks
-    between them stay one row each (their minimum still counts for the drawdown).
+    Price days are summarised in blocks of ``BLOCK_DAYS`` and a symbol's blocks form one short
+    array.  Each anchor finds the first touching block of every barrier in that array; only its
+    head block and those blocks are opened, each as one array of at most ``BLOCK_DAYS`` days.  The blocks skipped on the way still count
+    for the drawdown through their minimum.
     """
-    keys = anchors.columns
-    px = indexed.withColumn("blk", F.floor(F.col("idx") / BLOCK_DAYS))
-    ok = _valid()
-    blocks = px.groupBy("symbol", "blk").agg(
-        F.min(F.when(ok, F.col("low"))).alias("low"), F.max(F.when(ok, F.col("high"))).alias("high"),
-        F.max("idx").alias("idx"), F.max("date").alias("date"),
-    ).withColumnRenamed("symbol", "b_symbol")
-    head = F.floor((F.col("start_idx") + 1) / BLOCK_DAYS)
-    spans = anchors.join(
-        blocks, (F.col("symbol") == F.col("b_symbol")) & (F.col("blk") >= head), "left"
-    ).drop("b_symbol")
-    whole = Window.partitionBy(*keys)
-    later = F.col("blk") > head
-    tests = [_hits_stop("low", s) for s in stops] + [_hits_target("high", t) for t in targets]
-    firsts = []
-    for i, test in enumerate(tests):
-        spans = spans.withColumn(f"first_{i}", F.min(F.when(later & test, F.col("blk"))).over(whole))
-        firsts.append(F.col(f"first_{i}"))
-    opened = reduce(lambda a, b: a | b, [F.coalesce(F.col("blk") == f, F.lit(False)) for f in firsts], F.col("blk") == head)
-    spans = spans.withColumn("opened", opened).drop(*[f"first_{i}" for i in range(len(tests))])
-    kept = spans.filter("opened IS NULL OR NOT opened").select(*keys, "idx", "date", "high", "low")
-    days = (
-        spans.filter("opened").select(*keys, "blk")
-        .join(px.select("symbol", "blk", "idx", "date", "high", "low"), ["symbol", "blk"])
-        .filter(F.col("idx") > F.col("start_idx")).select(*keys, "idx", "date", "high", "low")
+    px = indexed.withColumn("blk", F.floor(F.col("idx") / BLOCK_DAYS).cast("int"))
+    blocks = (
+        px.filter(_valid()).groupBy("symbol", "blk").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        .groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("blk", "low", "high"))).alias("blocks"))
     )
-    bare = anchors.select(
-        *keys, F.lit(None).cast("int").alias("idx"), F.lit(None).cast("date").alias("date"),
-        F.lit(None).cast("double").alias("high"), F.lit(None).cast("double").alias("low"),
+    head = F.floor((F.col("start_idx") + 1) / BLOCK_DAYS).cast("int")
+    entry = F.col("entry_price")
+
+    def touches(field: str, pct: float):
+        return (lambda b: b["low"] <= entry * (1 - pct / 100)) if field == "low" else (lambda b: b["high"] >= entry * (1 + pct / 100))
+
+    def before(name: str):
+        return lambda b: b["blk"] < F.col(f"first_{name}")
+
+    tests = [(_tag("stop", s), touches("low", s)) for s in stops] + [(_tag("target", t), touches("high", t)) for t in targets]
+    spans = anchors.join(blocks, "symbol", "left").select(
+        *anchors.columns, head.alias("head"), F.filter("blocks", lambda b: b["blk"] > head).alias("later")
+    )
+    spans = spans.withColumns({
+        f"first_{name}": F.array_min(F.transform(F.filter("later", test), lambda b: b["blk"])) for name, test in tests
+    })
+    lows = lambda cond: F.array_min(F.transform(F.filter("later", cond), lambda b: b["low"]))
+    spans = spans.withColumns({
+        "later_low": lows(lambda b: F.lit(True)),
+        **{f"skip_{name}": lows(before(name)) for name, _ in tests},
+    }).drop("later")
+    keys = [c for c in spans.columns if not c.startswith("first_")]
+    opened = F.array_distinct(F.array_compact(F.array("head", *[f"first_{name}" for name, _ in tests])))
+    packed = px.groupBy(F.col("symbol").alias("p_symbol"), F.col("blk").alias("p_blk")).agg(
+        F.sort_array(F.collect_list(F.struct("idx", "date", "high", "low"))).alias("days")
+    )
+    rows = spans.select(*keys, F.explode_outer(opened).alias("blk")).join(
+        packed, (F.col("symbol") == F.col("p_symbol")) & (F.col("blk") == F.col("p_blk")), "left"
+    ).withColumn("days", F.filter("days", lambda d: d["idx"] > F.col("start_idx")))
+    usable = lambda d: d["high"].isNotNull() & d["low"].isNotNull()
+
+    def first_day(test):
+        return F.array_min(F.transform(F.filter("days", lambda d: usable(d) & test(d)), lambda d: F.struct(d["idx"], d["date"])))
+
+    def low_upto(idx: Column):
+        return F.array_min(F.transform(F.filter("days", lambda d: usable(d) & (d["idx"] <= idx)), lambda d: d["low"]))
+
+    rows = rows.withColumns({f"day_{name}": first_day(test) for name, test in tests})
+    in_head = F.col("blk") == F.col("head")
+    touch = lambda name: F.when(
+        F.col(f"day_{name}").isNotNull(),
+        F.struct(F.col(f"day_{name}.idx"), F.col(f"day_{name}.date"), low_upto(F.col(f"day_{name}.idx")).alias("run_low"), (~in_head).alias("beyond")),
+    )
+    # The day arrays end here: only a few numbers per opened block are shuffled.
+    narrow = rows.select(
+        *keys, *[touch(name).alias(name) for name, _ in tests],
+        F.when(in_head, low_upto(F.lit(2**31 - 1))).alias("head_low"), F.when(in_head, F.size("days")).alias("n_rows"),
+    )
+    found = narrow.groupBy(*keys).agg(
+        *[F.min(name).alias(name) for name, _ in tests], F.min("head_low").alias("head_low"), F.max("n_rows").alias("n_rows")
+    )
+
+    def completed(name: str) -> Column:
+        t = F.col(name)
+        low = F.when(t["beyond"], F.least(t["run_low"], F.col(f"skip_{name}"), F.col("head_low"))).otherwise(t["run_low"])
+        return F.when(t.isNotNull(), F.struct(t["idx"].alias("idx"), t["date"].alias("date"), low.alias("run_low"))).alias(name)
+
+    return found.select(
+        *anchors.columns, *[completed(name) for name, _ in tests], F.least("head_low", "later_low").alias("lowest"),
+        F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
     )
-    return kept.unionByName(days).unionByName(bare)
 
 
 def first_touches(
@@ -99,12 +134,9 @@ def first_touches(
 ) -> DataFrame:
     """Earliest touch of every stop and target for each anchor of ``anchor_entries``."""
     if horizon_days is None:
-        keys = anchors.columns
-        found = _summarise(_open_ended_candidates(anchors, indexed, stops, targets), keys, stops, targets)
-    else:
-        keys = [*anchors.columns, "bucket"]
-        found = _summarise(path_rows(anchors, indexed, horizon_days), keys, stops, targets).drop("bucket")
-    return found
+        return _open_ended(anchors, indexed, stops, targets)
+    keys = [*anchors.columns, "bucket"]
+    return _summarise(path_rows(anchors, indexed, horizon_days), keys, stops, targets).drop("bucket")
 
 
 def decide(touches: DataFrame, stop: float = STOP_PCT, target: float = TARGET_PCT) -> DataFrame:

@@ -192,17 +192,31 @@ def trades_without_paths(trades: DataFrame, paths: DataFrame) -> DataFrame:
 
 
 def nearest_lookup(keys: DataFrame, prices: DataFrame, fwd: int = 5, back: int = 3) -> DataFrame:
-    """Close at (symbol, date), else the nearest later day within ``fwd``, else earlier within ``back``."""
-    offsets = list(range(0, fwd + 1)) + [-d for d in range(1, back + 1)]
-    tries = keys.select("symbol", "date").distinct().select(
-        "symbol", "date", F.posexplode(F.array(*[F.lit(o) for o in offsets])).alias("priority", "offset")
-    ).withColumn("try_date", F.date_add("date", F.col("offset")))
+    """Close at (symbol, date), else the nearest later day within ``fwd``, else earlier within ``back``.
+
+    Every price day also carries the following one, so one as-of pass sees both neighbours.
+    """
+    by_day = Window.partitionBy("symbol").orderBy("date")
     quotes = prices.filter("close IS NOT NULL").select(
-        "symbol", F.col("date").alias("try_date"), F.col("close").alias("quote")
+        "symbol", "date", F.struct(F.col("date").alias("day"), "close").alias("here"),
+        F.lead(F.struct(F.col("date").alias("day"), "close")).over(by_day).alias("ahead"),
+        F.row_number().over(by_day).alias("idx"),
     )
-    return tries.join(quotes, ["symbol", "try_date"]).groupBy("symbol", "date").agg(
-        F.min_by("quote", "priority").alias("close")
+    row = F.struct("date", F.struct("here", "ahead").alias("payload"))
+    none = F.lit(None).cast("struct<day:date,close:double>")
+    before_first = F.struct(
+        F.lit(EPOCH_START).cast("date").alias("date"), F.struct(none.alias("here"), F.col("here").alias("ahead")).alias("payload")
+    )
+    events = quotes.select(
+        "symbol", F.explode(F.when(F.col("idx") == 1, F.array(before_first, row)).otherwise(F.array(row))).alias("e")
+    ).select("symbol", "e.date", "e.payload")
+    here, ahead = F.col("payload.here"), F.col("payload.ahead")
+    close = (
+        F.when(here["day"] == F.col("date"), here["close"])
+        .when(ahead["day"] <= F.date_add("date", fwd), ahead["close"])
+        .when(here["day"] >= F.date_sub("date", back), here["close"])
     )
+    return _carry_forward(keys.select("symbol", "date").distinct(), events).select("symbol", "date", close.alias("close"))
 
 
 def nearest_join(

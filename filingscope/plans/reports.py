@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from filingscope.functions.rounding import stable_round
 from filingscope.operators.barriers import outcome_from_columns
 from filingscope.operators.flags import basket_groups, fetch_ok, is_compliant_buy
+from filingscope.session import materialize
 
 
 def _pct(a: Column, b: Column, digits: int) -> Column:
@@ -71,14 +72,29 @@ def regrid_party(regridded: DataFrame) -> DataFrame:
 
 
 def rank_filers(scores: DataFrame) -> DataFrame:
-    """Rank by score with the previous and next filer.
+    """Rank by score with the previous and next filer, without one global sort task.
 
-    Input is the score table (one row per scored filer), sorted once for all three columns.
+    Rows are range-partitioned and written once; ranks and neighbours come from inside each range,
+    and only one summary row per range (size, first and last name) is combined across ranges.
     """
-    order = Window.orderBy(F.col("score").desc_nulls_last(), "filer_id")
-    return scores.select(
-        "filer_id", "name", "score", F.row_number().over(order).alias("rank"),
-        F.lag("name").over(order).alias("prev_name"), F.lead("name").over(order).alias("next_name"),
+    ranged = materialize(
+        scores.select("filer_id", "name", "score").repartitionByRange(F.col("score").desc_nulls_last(), F.col("filer_id"))
+        .withColumn("part", F.spark_partition_id())
+    )
+    order = [F.col("score").desc_nulls_last(), F.col("filer_id")]
+    inside = Window.partitionBy("part").orderBy(*order)
+    across = Window.orderBy("part")  # one row per range
+    key = F.struct(F.coalesce(-F.col("score"), F.lit(float("inf"))).alias("k"), "filer_id")
+    ranges = ranged.groupBy("part").agg(
+        F.count("*").alias("n"), F.min_by("name", key).alias("first_name"), F.max_by("name", key).alias("last_name")
+    ).select(
+        "part", (F.sum("n").over(across) - F.col("n")).alias("before"),
+        F.lag("last_name").over(across).alias("name_before"), F.lead("first_name").over(across).alias("name_after"),
+    )
+    return ranged.join(ranges, "part").select(
+        "filer_id", "name", "score", (F.col("before") + F.row_number().over(inside)).alias("rank"),
+        F.when(F.row_number().over(inside) == 1, F.col("name_before")).otherwise(F.lag("name").over(inside)).alias("prev_name"),
+        F.coalesce(F.lead("name").over(inside), "name_after").alias("next_name"),
     )
 
 

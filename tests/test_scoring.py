@@ -66,3 +66,11 @@ def test_export_round_trip(rows, spark, tmp_path):
     R.export_leaderboard(df, str(tmp_path / "out"))
     back = spark.read.option("header", True).csv(str(tmp_path / "out"))
     assert back.columns[5] == "Win%" and back.first()[0] == "NAME"
+
+
+def test_rank_across_ranges(rows):
+    data = [(f"f{i:03d}", f"n{i:03d}", float(i % 7) if i % 5 else None) for i in range(200)]
+    out = {r.filer_id: (r.rank, r.prev_name, r.next_name) for r in R.rank_filers(rows("filer_id STRING, name STRING, score DOUBLE", data)).collect()}
+    ranked = sorted(data, key=lambda r: (r[2] is None, -(r[2] or 0.0), r[0]))
+    for i, r in enumerate(ranked):
+        assert out[r[0]] == (i + 1, ranked[i - 1][1] if i else None, ranked[i + 1][1] if i + 1 < len(ranked) else None)
