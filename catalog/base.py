@@ -7,9 +7,9 @@ operators on the Spark side, plain SQL in a different form on the oracle side.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from filingscope.operators.barriers import label_disclosures
+from filingscope.session import materialize
 
 HORIZON = 20
 
@@ -63,9 +63,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a table landed as fewer row groups than cores; larger layouts stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _mapped(text: str):
     names = [t for t in _TABLES if "{" + t + "}" in text]
-    return lambda spark, d: spark.sql(text, **{t: table(spark, d, t) for t in names})
+
+    def build(spark: SparkSession, d: str) -> DataFrame:
+        inputs = {t: table(spark, d, t) for t in names}
+        if "lineitem" in inputs:
+            inputs["lineitem"] = spread(inputs["lineitem"])
+        return spark.sql(text, **inputs)
+
+    return build
 
 
 trades = _mapped(TRADES_SQL)
@@ -78,9 +91,15 @@ def buys(spark: SparkSession, d: str) -> DataFrame:
     return trades(spark, d).filter("transaction_type = 'buy'")
 
 
-def labelled(spark: SparkSession, d: str, horizon: int | None = HORIZON) -> DataFrame:
+def trade_table(spark: SparkSession, d: str) -> DataFrame:
+    """The mapped trades as a written table, for queries that read them several times."""
+    return materialize(trades(spark, d))
+
+
+def labelled(spark: SparkSession, d: str, horizon: int | None = HORIZON, from_trades: DataFrame | None = None) -> DataFrame:
     """All buys with disclosure price and 10/10 labels."""
-    return label_disclosures(buys(spark, d), prices(spark, d), horizon_days=horizon)
+    rows = trades(spark, d) if from_trades is None else from_trades
+    return label_disclosures(rows.filter("transaction_type = 'buy'"), prices(spark, d), horizon_days=horizon)
 
 
 # ---------------------------------------------------------------------------------------------

@@ -19,21 +19,24 @@ SINCE = datetime.date(2001, 3, 1)
 
 def positions(s, d):
     """Collapsed positions with asset class and repeat flag after basket exclusion (all assets)."""
+    trades = base.trade_table(s, d)
     rows = flags.exclude_baskets(
-        flags.qualifying_buys(scoring_queries.repeated(s, d)), base.trades(s, d), None, BASKET_TD, BASKET_DD)
+        flags.qualifying_buys(scoring_queries.repeated(s, d, None, trades)), trades, None, BASKET_TD, BASKET_DD)
     return scoring.collapse_filings(rows, "asset_type", "repeat_before_close")
 
 
 def all_repeated(s, d):
     """Every trade; buys carry price, label and repeat columns."""
-    buys = scoring_queries.repeated(s, d).select(
+    trades = base.trade_table(s, d)
+    buys = scoring_queries.repeated(s, d, None, trades).select(
         "trade_id", "price_at_disclosure_date", "max_drawdown_disc", "days_to_exit_disc", "repeat_before_close")
-    return base.trades(s, d).join(buys, "trade_id", "left")
+    return trades.join(buys, "trade_id", "left")
 
 
 def filtered(s, d):
-    rows = flags.qualifying_buys(scoring_queries.repeated(s, d), ["stock"], exclude_repeats=True)
-    return flags.exclude_baskets(rows, base.trades(s, d), ["stock"], BASKET_TD, BASKET_DD)
+    trades = base.trade_table(s, d)
+    rows = flags.qualifying_buys(scoring_queries.repeated(s, d, None, trades), ["stock"], exclude_repeats=True)
+    return flags.exclude_baskets(rows, trades, ["stock"], BASKET_TD, BASKET_DD)
 
 
 def feed(s, d):

@@ -24,17 +24,24 @@ def repeat_column(rows, trades):
     return rows.join(repeats, "trade_id", "left").withColumn("repeat_before_close", F.coalesce("repeat_before_close", F.lit(0)))
 
 
-def repeated(spark, d, rows=None):
-    rows = materialize(base.labelled(spark, d)) if rows is None else rows
-    return repeat_column(rows, base.trades(spark, d))
+def repeated(spark, d, rows=None, trades=None):
+    trades = base.trade_table(spark, d) if trades is None else trades
+    rows = materialize(base.labelled(spark, d, from_trades=trades)) if rows is None else rows
+    return repeat_column(rows, trades)
 
 
-def scores(spark, d, rows=None):
-    return scoring.score_by_asset(materialize(repeated(spark, d, rows)), base.trades(spark, d), PARAMS)
+def scores(spark, d, rows=None, trades=None):
+    trades = base.trade_table(spark, d) if trades is None else trades
+    return scoring.score_by_asset(materialize(repeated(spark, d, rows, trades)), trades, PARAMS)
 
 
-def published(spark, d, rows=None):
-    return scoring.publish_scores(base.filers(spark, d), scores(spark, d, rows))
+def published(spark, d, rows=None, trades=None):
+    return scoring.publish_scores(base.filers(spark, d), scores(spark, d, rows, trades))
+
+
+def stock_score(s, d):
+    trades = base.trade_table(s, d)
+    return scoring.score_filers(scoring.scoreable(repeated(s, d, None, trades), trades, ["stock"], PARAMS), PARAMS)
 
 
 def relevant(spark, d, rows=None):
@@ -45,9 +52,10 @@ def relevant(spark, d, rows=None):
 
 
 def leaders(s, d):
-    rows = materialize(base.labelled(s, d))
+    trades = base.trade_table(s, d)
+    rows = materialize(base.labelled(s, d, from_trades=trades))
     return reports.leaderboard(
-        published(s, d, rows), scoring.filing_stats(relevant(s, d, rows)), scoring.late_filings(base.trades(s, d)), base.trades(s, d))
+        published(s, d, rows, trades), scoring.filing_stats(relevant(s, d, rows)), scoring.late_filings(trades), trades)
 
 
 QUERIES = {
@@ -77,7 +85,7 @@ QUERIES = {
     "flag_rates": lambda s, d: reports.flag_rates(flags.qualifying_buys(repeated(s, d)), "repeat_before_close"),
     "score_dedup": lambda s, d: scoring.collapse_filings(flags.qualifying_buys(base.labelled(s, d))).select(
         "filer_id", "ticker", "disclosure_date", "trade_id", "size_midpoint", stable_round("max_drawdown_disc", 4).alias("max_drawdown_disc"), "outcome"),
-    "filer_score": lambda s, d: scoring.score_filers(scoring.scoreable(repeated(s, d), base.trades(s, d), ["stock"], PARAMS), PARAMS),
+    "filer_score": stock_score,
     "score_split": lambda s, d: scores(s, d).select(
         "filer_id", "score", "win_rate", "total_trades", "score_etf", "win_rate_etf", "etf_trade_count"),
     "score_publish": lambda s, d: published(s, d).select("filer_id", "name", "score", "avg_dd", "large_trade_wr", "score_etf"),

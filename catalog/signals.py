@@ -29,11 +29,12 @@ def table(s, d):
 
 def measured(s, d):
     """Labelled buys with both cluster counts (compliant priced buys only), moves, basket and signal flags."""
-    rows = materialize(base.labelled(s, d))
+    trades = base.trade_table(s, d)
+    rows = materialize(base.labelled(s, d, from_trades=trades))
     counted = clusters.cluster_count_td(pool(s, d, rows)).select("trade_id", "cluster_count_td")
     rows = rows.join(counted, "trade_id", "left")
     rows = prices.asof_join(rows, base.prices(s, d), "trade_date", out="price_at_trade_date")
-    rows = flags.with_basket_flag(rows, base.trades(s, d), None, scoring_queries.BASKET_TD, scoring_queries.BASKET_DD)
+    rows = flags.with_basket_flag(rows, trades, None, scoring_queries.BASKET_TD, scoring_queries.BASKET_DD)
     return flags.flag_signals(prices.with_pre_disclosure_move(rows))
 
 
