@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from filingscope.llm import decontaminate, jaccard, line_dedup
+from filingscope.llm import decontaminate, jaccard, line_dedup, packing, quality
 from filingscope.llm.store import table
 
 
@@ -13,6 +13,14 @@ def line_dedup_query(spark, d):
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def packing_query(spark, d):
+    return packing.pack(table(spark, d, "documents"))
+
+
+def quality_query(spark, d):
+    return quality.quality_report(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 def jaccard_query(spark, d):
     return jaccard.jaccard_groups(table(spark, d, "documents"), 4, 85)
 
@@ -26,6 +34,8 @@ def decontamination_query(spark, d):
 
 QUERIES = {
     "op1_line_dedup": line_dedup_query,
+    "op4_best_fit_packing": packing_query,
+    "op6_quality_vote": quality_query,
     "op7_jaccard_join": jaccard_query,
     "op8_decontamination": decontamination_query,
 }
