@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from filingscope.llm import decontaminate, jaccard, line_dedup, packing, quality
-from filingscope.llm.store import table
+from filingscope.llm import chat, decontaminate, jaccard, line_dedup, packing, pii, quality, rules, token_count, warc
+from filingscope.llm.store import fresh_folder, table
+
+#: A key for the test tables; a corpus that is published needs one of its own, kept secret.
+SURROGATE_KEY = b"key of the registered query"
 
 
 def line_dedup_query(spark, d):
@@ -13,6 +16,33 @@ def line_dedup_query(spark, d):
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def chat_query(spark, d):
+    text = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.read_back(chat.format_conversations(rows))
+
+
+def rules_query(spark, d):
+    return rules.judged(table(spark, d, "documents"), table(spark, d, "labels")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+def warc_query(spark, d):
+    path = fresh_folder(spark, "warc")
+    warc.write_archives(table(spark, d, "pages"), path)
+    return warc.read_archives(spark, path, with_payload=False).filter("record_type IS NOT NULL OR error IS NOT NULL").select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+
+
+def surrogate_query(spark, d):
+    return pii.with_surrogates(table(spark, d, "documents"), SURROGATE_KEY)
+
+
+def token_count_query(spark, d):
+    return token_count.count_tokens(table(spark, d, "documents"))
+
+
 def packing_query(spark, d):
     return packing.pack(table(spark, d, "documents"))
 
@@ -34,10 +64,43 @@ def decontamination_query(spark, d):
 
 QUERIES = {
     "op1_line_dedup": line_dedup_query,
+    "op2_chat_trees": chat_query,
+    "op3_warc": warc_query,
     "op4_best_fit_packing": packing_query,
+    "op5_surrogates": surrogate_query,
     "op6_quality_vote": quality_query,
     "op7_jaccard_join": jaccard_query,
     "op8_decontamination": decontamination_query,
+    "op9_token_counts": token_count_query,
+    "op10_quality_rules": rules_query,
 }
 
-ORACLES: dict[str, str] = {}
+_MARKED = r"<(?:\||/?s>|<?/?SYS>>|unk>|pad>|bos>|eos>|start_of_turn>|end_of_turn>)|\[/?INST\]"
+
+ORACLES = {
+    "op2_chat_trees": f"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+ e AS (SELECT *, length(text) + length(text) - length(replace(text, chr(92), '')) + len(regexp_extract_all(text, '{_MARKED}'))
+     + length(role) + length(role) - length(replace(role, chr(92), '')) + len(regexp_extract_all(role, '{_MARKED}'))
+     + 5 * (length(role) - length(replace(role, chr(10), ''))) + 17 AS chars FROM r),
+ g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+     coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss, sum(chars) AS chars FROM e GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
+  CAST(chars AS BIGINT) AS formatted_chars FROM g""",
+    "op3_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+ c AS (SELECT html, min(page_id) AS first FROM p WHERE strlen(html) >= 100 GROUP BY html HAVING count(*) > 1)
+SELECT page_id, strlen(p.html) AS payload_bytes, sha256(p.html) AS payload_digest,
+  CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to, CAST(NULL AS VARCHAR) AS error
+FROM p LEFT JOIN c ON c.html = p.html""",
+    "op1_line_dedup": r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+ k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+ s AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+ m AS (SELECT k.*, s.last IS NOT NULL AND s.last <> doc_id AS gone FROM k LEFT JOIN s ON s.key = k.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id""",
+}
