@@ -55,14 +55,19 @@ class Sizes:
         return [(k, self.differ[k] + 1 + spare(k), spare(k)) for k in (c, c - 1) if k > 0 and self.differ[k]]
 
 
-def signatures(grams: np.ndarray, sizes: Sizes) -> np.ndarray:
-    """Signatures of a sorted set.
+def node(digest: int, scheme: int) -> int:
+    """A class under a scheme: families are found scheme by scheme, so that sizes far apart never chain."""
+    return int(mix(np.array([(digest + (scheme << 40)) & (2**64 - 1)], np.uint64)).view(np.int64)[0])
+
+
+def signatures(grams: np.ndarray, sizes: Sizes) -> list[tuple[int, np.ndarray]]:
+    """(scheme, signatures) of a sorted set.
 
     The hash range is cut into more parts than two linked sets can have differences, so that at least ``spare`` + 1
     parts hold the same n-grams in both.  Empty parts are entered only by a set with more than ``spare`` of them, as
     only then all equal parts may be empty ones.
     """
-    out = [np.empty(0, np.uint64)]
+    out = []
     for scheme, parts, spare in sizes.schemes(len(grams)):
         part = ((grams >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
@@ -71,8 +76,8 @@ def signatures(grams: np.ndarray, sizes: Sizes) -> np.ndarray:
         if parts - full > spare:
             empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), ids)
             ids, sums = np.concatenate([ids, empty]), np.concatenate([sums, np.zeros(len(empty), np.uint64)])
-        out.append(mix(sums + mix(ids + np.uint64(scheme << 32))))
-    return np.concatenate(out)
+        out.append((scheme, mix(sums + mix(ids + np.uint64(scheme << 32)))))
+    return out
 
 
 def gram_sets(texts: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -91,12 +96,17 @@ def _digest(grams: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
-def _describe(size: int):
+_FACTS = "doc_id long, n long, d1 long, d2 long, nodes array<long>"
+
+
+def _describe(size: int, percent: int):
     def run(batches):
+        sizes = Sizes(percent)
         for batch in batches:
             rows = [(len(g), *_digest(g)) for _, g in gram_sets(row_text(batch), size)]
             n, a, b = (pa.array([r[k] for r in rows], pa.int64()) for k in range(3))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, a, b], ["doc_id", "n", "d1", "d2"])
+            nodes = pa.array([[node(r[1], s) for s, _, _ in sizes.schemes(r[0])] for r in rows], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, a, b, nodes], ["doc_id", "n", "d1", "d2", "nodes"])
 
     return run
 
@@ -134,10 +144,10 @@ def _enter(size: int, percent: int, blocks: int):
                     continue
                 if len(seen) < 1_000_000:  # memory only: a class entered twice is the same class
                     seen.add(key)
-                s = signatures(grams, sizes)
-                found.append(s)
-                owners.append(np.full(len(s), key[0], np.int64))
-                held += len(s)
+                for scheme, s in signatures(grams, sizes):
+                    found.append(s)
+                    owners.append(np.full(len(s), node(key[0], scheme), np.int64))
+                    held += len(s)
                 if held > 2_000_000:
                     yield from flush()
                     held = 0
@@ -169,8 +179,8 @@ def _sets(size: int):
                 packed.append(g.tobytes())
                 n.append(len(g))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("family"), pa.array(n, pa.int64()), pa.array(packed, pa.binary())],
-                ["doc_id", "family", "n", "grams"])
+                [batch.column("doc_id"), batch.column("families"), pa.array(n, pa.int64()), pa.array(packed, pa.binary())],
+                ["doc_id", "families", "n", "grams"])
 
     return run
 
@@ -263,26 +273,26 @@ def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     Repeated rows and ids are kept as they are; rows that share an id share the id's smallest component.
     """
     docs = docs.select("doc_id", "text")
-    facts = save(docs.mapInArrow(_describe(size), "doc_id long, n long, d1 long, d2 long"), "sets")
+    facts = save(docs.mapInArrow(_describe(size, percent), _FACTS), "sets")
     known = facts.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = known.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
+    classes = known.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.first("nodes").alias("nodes"))
     grams = facts.agg(F.sum("n")).first()[0] or 0
     blocks = max(docs.sparkSession.sparkContext.defaultParallelism, int(grams * 0.4) // BLOCK_SIGNATURES + 1)
     entered = docs.filter("doc_id IS NOT NULL").mapInArrow(_enter(size, percent, blocks), "block int, sigs binary, owners binary")
-    stars = entered.groupBy("block").applyInArrow(_packed(_stars, "a", "b"), "a long, b long")
-    families = save(components(stars, "families"), "family")
-    in_family = families.select(F.col("node").alias("d1"), F.col("root").alias("family")).unionByName(
-        families.select(F.col("root").alias("d1"), F.col("root").alias("family")).distinct())
-    members = save(classes.join(in_family, "d1").select(F.col("rep").alias("doc_id"), "family").distinct(), "members")
-    sets = docs.join(narrow(members), "doc_id").mapInArrow(_sets(size), "doc_id long, family long, n long, grams binary")
-    # A repeated id may carry several texts: each is a row of its own, tied by the id.
-    sets = save(sets, "grams")
+    stars = entered.groupBy("block").applyInArrow(_packed(_stars), "a long, b long")
+    found = components(stars, "families")
+    families = save(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()), "family")
+    members = classes.select("rep", F.explode("nodes").alias("node")).join(families, "node")
+    members = save(members.groupBy(F.col("rep").alias("doc_id")).agg(F.collect_set("root").alias("families")), "members")
+    # A repeated id may carry several texts: each is a row of its own.
+    sets = save(docs.join(narrow(members), "doc_id").mapInArrow(_sets(size), "doc_id long, families array<long>, n long, grams binary"), "grams")
+    sets = sets.withColumn("family", F.explode("families")).drop("families")
     per_family = sets.groupBy("family").agg(F.count("*").alias("rows"), F.sum("n").alias("grams")).filter("rows > 1").withColumn(
         "parts", F.ceil(F.greatest(F.col("rows") / BLOCK_ROWS, F.col("grams") / BLOCK_GRAMS)).cast("int"))
     placed = sets.join(narrow(per_family.select("family", "parts")), "family").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         "family", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "doc_id", "grams")
-    links = pairs.groupBy("family", "i", "j").applyInArrow(_packed(_multiply(percent), "a", "b"), "a long, b long")
+    links = pairs.groupBy("family", "i", "j").applyInArrow(_packed(_multiply(percent)), "a long, b long")
     # Equal sets, links between classes, and rows of one id.
     class_of = known.join(classes, ["d1", "d2", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
     roots = components(links.unionByName(class_of), "links")
@@ -290,7 +300,7 @@ def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
 
 
-def _packed(batches_of, *columns: str):
+def _packed(batches_of):
     """A group function for applyInArrow out of a function of batches."""
 
     def run(group: pa.Table) -> pa.Table:

@@ -25,7 +25,7 @@ CAPACITY, TOKENIZER = 2048, "word_bpe_49k.json"
 #: Lengths are rounded up to this grid in the linear program only; coverage at which the weights stop; step of weights.
 GRID, COVER, STEP = 4, 6.0, 0.25
 #: Words kept with their ids by a Python worker, rows of a ranking group.
-CACHED_WORDS, RANK_ROWS = 500_000, 20_000
+CACHED_WORDS, RANK_ROWS = 500_000, 5_000
 
 #: Characters whose lower case, composition and class don't depend on their neighbours; other texts are encoded whole.
 _PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ňŊ-ſ]|<\|")
@@ -67,12 +67,22 @@ class WordIds:
         return b"".join(map(known.__getitem__, chunks))
 
 
+#: One for each Python worker, which serves many tasks.
+_workers: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    if path not in _workers:
+        _workers[path] = WordIds(path)
+    return _workers[path]
+
+
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def _cut(path: str, capacity: int):
     def run(batches):
-        words = WordIds(path)
+        words = word_ids(path)
         for batch in batches:
             out: list[tuple] = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), row_text(batch)):
