@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import cache
+from math import ceil, exp, factorial, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,8 @@ from filingscope.llm.graph import components
 from filingscope.llm.store import narrow, row_text, save
 from filingscope.llm.words import NOT_SPACE, mix, pieces, runs, words
 
-#: Parts of the hash range beyond those that differences can touch; so many parts of a set may be empty.
-SPARE_SMALL, SPARE = 1, 2
+#: Parts with at most so many n-grams say little; the most of these that is affordable is taken.
+LITTLE = (2, 1, 0)
 #: Signatures of a column block; with them the number of blocks follows the input.
 BLOCK_SIGNATURES = 2_000_000
 #: Rows and n-grams of one block of a family, rows and n-grams of one tile.
@@ -44,15 +46,30 @@ class Sizes:
             # The smaller set has top n-grams at most, the union at most 100 / percent as many.
             self.differ.append(int(Fraction(100 - self.percent, self.percent) * top))
 
-    def schemes(self, n: int) -> list[tuple[int, int, int]]:
-        """(class, parts, spare parts) under which a set of ``n`` is entered: as a member of its class, and as one larger.
+    def schemes(self, n: int) -> list[tuple[int, int, int, int]]:
+        """(class, parts, spare parts, little) under which a set of ``n`` is entered: as a member of its class, and as one larger.
 
         Where linked sets can't differ at all, different sets have no link and none is entered.
         """
         self._grow(n)
         c = int(np.searchsorted(self.top, n))
-        spare = lambda k: SPARE_SMALL if self.differ[k] <= 3 else SPARE
-        return [(k, self.differ[k] + 1 + spare(k), spare(k)) for k in (c, c - 1) if k > 0 and self.differ[k]]
+        return [(k, *_cut_for(self.differ[k], self.top[k - 1] + 1)) for k in (c, c - 1) if k > 0 and self.differ[k]]
+
+
+@cache
+def _cut_for(differ: int, n: int) -> tuple[int, int, int]:
+    """(parts, spare, little): spare is what few sets of ``n`` have more parts of at most ``little`` n-grams than."""
+    for little in LITTLE:
+        spare = 1
+        while spare <= 0.4 * (differ + 1) + 1:
+            parts = differ + 1 + spare
+            rate = n / parts
+            share = exp(-rate) * sum(rate**k / factorial(k) for k in range(little + 1))
+            need = ceil(parts * share + 2.5 * sqrt(parts * share * (1 - share)))
+            if need <= spare:
+                return parts, spare, little
+            spare = need
+    return differ + 2, 1, 0
 
 
 def node(digest: int, scheme: int) -> int:
@@ -64,18 +81,21 @@ def signatures(grams: np.ndarray, sizes: Sizes) -> list[tuple[int, np.ndarray]]:
     """(scheme, signatures) of a sorted set.
 
     The hash range is cut into more parts than two linked sets can have differences, so that at least ``spare`` + 1
-    parts hold the same n-grams in both.  Empty parts are entered only by a set with more than ``spare`` of them, as
-    only then all equal parts may be empty ones.
+    parts hold the same n-grams in both.  Parts with few n-grams, which passages shared by many texts can fill, are
+    entered only by a set with more than ``spare`` of them, as only then all equal parts may be such ones.
     """
     out = []
-    for scheme, parts, spare in sizes.schemes(len(grams)):
+    for scheme, parts, spare, little in sizes.schemes(len(grams)):
         part = ((grams >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         sums = np.add.reduceat(mix(grams ^ np.uint64(0xA5A5A5A5)), first)
-        ids, full = part[first], len(first)
-        if parts - full > spare:
+        ids, held = part[first], np.diff(np.append(first, len(grams)))
+        much = held > little
+        if parts - int(much.sum()) > spare:
             empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), ids)
             ids, sums = np.concatenate([ids, empty]), np.concatenate([sums, np.zeros(len(empty), np.uint64)])
+        else:
+            ids, sums = ids[much], sums[much]
         out.append((scheme, mix(sums + mix(ids + np.uint64(scheme << 32)))))
     return out
 
@@ -105,7 +125,7 @@ def _describe(size: int, percent: int):
         for batch in batches:
             rows = [(len(g), *_digest(g)) for _, g in gram_sets(row_text(batch), size)]
             n, a, b = (pa.array([r[k] for r in rows], pa.int64()) for k in range(3))
-            nodes = pa.array([[node(r[1], s) for s, _, _ in sizes.schemes(r[0])] for r in rows], pa.list_(pa.int64()))
+            nodes = pa.array([[node(r[1], s) for s, *_ in sizes.schemes(r[0])] for r in rows], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, a, b, nodes], ["doc_id", "n", "d1", "d2", "nodes"])
 
     return run
