@@ -11,8 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from filingscope.operators.barriers import label_disclosures
 from filingscope.session import materialize
 
-HORIZON = 20
-
 TRADES_SQL = """
 SELECT concat_ws('-', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING), CAST(CAST(l_shipdate AS DATE) AS STRING)) AS trade_id,
   CAST(o_custkey AS STRING) AS filer_id, CAST(l_suppkey AS STRING) AS ticker,
@@ -63,19 +61,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a table landed as fewer row groups than cores; larger layouts stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _mapped(text: str):
     names = [t for t in _TABLES if "{" + t + "}" in text]
 
     def build(spark: SparkSession, d: str) -> DataFrame:
         inputs = {t: table(spark, d, t) for t in names}
-        if "lineitem" in inputs:
-            inputs["lineitem"] = spread(inputs["lineitem"])
         return spark.sql(text, **inputs)
 
     return build
@@ -96,8 +86,8 @@ def trade_table(spark: SparkSession, d: str) -> DataFrame:
     return materialize(trades(spark, d))
 
 
-def labelled(spark: SparkSession, d: str, horizon: int | None = HORIZON, from_trades: DataFrame | None = None) -> DataFrame:
-    """All buys with disclosure price and 10/10 labels."""
+def labelled(spark: SparkSession, d: str, horizon: int | None = None, from_trades: DataFrame | None = None) -> DataFrame:
+    """All buys with disclosure price and 10/10 labels over their whole paths."""
     rows = trades(spark, d) if from_trades is None else from_trades
     return label_disclosures(rows.filter("transaction_type = 'buy'"), prices(spark, d), horizon_days=horizon)
 
@@ -118,15 +108,14 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT b.*, p.close AS price_at_disclosure_date
            FROM buys b ASOF LEFT JOIN prices p ON b.ticker = p.symbol AND b.disclosure_date >= p.date""",
     ),
-    # One path row per trade and price day: the expanded form the engine avoids.
+    "pidx": (("prices",), "SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS idx FROM prices"),
+    # One path row per trade and later price day: the expanded form the engine avoids.
     "paths": (
-        ("buys", "prices"),
-        f"""SELECT b.trade_id, CAST(row_number() OVER (PARTITION BY b.trade_id ORDER BY p.date) AS INT) AS day,
-              p.date, p.open, p.high, p.low, p.close
-            FROM buys b JOIN prices p ON p.symbol = b.ticker AND p.date > b.disclosure_date
-              AND p.date <= b.disclosure_date + {HORIZON}""",
+        ("buys", "pidx"),
+        """SELECT b.trade_id, b.disclosure_date, CAST(p.idx - coalesce(a.idx, 0) AS INT) AS day, p.date, p.open, p.high, p.low, p.close
+            FROM buys b ASOF LEFT JOIN pidx a ON b.ticker = a.symbol AND b.disclosure_date >= a.date
+            JOIN pidx p ON p.symbol = b.ticker AND p.idx > coalesce(a.idx, 0)""",
     ),
-    # The next price day after the disclosure gives the entry, even beyond the horizon.
     "entries": (
         ("priced", "prices"),
         """SELECT b.*, n.open AS day1_open, CASE WHEN n.open > 0 THEN n.open ELSE b.price_at_disclosure_date END AS entry_price
@@ -181,6 +170,10 @@ def stable(sql: str) -> str:
     return out + sql[i:]
 
 
+#: Large intermediates that are cheaper to compute again than to hold.
+STREAMED = {"paths", "trade_side"}
+
+
 def with_ctes(body: str, *names: str, extra: dict[str, str] | None = None) -> str:
     """Prefix ``body`` with the named CTEs and everything they read, in dependency order."""
     order: list[str] = []
@@ -193,6 +186,6 @@ def with_ctes(body: str, *names: str, extra: dict[str, str] | None = None) -> st
 
     for name in names:
         visit(name)
-    parts = [f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in order]
+    parts = [f"{n} AS {'NOT ' if n in STREAMED else ''}MATERIALIZED ({CTES[n][1]})" for n in order]
     parts += [f"{n} AS ({text})" for n, text in (extra or {}).items()]
     return stable(f"WITH RECURSIVE {', '.join(parts)} {body}" if parts else body)

@@ -146,12 +146,11 @@ QUERIES = {
 
 
 def children(s, d):
+    """Path rows by day, of trades that stay and of trades that went."""
     from filingscope.operators.prices import build_paths
 
-    paths = build_paths(base.buys(s, d), base.prices(s, d), "disc", base.HORIZON)
-    kept = main_rows(s, d)
-    return merge.restrict_children(paths, kept, "keep").groupBy("day").agg(F.count("*").alias("n")).withColumn("side", F.lit("keep")).unionByName(
-        merge.restrict_children(paths, kept, "orphans").groupBy("day").agg(F.count("*").alias("n")).withColumn("side", F.lit("orphans")))
+    paths = build_paths(base.buys(s, d), base.prices(s, d), "disc")
+    return merge.mark_children(paths, main_rows(s, d)).groupBy("day", "side").agg(F.count("*").alias("n"))
 
 
 # ---------------------------------------------------------------------------------------------

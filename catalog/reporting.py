@@ -45,7 +45,7 @@ def feed(s, d):
 
 
 def regridded(s, d):
-    cell = grid.barrier_grid(base.trades(s, d), base.prices(s, d), [(15.0, 5.0)], min_size=40_000, horizon_days=base.HORIZON)
+    cell = grid.barrier_grid(base.trades(s, d), base.prices(s, d), [(15.0, 5.0)], min_size=40_000)
     return materialize(reports.regrid(scoring_queries.leaders(s, d), cell))
 
 
@@ -71,7 +71,7 @@ QUERIES = {
     "win_by_year": lambda s, d: reports.win_by_year(filtered(s, d)),
     "filer_profile": lambda s, d: reports.filer_profile(positions(s, d)),
     "ticker_stats": lambda s, d: reports.ticker_stats(positions(s, d)),
-    "filer_trades": lambda s, d: reports.filer_trades(positions(s, d), 5),
+    "filer_trades": lambda s, d: reports.filer_trades(positions(s, d), 25),
     "drawdown_hist": lambda s, d: reports.drawdown_histogram(reports.profile_rows(positions(s, d))),
     "party_winrate": lambda s, d: reports.weighted_win_rate(scoring_queries.published(s, d)),
     "summary_stats": lambda s, d: summary(s, d),
@@ -221,7 +221,7 @@ ORACLES = {
     "filer_trades": with_ctes(
         """SELECT * FROM (SELECT filer_id, trade_id, ticker, disclosure_date, round(entry_price * 0.9e0, 2) AS stop, round(entry_price * 1.1e0, 2) AS target,
              CASE WHEN repeat_before_close = 1 THEN 'SKIP' WHEN outcome = 'open' THEN 'open' ELSE upper(outcome) END AS shown, close_date_disc,
-             row_number() OVER (PARTITION BY filer_id ORDER BY disclosure_date DESC, trade_id) AS rn FROM positions) WHERE rn <= 5""", "positions"),
+             row_number() OVER (PARTITION BY filer_id ORDER BY disclosure_date DESC, trade_id) AS rn FROM positions) WHERE rn <= 25""", "positions"),
     "drawdown_hist": with_ctes("SELECT floor(dd / 2) * 2 AS bin_from, count(*) AS n FROM shown WHERE dd > -10 AND dd < 0 GROUP BY 1", "shown"),
     "party_winrate": with_ctes(
         """SELECT party, CAST(sum(w) AS BIGINT) AS wins, CAST(sum(total_trades) AS BIGINT) AS total, round(100e0 * sum(w) / sum(total_trades), 1) AS win_rate

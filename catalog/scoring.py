@@ -13,6 +13,8 @@ from filingscope.session import materialize
 
 # Thresholds that populate the basket groups on the test tables (defaults are 10 and 20).
 BASKET_TD, BASKET_DD = 5, 3
+#: Days of the two queries that show a stated horizon; all others run on whole paths.
+HORIZON = 20
 PARAMS = scoring.ScoreParams(basket_trade=BASKET_TD, basket_disclosure=BASKET_DD)
 PAIRS = [(5.0, 10.0), (10.0, 10.0), (10.0, 20.0), (15.0, 5.0)]
 
@@ -62,8 +64,13 @@ QUERIES = {
     "scan_tables": lambda s, d: base.trades(s, d).filter("transaction_type = 'buy' AND size_midpoint >= 50000").select(
         "trade_id", "filer_id", "ticker", "disclosure_date", "size_midpoint"),
     "qualifying_buys": lambda s, d: flags.qualifying_buys(base.labelled(s, d), ["stock"]).select("trade_id", "price_at_disclosure_date"),
-    "build_paths": lambda s, d: prices.build_paths(base.buys(s, d), base.prices(s, d), "disc", base.HORIZON).select(
+    "build_paths": lambda s, d: prices.build_paths(base.buys(s, d), base.prices(s, d), "disc").groupBy("trade_id").agg(
+        F.max("day").alias("days"), F.max("date").alias("last_date"), stable_round(F.max("close"), 4).alias("top_close"), F.min("pct_change").alias("least_change")),
+    "build_paths_horizon": lambda s, d: prices.build_paths(base.buys(s, d), base.prices(s, d), "disc", HORIZON).select(
         "trade_id", "day", "date", stable_round("close", 4).alias("close"), "pct_change"),
+    "barrier_horizon": lambda s, d: base.labelled(s, d, HORIZON).select("trade_id", "outcome", "days_to_exit_disc"),
+    "barrier_wide": lambda s, d: barriers.label_disclosures(base.buys(s, d), base.prices(s, d), stop=30.0, target=30.0).select(
+        "trade_id", "outcome", "days_to_exit_disc"),
     "entry_price": lambda s, d: base.labelled(s, d).select("trade_id", stable_round("entry_price", 6).alias("entry_price")),
     "barrier_outcome": lambda s, d: base.labelled(s, d).select("trade_id", "outcome", "days_to_exit_disc", "close_date_disc"),
     "drawdown_metrics": lambda s, d: base.labelled(s, d).select(
@@ -72,7 +79,7 @@ QUERIES = {
     "barrier_dual_anchor": lambda s, d: dual(s, d).select(
         "trade_id", "outcome_trade", "days_to_exit_trade", "max_drawdown_before_profit", "outcome_disc", "days_to_exit_disc", "max_drawdown_disc"),
     "drawdown_summary": lambda s, d: scoring.drawdown_summary(dual(s, d)),
-    "barrier_grid": lambda s, d: grid.barrier_grid(base.trades(s, d), base.prices(s, d), PAIRS, min_size=20_000, horizon_days=base.HORIZON),
+    "barrier_grid": lambda s, d: grid.barrier_grid(base.trades(s, d), base.prices(s, d), PAIRS, min_size=20_000),
     "outcome_from_columns": lambda s, d: base.labelled(s, d).select("trade_id", barriers.outcome_from_columns().alias("outcome")),
     "stored_grid_cell": lambda s, d: grid.stored_grid_cell(base.labelled(s, d)),
     "basket_groups": lambda s, d: flags.basket_groups(base.trades(s, d), "trade_date", BASKET_TD).unionByName(
@@ -99,16 +106,11 @@ QUERIES = {
 
 
 def dual(s, d):
-    return barriers.label_both_anchors(base.buys(s, d), base.prices(s, d), horizon_days=base.HORIZON)
+    return barriers.label_both_anchors(base.buys(s, d), base.prices(s, d))
 
 
 # ---------------------------------------------------------------------------------------------
 
-CTES["open_paths"] = (
-    ("buys", "prices"),
-    """SELECT b.trade_id, CAST(row_number() OVER (PARTITION BY b.trade_id ORDER BY p.date) AS INT) AS day, p.date, p.open, p.high, p.low
-       FROM buys b JOIN prices p ON p.symbol = b.ticker AND p.date > b.disclosure_date AND p.date <= b.disclosure_date + 200""",
-)
 CTES["qualifying"] = (
     ("labelled",),
     """SELECT * FROM labelled WHERE filing_violation = 'compliant' AND price_at_disclosure_date IS NOT NULL
@@ -207,10 +209,10 @@ CTES["leaders"] = (
        WHERE p.score IS NOT NULL OR p.score_etf IS NOT NULL""",
 )
 CTES["trade_side"] = (
-    ("buys", "prices"),
-    """SELECT b.trade_id, b.entry, row_number() OVER (PARTITION BY b.trade_id ORDER BY p.date) AS day, p.high, p.low
-       FROM (SELECT b.*, q.close AS entry FROM buys b ASOF LEFT JOIN prices q ON b.ticker = q.symbol AND b.trade_date >= q.date) b
-       JOIN prices p ON p.symbol = b.ticker AND p.date > b.trade_date AND p.date <= b.trade_date + 20""",
+    ("buys", "pidx"),
+    """SELECT b.trade_id, b.entry, p.idx - b.start AS day, p.high, p.low
+       FROM (SELECT b.*, q.close AS entry, coalesce(q.idx, 0) AS start FROM buys b ASOF LEFT JOIN pidx q ON b.ticker = q.symbol AND b.trade_date >= q.date) b
+       JOIN pidx p ON p.symbol = b.ticker AND p.idx > b.start""",
 )
 CTES["trade_exit"] = (
     ("trade_side",),
@@ -239,20 +241,24 @@ ORACLES = {
     "scan_tables": with_ctes("SELECT trade_id, filer_id, ticker, disclosure_date, size_midpoint FROM trades WHERE transaction_type = 'buy' AND size_midpoint >= 50000", "trades"),
     "qualifying_buys": with_ctes("SELECT trade_id, price_at_disclosure_date FROM priced WHERE filing_violation = 'compliant' AND asset_type = 'stock' AND price_at_disclosure_date IS NOT NULL", "priced"),
     "build_paths": with_ctes(
-        "SELECT p.trade_id, p.day, p.date, round(p.close, 4) AS close, CASE WHEN b.price_at_disclosure_date > 0 THEN round((p.close - b.price_at_disclosure_date) / b.price_at_disclosure_date * 100, 4) END AS pct_change FROM paths p JOIN priced b ON b.trade_id = p.trade_id", "paths", "priced"),
+        """SELECT p.trade_id, max(p.day) AS days, max(p.date) AS last_date, round(max(p.close), 4) AS top_close,
+             min(CASE WHEN b.price_at_disclosure_date > 0 THEN round((p.close - b.price_at_disclosure_date) / b.price_at_disclosure_date * 100, 4) END) AS least_change
+           FROM paths p JOIN priced b ON b.trade_id = p.trade_id GROUP BY p.trade_id""", "paths", "priced"),
+    "build_paths_horizon": with_ctes(
+        f"""SELECT p.trade_id, p.day, p.date, round(p.close, 4) AS close, CASE WHEN b.price_at_disclosure_date > 0 THEN round((p.close - b.price_at_disclosure_date) / b.price_at_disclosure_date * 100, 4) END AS pct_change
+           FROM paths p JOIN priced b ON b.trade_id = p.trade_id WHERE p.date <= p.disclosure_date + {HORIZON}""", "paths", "priced"),
+    "barrier_horizon": with_ctes(
+        f"""SELECT e.trade_id, CASE WHEN sd IS NOT NULL AND (td IS NULL OR sd <= td) THEN 'loss' WHEN td IS NOT NULL THEN 'win' ELSE 'open' END AS outcome, least(sd, td) AS days_to_exit_disc
+           FROM entries e LEFT JOIN (SELECT p.trade_id, min(CASE WHEN p.low <= e.entry_price * 0.9e0 THEN p.day END) AS sd, min(CASE WHEN p.high >= e.entry_price * 1.1e0 THEN p.day END) AS td
+             FROM paths p JOIN entries e ON e.trade_id = p.trade_id WHERE e.entry_price > 0 AND p.date <= p.disclosure_date + {HORIZON} GROUP BY p.trade_id) x ON x.trade_id = e.trade_id""", "entries", "paths"),
+    "barrier_wide": with_ctes(
+        """SELECT e.trade_id, CASE WHEN sd IS NOT NULL AND (td IS NULL OR sd <= td) THEN 'loss' WHEN td IS NOT NULL THEN 'win' ELSE 'open' END AS outcome, least(sd, td) AS days_to_exit_disc
+           FROM entries e LEFT JOIN (SELECT p.trade_id, min(CASE WHEN p.low <= e.entry_price * 0.7e0 THEN p.day END) AS sd, min(CASE WHEN p.high >= e.entry_price * 1.3e0 THEN p.day END) AS td
+             FROM paths p JOIN entries e ON e.trade_id = p.trade_id WHERE e.entry_price > 0 GROUP BY p.trade_id) x ON x.trade_id = e.trade_id""", "entries", "paths"),
     "entry_price": with_ctes("SELECT trade_id, round(entry_price, 6) AS entry_price FROM entries", "entries"),
     "barrier_outcome": with_ctes("SELECT trade_id, outcome, days_to_exit_disc, close_date_disc FROM labelled", "labelled"),
     "drawdown_metrics": with_ctes("SELECT trade_id, max_drawdown_disc, drawdown_disc_5pct, drawdown_disc_10pct, drawdown_disc_15pct FROM labelled", "labelled"),
-    "barrier_open_ended": with_ctes(
-        """SELECT e.trade_id, CASE WHEN x.sd IS NOT NULL AND (x.td IS NULL OR x.sd <= x.td) THEN 'loss' WHEN x.td IS NOT NULL THEN 'win' ELSE 'open' END AS outcome,
-             CAST(least(x.sd, x.td) AS INT) AS days_to_exit_disc,
-             CASE WHEN x.trade_id IS NULL OR e.entry_price IS NULL THEN NULL WHEN x.sd IS NOT NULL AND (x.td IS NULL OR x.sd <= x.td) THEN -10e0
-               ELSE round(least(0e0, (SELECT min((p.low - e.entry_price) / e.entry_price * 100) FROM all_paths p WHERE p.trade_id = e.trade_id AND p.day <= coalesce(least(x.sd, x.td), 1000000))), 4) END AS max_drawdown_disc
-           FROM entries e LEFT JOIN ex x ON x.trade_id = e.trade_id""",
-        "entries", "prices", extra={
-            "all_paths": "SELECT b.trade_id, b.entry_price, row_number() OVER (PARTITION BY b.trade_id ORDER BY p.date) AS day, p.high, p.low FROM entries b JOIN prices p ON p.symbol = b.ticker AND p.date > b.disclosure_date",
-            "ex": "SELECT trade_id, min(CASE WHEN low <= entry_price * 0.9e0 THEN day END) AS sd, min(CASE WHEN high >= entry_price * 1.1e0 THEN day END) AS td FROM all_paths GROUP BY trade_id",
-        }),
+    "barrier_open_ended": with_ctes("SELECT trade_id, outcome, days_to_exit_disc, max_drawdown_disc FROM labelled", "labelled"),
     "barrier_dual_anchor": with_ctes("SELECT trade_id, outcome_trade, days_to_exit_trade, max_drawdown_before_profit, outcome_disc, days_to_exit_disc, max_drawdown_disc FROM dual", "dual"),
     "drawdown_summary": with_ctes(
         """SELECT round(avg(max_drawdown_before_profit) FILTER (max_drawdown_before_profit < 0 AND max_drawdown_before_profit > -10), 2) AS avg_dd_trade,

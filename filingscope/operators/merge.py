@@ -126,3 +126,9 @@ def restrict_children(paths: DataFrame, trades: DataFrame, how: str = "keep") ->
     """Child rows of surviving parents (``keep``) or orphans (``orphans``)."""
     kind = {"keep": "left_semi", "orphans": "left_anti"}[how]
     return paths.join(trades.select("trade_id"), "trade_id", kind)
+
+
+def mark_children(paths: DataFrame, trades: DataFrame) -> DataFrame:
+    """Child rows with ``side``: ``keep`` where the parent survives, else ``orphans``; one join for both."""
+    alive = trades.select("trade_id").distinct().withColumn("_alive", F.lit(True))
+    return paths.join(alive, "trade_id", "left").withColumn("side", F.when(F.col("_alive"), "keep").otherwise("orphans")).drop("_alive")
