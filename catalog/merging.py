@@ -76,8 +76,8 @@ def known_filers(s, d):
 
 def people(s, d):
     """Names from the first words of the documents: every distinct pair of words is a person."""
-    words = F.expr("regexp_extract_all(substring(text, 1, 200), '([[:alpha:]À-ÿ]+)', 1)".replace("[[:alpha:]À-ÿ]", "\\\\p{L}"))
-    rows = base.table(s, d, "documents").select("doc_id", "lang", words.alias("w")).filter("size(w) >= 2")
+    first = r"^[^\p{L}]*(\p{L}+)[^\p{L}]+(\p{L}+)"
+    rows = base.table(s, d, "documents").select("doc_id", "lang", F.array(*[F.regexp_extract("text", first, k) for k in (1, 2)]).alias("w")).filter("w[1] <> ''")
     return rows.select(F.concat_ws(" ", F.col("w")[0], F.col("w")[1]).alias("name"), "lang", "doc_id").groupBy("name").agg(
         F.concat(F.lit("D"), F.min("doc_id").cast("string")).alias("filer_id"), F.min("lang").alias("chamber"))
 

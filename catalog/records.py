@@ -48,6 +48,7 @@ FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey JOIN {{customer}} O
 """
 KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "shipped"]
 raw = base._mapped(RAW_SQL)
+RECORD = [f.name for f in ingest.schemas.DISCLOSURE_RAW]
 
 # Size labels and page dates are cut from the same lines.
 PAGE_SQL = """
@@ -64,18 +65,20 @@ def folder(s, kind):
     return f"{shared_folder(s).rstrip('/')}/filingscope/{kind}-{uuid.uuid4().hex}"
 
 
-def api_records(s, d):
-    """The raw lines landed as JSON pages: bare lists and the three envelopes, one page per order."""
-    fields = [f.name for f in ingest.schemas.DISCLOSURE_RAW]
-    page = raw(s, d).groupBy("l_orderkey").agg(F.collect_list(F.struct(*fields)).alias("recs"))
+def api_pages(s, d):
+    """The raw lines landed as JSON pages: bare lists and the three envelopes, one page per order, and broken pages."""
+    page = raw(s, d).groupBy("l_orderkey").agg(F.collect_list(F.struct(*RECORD)).alias("recs"))
     line = F.to_json("recs", {"ignoreNullFields": "false"})
     boxed = lambda k: F.concat(F.lit('{"' + k + '": '), line, F.lit("}"))
     kind = F.pmod("l_orderkey", F.lit(4))
     path = folder(s, "pages")
+    broken = page.filter("l_orderkey % 5 = 0").select(F.concat(F.lit('{"error": "'), F.col("l_orderkey"), F.lit('"}')).alias("value")).unionByName(
+        page.filter("l_orderkey % 7 = 0").select(F.lit("<html>").alias("value")))
+    broken.write.text(path)
     page.select(
         F.when(kind == 0, line).when(kind == 1, boxed("data")).when(kind == 2, boxed("results")).otherwise(boxed("trades")).alias("value")
-    ).write.text(path)
-    return ingest.read_disclosures_json(s, path)
+    ).write.mode("append").text(path)
+    return path
 
 
 XML_CODES = {"URGE": "HSAG", "HIGH": "HSAP", "MEDI": "HSAS", "LOW": "HSBA"}
@@ -123,8 +126,8 @@ def _split(df, parsed, *extra):
 
 
 QUERIES = {
-    "ingest_json": lambda s, d: api_records(s, d).groupBy("type", "owner").agg(
-        F.count("*").alias("n"), F.count("lastName").alias("named"), F.sum(F.length("amount")).cast("bigint").alias("amount_chars")),
+    "ingest_json": lambda s, d: ingest.read_disclosures_json(s, api_pages(s, d)).select(*RECORD),
+    "ingest_rejects": lambda s, d: ingest.rejected_pages(s, api_pages(s, d)),
     "ingest_members_xml": lambda s, d: ingest.read_members_xml(s, member_file(s, d), 118, XML_CODES),
     "ingest_assignments": lambda s, d: ingest.load_assignments(assignment_table(s, d), codes(s, d), crosswalk(s, d), "assign_"),
     "assignment_drops": lambda s, d: ingest.assignment_drops(assignment_table(s, d), codes(s, d), crosswalk(s, d)),
@@ -198,7 +201,10 @@ def _size_case(pick) -> str:
 
 _Y = "CAST(substr(CAST(shipped AS VARCHAR), 1, 4) AS INT)"
 ORACLES = {
-    "ingest_json": with_ctes("SELECT type, owner, count(*) AS n, count(lastName) AS named, CAST(sum(length(amount)) AS BIGINT) AS amount_chars FROM raw GROUP BY ALL", "raw"),
+    "ingest_json": with_ctes(f"SELECT {', '.join(RECORD)} FROM raw", "raw"),
+    "ingest_rejects": with_ctes(
+        """SELECT count(DISTINCT l_orderkey) FILTER (l_orderkey % 5 = 0) + count(DISTINCT l_orderkey) FILTER (l_orderkey % 7 = 0) AS n,
+             count(DISTINCT l_orderkey) FILTER (l_orderkey % 5 = 0) + count(DISTINCT l_orderkey) FILTER (l_orderkey % 7 = 0) + count(DISTINCT l_orderkey) AS pages FROM raw""", "raw"),
     "ingest_members_xml": with_ctes(
         """SELECT filer_id, CASE committee_id WHEN 'URGE' THEN 'HSAG' WHEN 'HIGH' THEN 'HSAP' WHEN 'MEDI' THEN 'HSAS' WHEN 'LOW' THEN 'HSBA' END AS committee_id,
              CASE WHEN filer_id LIKE '%1' THEN 'Republican' ELSE 'Democrat' END AS party, CAST(length(committee_id) AS INT) AS rank, DATE '2023-01-03' AS start_date, DATE '2025-01-03' AS end_date, 'clerk_house_118' AS source

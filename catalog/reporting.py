@@ -196,6 +196,7 @@ _GATE_SQL = " UNION ALL ".join(
     for m, e, op, th, b in _GATES)
 
 ORACLES = {
+    "spot_check": with_ctes("SELECT trade_id, filer_id, ticker, trade_date FROM buys ORDER BY md5(trade_id || '/7'), trade_id LIMIT 10", "buys"),
     "join_filer": with_ctes("SELECT trade_id, name, party, chamber, state FROM trades t JOIN filers f ON f.filer_id = t.filer_id", "trades", "filers"),
     "feed": with_ctes("SELECT trade_id, name, disclosure_date, score, routine_count, routine_avg_gap FROM feed", "feed"),
     "feed_filter": with_ctes("SELECT trade_id, score, size_midpoint FROM feed WHERE party = 'MACHINERY' AND score >= 5 AND size_midpoint >= 20000", "feed"),

@@ -1,6 +1,6 @@
 """Streaming jobs over landed slices, each equal to its batch operator.
 
-Rows are landed as a few files in time order and read one file per micro-batch.
+Rows are landed in time order, a few files a slice, and read one slice per micro-batch.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from filingscope.session import materialize, shared_folder
 from filingscope.streaming import jobs
 
 START, DAYS, SLICES = datetime.datetime(2024, 1, 1), 6, 5
+#: Files that a slice is landed as.
+FILES = 4
 
 
 def root(s):
@@ -24,15 +26,18 @@ def root(s):
 
 
 def landed(s, rows, parts, folder):
-    """Write the given predicates' rows one after the other and stream them file by file."""
+    """Write the given predicates' rows one after the other and stream them slice by slice."""
     for part in parts:
-        rows.filter(part).coalesce(1).write.mode("append").parquet(folder)
-    return s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        rows.filter(part).repartition(FILES).write.mode("append").parquet(folder)
+    return s.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES).parquet(folder)
 
 
 def event_slices(overlap_days=0):
+    """Slices of DAYS days; the first has no beginning and the last no end."""
     at = lambda days: F.lit(START + datetime.timedelta(days=days)).cast("timestamp")
-    return [(F.col("ts") >= at(i * DAYS)) & (F.col("ts") < at((i + 1) * DAYS + overlap_days)) for i in range(SLICES)]
+    begins = lambda i: F.col("ts") >= at(i * DAYS) if i else F.lit(True)
+    ends = lambda i: F.col("ts") < at((i + 1) * DAYS + overlap_days) if i < SLICES - 1 else F.lit(True)
+    return [begins(i) & ends(i) for i in range(SLICES)]
 
 
 def events(s, d):
@@ -69,7 +74,9 @@ def purchases(s, d):
 def repeats(s, d):
     where = root(s)
     sdf = landed(s, purchases(s, d), event_slices(), f"{where}/in")
-    return drain(s, jobs.stream_repeat(sdf, 10), where)
+    query = jobs.start_repeat_stream(sdf, rows=f"{where}/rows", state=f"{where}/state", out=f"{where}/out", checkpoint=f"{where}/checkpoint", cap_days=10)
+    query.awaitTermination()
+    return s.read.parquet(f"{where}/out").select("trade_id", "repeat_before_close", "late")
 
 
 def signal_rows(s, d):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import re
 from collections.abc import Sequence
 
@@ -138,9 +140,14 @@ def make_trade_id(filer_id: Column, ticker: Column, date: Column, tx_type: Colum
     )
 
 
-# Accented letter -> ASCII letter.
-_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+def _accents() -> tuple[str, str]:
+    """Every accented lower-case Latin letter with the ASCII letter that it decomposes to."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
+    pairs = [(c, plain) for c, plain in pairs if c == c.lower() and plain != c and plain.isascii()]
+    return "".join(c for c, _ in pairs), "".join(plain for _, plain in pairs)
+
+
+_ACCENTED, _PLAIN = _accents()
 
 
 def fold_name(col: Column) -> Column:

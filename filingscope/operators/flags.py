@@ -75,8 +75,10 @@ def with_basket_flag(
     )
 
 
-def position_openers(df: DataFrame, cap_days: int = OPEN_POSITION_DAYS) -> DataFrame:
-    """trade_id of the buys that open a position under the occupancy rule.
+def occupancy(df: DataFrame, cap_days: int = OPEN_POSITION_DAYS, held: DataFrame | None = None) -> DataFrame:
+    """Per (filer, ticker) the buys that open a position (ids), the last close and the last day seen, as day numbers.
+
+    ``held`` (filer_id, ticker, closes) continues from earlier rows.
 
     A buy disclosed on or before the close of the last opener is a repeat and moves nothing; an
     open position is capped at disclosure + ``cap_days``.  Closes lie after their disclosure, so
@@ -94,18 +96,24 @@ def position_openers(df: DataFrame, cap_days: int = OPEN_POSITION_DAYS) -> DataF
             F.col("first.trade_id").alias("trade_id"),
         ))).alias("days")
     )
-    start = F.struct(
-        F.lit(-(2**31)).cast("int").alias("closes"), F.array().cast("array<string>").alias("ids")
-    )
+    first = F.lit(-(2**31)).cast("int")
+    if held is not None:
+        sequence = sequence.join(held.select(*pair, F.col("closes").cast("int").alias("_held")), pair, "left")
+        first = F.coalesce(F.col("_held"), first)
+    start = F.struct(first.alias("closes"), F.array().cast("array<string>").alias("ids"))
     opened = F.aggregate(
         "days", start,
         lambda acc, d: F.when(
             d["day"] > acc["closes"],
             F.struct(d["close_day"].alias("closes"), F.concat(acc["ids"], F.array(d["trade_id"])).alias("ids")),
         ).otherwise(acc),
-        lambda acc: acc["ids"],
     )
-    return sequence.select(F.explode(opened).alias("trade_id"))
+    return sequence.select(*pair, opened.alias("r"), F.element_at("days", -1)["day"].alias("seen")).select(*pair, "r.ids", "r.closes", "seen")
+
+
+def position_openers(df: DataFrame, cap_days: int = OPEN_POSITION_DAYS) -> DataFrame:
+    """trade_id of the buys that open a position under ``occupancy``."""
+    return occupancy(df, cap_days).select(F.explode("ids").alias("trade_id"))
 
 
 def flag_repeats(df: DataFrame, cap_days: int = OPEN_POSITION_DAYS) -> DataFrame:

@@ -100,7 +100,7 @@ def audit_paths(labelled: DataFrame, day1: DataFrame, gap_pct: float = 5.0, barr
 def spot_check(trades: DataFrame, n: int = 10, seed: int = 7) -> DataFrame:
     """Reproducible random sample of ``n`` dated buys: the smallest seeded hashes of the id."""
     return trades.filter("transaction_type = 'buy' AND ticker IS NOT NULL AND trade_date IS NOT NULL").orderBy(
-        F.xxhash64("trade_id", F.lit(seed)), "trade_id"
+        F.md5(F.concat(F.col("trade_id"), F.lit(f"/{seed}"))), "trade_id"
     ).limit(n)
 
 

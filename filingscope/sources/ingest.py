@@ -32,13 +32,27 @@ CONGRESS_TERMS = {
 }
 
 
-def read_disclosures_json(spark: SparkSession, path: str) -> DataFrame:
-    """Records of landed pages: each line is a record list or an object holding one."""
+def _pages(spark: SparkSession, path: str) -> DataFrame:
+    """Landed lines with ``records``: the line's own list, else the first list an envelope holds, else NULL.
+
+    An object without a list and a line that is no JSON hold no records.
+    """
     record = schemas.DISCLOSURE_RAW
-    page = T.StructType([*record.fields, *[T.StructField(k, T.ArrayType(record)) for k in ENVELOPE_KEYS]])
-    rows = spark.read.schema(page).json(path)
-    bare = F.array(F.struct(*[F.col(f.name) for f in record.fields]))
-    return rows.select(F.explode(F.coalesce(*ENVELOPE_KEYS, bare)).alias("r")).select("r.*")
+    envelope = T.StructType([T.StructField(k, T.ArrayType(record)) for k in ENVELOPE_KEYS])
+    listed = F.when(F.ltrim("value").startswith("["), F.from_json("value", T.ArrayType(record)))
+    boxed = F.when(F.ltrim("value").startswith("{"), F.from_json("value", envelope))
+    return spark.read.text(path).filter(F.trim("value") != "").select(
+        "value", F.coalesce(listed, *[boxed[k] for k in ENVELOPE_KEYS]).alias("records"))
+
+
+def read_disclosures_json(spark: SparkSession, path: str) -> DataFrame:
+    """Records of landed pages: each line is a record list or an object holding one; other lines give nothing."""
+    return _pages(spark, path).select(F.explode("records").alias("r")).filter("r IS NOT NULL").select("r.*")
+
+
+def rejected_pages(spark: SparkSession, path: str) -> DataFrame:
+    """How many landed pages hold no record list (n), and how many pages there are (pages)."""
+    return _pages(spark, path).agg(F.count_if(F.col("records").isNull()).alias("n"), F.count("*").alias("pages"))
 
 
 def normalise_disclosures(df: DataFrame, chamber: str) -> DataFrame:

@@ -6,17 +6,13 @@ so a replay after a lost executor or a restart changes nothing.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from filingscope.operators.clusters import WINDOW_DAYS, cluster_count_td
-from filingscope.operators.flags import OPEN_POSITION_DAYS, flag_signals, new_signals
+from filingscope.operators.flags import OPEN_POSITION_DAYS, flag_signals, new_signals, occupancy
 from filingscope import schemas
 
 
@@ -32,46 +28,41 @@ def stream_daily_counts(sdf: DataFrame, event_time: str, by: str, watermark: str
     ).select(F.col("window.start").cast("date").alias("day"), by, "n")
 
 
-REPEAT_OUT = T.StructType([
-    T.StructField("trade_id", T.StringType()), T.StructField("repeat_before_close", T.IntegerType()),
-    T.StructField("late", T.IntegerType()),
+REPEAT_STATE = T.StructType([
+    T.StructField("filer_id", T.StringType()), T.StructField("ticker", T.StringType()),
+    T.StructField("closes", T.IntegerType()), T.StructField("seen", T.IntegerType()),
 ])
-_REPEAT_STATE = T.StructType([T.StructField("closes", T.LongType()), T.StructField("seen", T.LongType())])
-
-
-def _occupancy(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Flag one key's rows of a micro-batch, oldest first, from the close of its last opener."""
-    closes, seen = state.get if state.exists else (-(2**40), -(2**40))
-    rows = pd.concat(list(frames)).sort_values(["day", "trade_id"])
-    flags, late = [], []
-    for day, close in zip(rows["day"], rows["close_day"]):
-        behind = day < seen
-        repeat = int(day <= closes)
-        if not behind:
-            seen = day
-            if not repeat:
-                closes = close
-        flags.append(None if behind else repeat)
-        late.append(int(behind))
-    state.update((int(closes), int(seen)))
-    yield pd.DataFrame({"trade_id": rows["trade_id"], "repeat_before_close": pd.array(flags, dtype="Int32"), "late": late})
-
-
-def stream_repeat(sdf: DataFrame, cap_days: int = OPEN_POSITION_DAYS) -> DataFrame:
-    """Occupancy rule as keyed state: per (filer, ticker) the close of the last opener.
-
-    Rows are flagged in disclosure order within a micro-batch; rows older than an already processed
-    disclosure of their pair come back with ``late`` = 1 and no flag.  Input: trade_id, filer_id,
-    ticker, disclosure_date, close_date_disc.
+
+
+def start_repeat_stream(
+    sdf: DataFrame, *, rows: str, state: str, out: str, checkpoint: str, cap_days: int = OPEN_POSITION_DAYS,
+) -> StreamingQuery:
+    """Occupancy rule per micro-batch: each (filer, ticker) continues from the close of its last opener.
+
+    Rows are flagged in disclosure order within a micro-batch; rows older than an already processed disclosure of their
+    pair come back with ``late`` = 1 and no flag.  ``rows``, ``state`` and ``out`` are tables partitioned by batch id; a
+    batch overwrites only its own partition and reads only earlier states, so replays are exact.  Input: trade_id,
+    filer_id, ticker, disclosure_date, close_date_disc.
     """
-    close = F.coalesce("close_date_disc", F.date_add("disclosure_date", cap_days))
-    rows = sdf.select(
-        "filer_id", "ticker", "trade_id", F.unix_date("disclosure_date").cast("bigint").alias("day"),
-        F.unix_date(close).cast("bigint").alias("close_day"),
-    )
-    return rows.groupBy("filer_id", "ticker").applyInPandasWithState(
-        _occupancy, REPEAT_OUT, _REPEAT_STATE, "append", GroupStateTimeout.NoTimeout
-    )
+    spark, schema = sdf.sparkSession, sdf.schema
+    spark.createDataFrame([], REPEAT_STATE).write.mode("ignore").parquet(f"{state}/batch_id=-1")
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{rows}/batch_id={batch_id}")
+        fresh = session.read.schema(schema).parquet(f"{rows}/batch_id={batch_id}")
+        known = _batch_table(session, state, REPEAT_STATE).filter(F.col("batch_id") < batch_id)
+        known = known.groupBy("filer_id", "ticker").agg(F.max_by(F.struct("closes", "seen"), "batch_id").alias("s")).select("filer_id", "ticker", "s.*")
+        timed = fresh.join(known, ["filer_id", "ticker"], "left").withColumn("late", F.coalesce(F.unix_date("disclosure_date") < F.col("seen"), F.lit(False)).cast("int"))
+        on_time = timed.filter("late = 0").select(*fresh.columns)
+        occupied = occupancy(on_time, cap_days, known)
+        opens = occupied.select(F.explode("ids").alias("trade_id"), F.lit(0).alias("repeat_before_close"))
+        flagged = on_time.join(opens, "trade_id", "left").select("trade_id", F.coalesce("repeat_before_close", F.lit(1)).alias("repeat_before_close"), F.lit(0).alias("late"))
+        behind = timed.filter("late = 1").select("trade_id", F.lit(None).cast("int").alias("repeat_before_close"), "late")
+        flagged.unionByName(behind).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        occupied.select("filer_id", "ticker", "closes", "seen").write.mode("overwrite").parquet(f"{state}/batch_id={batch_id}")
+
+    return sdf.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def _batch_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
