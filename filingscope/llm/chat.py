@@ -14,7 +14,7 @@ from filingscope.llm.store import save
 #: Marks of the template.  A turn is TURN role \n text END; no escaped text holds a mark.
 TURN, END, ROLE_BREAK = "<|turn|>", "<|end|>\n", "<|nl|>"
 #: Control strings of common chat templates, as what follows their first bracket; a backslash put there disarms them.
-CONTROL = r"(?:(?<=<)(?=\||/?s>|<?/?SYS>>|unk>|pad>|bos>|eos>|(?:start|end)_of_turn>)|(?<=\[)(?=/?INST\]))"
+CONTROL = r"(?:(?<=<)(?=\||/?s>|</?SYS>>|unk>|pad>|bos>|eos>|(?:start|end)_of_turn>)|(?<=\[)(?=/?INST\]))"
 _ESCAPED = CONTROL.replace("(?=", r"\\(?=")
 
 

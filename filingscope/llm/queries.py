@@ -75,7 +75,10 @@ QUERIES = {
     "op10_quality_rules": rules_query,
 }
 
-_MARKED = r"<(?:\||/?s>|<?/?SYS>>|unk>|pad>|bos>|eos>|start_of_turn>|end_of_turn>)|\[/?INST\]"
+_MARKED = r"<(?:\||/?s>|</?SYS>>|unk>|pad>|bos>|eos>|start_of_turn>|end_of_turn>)|\[/?INST\]"
+
+_LOWER = "translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LETTERS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 ORACLES = {
     "op2_chat_trees": f"""
@@ -88,6 +91,26 @@ WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
      coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss, sum(chars) AS chars FROM e GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
   CAST(chars AS BIGINT) AS formatted_chars FROM g""",
+    "op7_jaccard_join": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER.format(text="coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+ s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+ e AS (SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * o >= 85 * (p.n + q.n - o)),
+ l AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+ r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.doc_id)
+SELECT r.doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(root) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id""",
+    "op8_decontamination": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format(text="coalesce(text, '')")}, '{_LETTERS}') AS w FROM documents),
+ b AS (SELECT item_id, w, least(len(w), 10) AS m FROM (SELECT item_id, regexp_extract_all({_LOWER.format(text="coalesce(text, '')")}, '{_LETTERS}') AS w FROM benchmark) WHERE len(w) > 0),
+ v AS (SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS i FROM b)),
+ x AS (SELECT doc_id, i, m, array_to_string(w[i:i + m - 1], ' ') AS g FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d CROSS JOIN (SELECT DISTINCT m FROM v) WHERE len(w) >= m)),
+ h AS (SELECT x.doc_id, x.i, x.m, v.item_id FROM x JOIN v ON v.m = x.m AND v.g = x.g),
+ p AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS k FROM h) GROUP BY doc_id),
+ t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id""",
     "op3_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
  c AS (SELECT html, min(page_id) AS first FROM p WHERE strlen(html) >= 100 GROUP BY html HAVING count(*) > 1)

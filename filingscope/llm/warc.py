@@ -150,7 +150,10 @@ def parse(data: bytes) -> dict:
     digest, length = fields.get("warc-payload-digest", "").removeprefix("sha256:"), fields.get("warc-payload-length")
     payload = None
     if kind == "response":
-        payload = block[:-4].partition(b"\r\n\r\n")[2]
+        http, _, payload = block[:-4].partition(b"\r\n\r\n")
+        told = [x.partition(b":")[2].strip() for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+        if told and told != [b"%d" % len(payload)]:
+            raise Broken("payload and its HTTP length differ")
         if hashlib.sha256(payload).hexdigest() != digest or length != str(len(payload)):
             raise Broken("payload and its digest or length differ")
     elif kind == "revisit" and (not digest or not (length or "").isdigit() or "warc-refers-to" not in fields):
