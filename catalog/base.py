@@ -71,25 +71,46 @@ def _mapped(text: str):
     return build
 
 
+#: Derived tables of this application that several queries read, by application, input folder and name.
+_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def written(spark: SparkSession, d: str, name: str, build) -> DataFrame:
+    """A table derived from the inputs, computed once per application and input folder and kept in the shared folder."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = materialize(build())
+    return _WRITTEN[key]
+
+
 trades = _mapped(TRADES_SQL)
-prices = _mapped(PRICES_SQL)
+price_rows = _mapped(PRICES_SQL)
 filers = _mapped(FILERS_SQL)
 members = _mapped(MEMBERS_SQL)
 
 
+def prices(spark: SparkSession, d: str) -> DataFrame:
+    """The mapped price series, one written table for all queries of a batch."""
+    return written(spark, d, "prices", lambda: price_rows(spark, d))
+
+
 def buys(spark: SparkSession, d: str) -> DataFrame:
     return trades(spark, d).filter("transaction_type = 'buy'")
 
 
 def trade_table(spark: SparkSession, d: str) -> DataFrame:
     """The mapped trades as a written table, for queries that read them several times."""
-    return materialize(trades(spark, d))
+    return written(spark, d, "trades", lambda: trades(spark, d))
+
+
+def label_run(spark: SparkSession, d: str, horizon: int | None = None, **barriers: float) -> DataFrame:
+    """All buys with disclosure price and labels (10/10 unless told otherwise), computed here and now."""
+    return label_disclosures(buys(spark, d), prices(spark, d), horizon_days=horizon, **barriers)
 
 
-def labelled(spark: SparkSession, d: str, horizon: int | None = None, from_trades: DataFrame | None = None) -> DataFrame:
-    """All buys with disclosure price and 10/10 labels over their whole paths."""
-    rows = trades(spark, d) if from_trades is None else from_trades
-    return label_disclosures(rows.filter("transaction_type = 'buy'"), prices(spark, d), horizon_days=horizon)
+def labelled(spark: SparkSession, d: str) -> DataFrame:
+    """All buys with disclosure price and 10/10 labels over their whole paths: the one label pass of a batch."""
+    return written(spark, d, "labelled", lambda: label_run(spark, d))
 
 
 # ---------------------------------------------------------------------------------------------

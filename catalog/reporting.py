@@ -21,27 +21,27 @@ def positions(s, d):
     """Collapsed positions with asset class and repeat flag after basket exclusion (all assets)."""
     trades = base.trade_table(s, d)
     rows = flags.exclude_baskets(
-        flags.qualifying_buys(scoring_queries.repeated(s, d, None, trades)), trades, None, BASKET_TD, BASKET_DD)
+        flags.qualifying_buys(scoring_queries.repeated(s, d)), trades, None, BASKET_TD, BASKET_DD)
     return scoring.collapse_filings(rows, "asset_type", "repeat_before_close")
 
 
 def all_repeated(s, d):
     """Every trade; buys carry price, label and repeat columns."""
     trades = base.trade_table(s, d)
-    buys = scoring_queries.repeated(s, d, None, trades).select(
+    buys = scoring_queries.repeated(s, d).select(
         "trade_id", "price_at_disclosure_date", "max_drawdown_disc", "days_to_exit_disc", "repeat_before_close")
     return trades.join(buys, "trade_id", "left")
 
 
 def filtered(s, d):
     trades = base.trade_table(s, d)
-    rows = flags.qualifying_buys(scoring_queries.repeated(s, d, None, trades), ["stock"], exclude_repeats=True)
+    rows = flags.qualifying_buys(scoring_queries.repeated(s, d), ["stock"], exclude_repeats=True)
     return flags.exclude_baskets(rows, trades, ["stock"], BASKET_TD, BASKET_DD)
 
 
 def feed(s, d):
-    rows = materialize(base.labelled(s, d))
-    return reports.feed(rows, scoring_queries.published(s, d, rows), features.routine_buyers(rows), F.lit(SINCE))
+    rows = base.labelled(s, d)
+    return reports.feed(rows, scoring_queries.published(s, d), features.routine_buyers(rows), F.lit(SINCE))
 
 
 def regridded(s, d):
@@ -85,18 +85,18 @@ QUERIES = {
 
 
 def summary(s, d):
-    rows = materialize(base.labelled(s, d))
-    return reports.summary_stats(rows, scoring_queries.published(s, d, rows))
+    rows = base.labelled(s, d)
+    return reports.summary_stats(rows, scoring_queries.published(s, d))
 
 
 def topk(s, d):
     """Four top-k reports in one frame: scores, repeat-flagged filers, committee flags, latest signals' stand-in."""
     from catalog import committees
 
-    rows = materialize(scoring_queries.repeated(s, d))
+    rows = scoring_queries.repeated(s, d)
     names = base.filers(s, d).select("filer_id", "name")
     best = reports.top_k(
-        scoring_queries.published(s, d, rows.drop("repeat_before_close")).filter("score IS NOT NULL"), [F.col("score").desc(), F.col("filer_id")], 30
+        scoring_queries.published(s, d).filter("score IS NOT NULL"), [F.col("score").desc(), F.col("filer_id")], 30
     ).select(F.lit("scores").alias("report"), F.col("filer_id").alias("key"), F.col("score").alias("value"))
     flagged = reports.top_k(
         rows.filter("repeat_before_close = 1 AND filing_violation = 'compliant' AND asset_type = 'stock'").join(names, "filer_id")

@@ -26,24 +26,28 @@ def repeat_column(rows, trades):
     return rows.join(repeats, "trade_id", "left").withColumn("repeat_before_close", F.coalesce("repeat_before_close", F.lit(0)))
 
 
-def repeated(spark, d, rows=None, trades=None):
-    trades = base.trade_table(spark, d) if trades is None else trades
-    rows = materialize(base.labelled(spark, d, from_trades=trades)) if rows is None else rows
-    return repeat_column(rows, trades)
+def repeat_run(spark, d):
+    """Labelled buys with the repeat flag, computed here and now."""
+    return repeat_column(base.labelled(spark, d), base.trade_table(spark, d))
 
 
-def scores(spark, d, rows=None, trades=None):
-    trades = base.trade_table(spark, d) if trades is None else trades
-    return scoring.score_by_asset(materialize(repeated(spark, d, rows, trades)), trades, PARAMS)
+def repeated(spark, d):
+    """Labelled buys with the repeat flag: one written table for a batch."""
+    return base.written(spark, d, "repeated", lambda: repeat_run(spark, d))
 
 
-def published(spark, d, rows=None, trades=None):
-    return scoring.publish_scores(base.filers(spark, d), scores(spark, d, rows, trades))
+def scores(spark, d):
+    """Scores of all filers: one written table for a batch."""
+    return base.written(spark, d, "scores", lambda: scoring.score_by_asset(repeated(spark, d), base.trade_table(spark, d), PARAMS))
+
+
+def published(spark, d):
+    return scoring.publish_scores(base.filers(spark, d), scores(spark, d))
 
 
 def stock_score(s, d):
     trades = base.trade_table(s, d)
-    return scoring.score_filers(scoring.scoreable(repeated(s, d, None, trades), trades, ["stock"], PARAMS), PARAMS)
+    return scoring.score_filers(scoring.scoreable(repeated(s, d), trades, ["stock"], PARAMS), PARAMS)
 
 
 def relevant(spark, d, rows=None):
@@ -55,9 +59,9 @@ def relevant(spark, d, rows=None):
 
 def leaders(s, d):
     trades = base.trade_table(s, d)
-    rows = materialize(base.labelled(s, d, from_trades=trades))
+    rows = base.labelled(s, d)
     return reports.leaderboard(
-        published(s, d, rows, trades), scoring.filing_stats(relevant(s, d, rows)), scoring.late_filings(trades), trades)
+        published(s, d), scoring.filing_stats(relevant(s, d, rows)), scoring.late_filings(trades), trades)
 
 
 QUERIES = {
@@ -68,14 +72,14 @@ QUERIES = {
         F.max("day").alias("days"), F.max("date").alias("last_date"), stable_round(F.max("close"), 4).alias("top_close"), F.min("pct_change").alias("least_change")),
     "build_paths_horizon": lambda s, d: prices.build_paths(base.buys(s, d), base.prices(s, d), "disc", HORIZON).select(
         "trade_id", "day", "date", stable_round("close", 4).alias("close"), "pct_change"),
-    "barrier_horizon": lambda s, d: base.labelled(s, d, HORIZON).select("trade_id", "outcome", "days_to_exit_disc"),
-    "barrier_wide": lambda s, d: barriers.label_disclosures(base.buys(s, d), base.prices(s, d), stop=30.0, target=30.0).select(
+    "barrier_horizon": lambda s, d: base.label_run(s, d, HORIZON).select("trade_id", "outcome", "days_to_exit_disc"),
+    "barrier_wide": lambda s, d: base.label_run(s, d, stop=30.0, target=30.0).select(
         "trade_id", "outcome", "days_to_exit_disc"),
     "entry_price": lambda s, d: base.labelled(s, d).select("trade_id", stable_round("entry_price", 6).alias("entry_price")),
-    "barrier_outcome": lambda s, d: base.labelled(s, d).select("trade_id", "outcome", "days_to_exit_disc", "close_date_disc"),
-    "drawdown_metrics": lambda s, d: base.labelled(s, d).select(
+    "barrier_outcome": lambda s, d: base.label_run(s, d).select("trade_id", "outcome", "days_to_exit_disc", "close_date_disc"),
+    "drawdown_metrics": lambda s, d: base.label_run(s, d).select(
         "trade_id", "max_drawdown_disc", "drawdown_disc_5pct", "drawdown_disc_10pct", "drawdown_disc_15pct"),
-    "barrier_open_ended": lambda s, d: base.labelled(s, d, None).select("trade_id", "outcome", "days_to_exit_disc", "max_drawdown_disc"),
+    "barrier_open_ended": lambda s, d: base.label_run(s, d).select("trade_id", "outcome", "days_to_exit_disc", "max_drawdown_disc"),
     "barrier_dual_anchor": lambda s, d: dual(s, d).select(
         "trade_id", "outcome_trade", "days_to_exit_trade", "max_drawdown_before_profit", "outcome_disc", "days_to_exit_disc", "max_drawdown_disc"),
     "drawdown_summary": lambda s, d: scoring.drawdown_summary(dual(s, d)),
@@ -88,7 +92,7 @@ QUERIES = {
         flags.qualifying_buys(base.labelled(s, d)), base.trades(s, d), None, BASKET_TD, BASKET_DD).select("trade_id"),
     "basket_flag": lambda s, d: flags.with_basket_flag(
         base.labelled(s, d), base.trades(s, d), None, BASKET_TD, BASKET_DD).select("trade_id", "basket_day"),
-    "repeat_flag": lambda s, d: repeated(s, d).select("trade_id", "repeat_before_close"),
+    "repeat_flag": lambda s, d: repeat_run(s, d).select("trade_id", "repeat_before_close"),
     "flag_rates": lambda s, d: reports.flag_rates(flags.qualifying_buys(repeated(s, d)), "repeat_before_close"),
     "score_dedup": lambda s, d: scoring.collapse_filings(flags.qualifying_buys(base.labelled(s, d))).select(
         "filer_id", "ticker", "disclosure_date", "trade_id", "size_midpoint", stable_round("max_drawdown_disc", 4).alias("max_drawdown_disc"), "outcome"),

@@ -24,13 +24,13 @@ def pool(s, d, rows=None):
 
 def table(s, d):
     """The labelled buys as a written table: most operators below read their input more than once."""
-    return materialize(base.labelled(s, d))
+    return base.labelled(s, d)
 
 
 def measured(s, d):
     """Labelled buys with both cluster counts (compliant priced buys only), moves, basket and signal flags."""
     trades = base.trade_table(s, d)
-    rows = materialize(base.labelled(s, d, from_trades=trades))
+    rows = base.labelled(s, d)
     counted = clusters.cluster_count_td(pool(s, d, rows)).select("trade_id", "cluster_count_td")
     rows = rows.join(counted, "trade_id", "left")
     rows = prices.asof_join(rows, base.prices(s, d), "trade_date", out="price_at_trade_date")
@@ -83,7 +83,7 @@ QUERIES = {
     "repeat_features": lambda s, d: features.repeat_features(table(s, d)),
     "pit_recency": lambda s, d: features.pit_recency(base.buys(s, d)),
     "pit_concentration": lambda s, d: features.pit_concentration(base.buys(s, d)),
-    "pit_quality": lambda s, d: features.pit_quality(materialize(scoring_queries.repeated(s, d))),
+    "pit_quality": lambda s, d: features.pit_quality(scoring_queries.repeated(s, d)),
     "pit_performance": lambda s, d: features.pit_performance(table(s, d)),
     "pit_performance_exit": lambda s, d: features.pit_performance(table(s, d), resolved="exited", as_of_exit=True),
     "routine_buyer": lambda s, d: features.routine_buyers(base.buys(s, d)),
@@ -97,14 +97,14 @@ QUERIES = {
 
 
 def repeat_buckets(s, d):
-    rows = materialize(base.labelled(s, d))
+    rows = base.labelled(s, d)
     return features.repeat_analysis(rows.join(features.repeat_features(rows), "trade_id"))
 
 
 def latest(s, d):
-    rows = materialize(base.labelled(s, d))
+    rows = base.labelled(s, d)
     known = features.pit_performance(rows).filter("pit_win_rate IS NOT NULL")
-    scored = scoring_queries.published(s, d, rows).select("filer_id", "name", "win_rate")
+    scored = scoring_queries.published(s, d).select("filer_id", "name", "win_rate")
     newest = features.latest_per_group(
         rows.join(known, "trade_id"), "filer_id", ["trade_date", "trade_id"], ["trade_id", "trade_date", "pit_win_rate"])
     return newest.join(scored.filter("win_rate IS NOT NULL"), "filer_id")

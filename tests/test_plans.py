@@ -6,7 +6,7 @@ import io
 import pytest
 
 import __spark_entry__ as entry
-from catalog import base
+from catalog import base, registry
 from filingscope.operators import clusters, features, flags, merge
 from tests.oracle import differences, duck
 
@@ -28,12 +28,13 @@ def test_entry_runs(spark):
 
 def test_registered_names_match():
     assert set(ORACLES) <= set(entry.queries())
-    assert set(entry.queries()) - set(ORACLES) == {"spot_check", "entity_match"}
+    assert set(registry.queries()) - set(registry.oracle_sql()) == {"entity_match"}
 
 
 FAST = [
     "barrier_outcome", "barrier_open_ended", "barrier_grid", "filer_score", "repeat_flag", "cluster_td", "cluster_dd", "repeat_features", "pit_recency",
     "pit_concentration", "committee_relevance", "merge_fuzzy", "dedup_best", "norm_record", "market_wide", "funnel", "keyed_match", "stream_repeat",
+    "build_paths", "barrier_horizon", "forward_returns", "extend_paths", "ingest_json", "ingest_rejects", "spot_check",
 ]
 
 
@@ -48,7 +49,7 @@ def test_query_equals_oracle(spark, con, name):
 
 
 def test_no_nested_loops_or_python(spark):
-    buys = base.labelled(spark, SMALL)
+    buys = base.label_run(spark, SMALL)
     trades = base.trades(spark, SMALL)
     plans = {
         "baskets": flags.exclude_baskets(flags.qualifying_buys(buys), trades), "clusters": clusters.cluster_count_td(buys), "labels": buys,
