@@ -23,14 +23,24 @@ from filingscope.llm.store import narrow, row_text, save
 
 CAPACITY, TOKENIZER = 2048, "word_bpe_49k.json"
 #: Lengths are rounded up to this grid in the linear program only; coverage at which the weights stop; step of weights.
-GRID, COVER, STEP = 4, 6.0, 0.25
+GRID, COVER, STEP = 4, 4.0, 0.25
+#: Room up to which a sequence of the linear program stays as it is; the rounding with the fewest sequences is taken.
+SLACK = (0, 4, 16)
 #: Words kept with their ids by a Python worker, rows of a ranking group.
-CACHED_WORDS, RANK_ROWS = 500_000, 5_000
+CACHED_WORDS, RANK_ROWS = 200_000, 5_000
 
 #: Characters whose lower case, composition and class don't depend on their neighbours; other texts are encoded whole.
 _PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ňŊ-ſ]|<\|")
-#: White-space chunks; a final full stop or comma after letters alone is a chunk of its own, as it is for the tokenizer.
-_CHUNK = re.compile(r"(?<!\S)[^\W\d_]+(?=[.,]?(?!\S))|(?<=[^\W\d_])[.,](?!\S)|\S+")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The printable stand-ins that byte-level vocabularies have for bytes."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {**{b: b for b in own}, **{b: 256 + k for k, b in enumerate(rest)}}
+
+
+_LETTERS = _byte_letters()
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -39,32 +49,38 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-class WordIds:
-    """Token ids of texts as packed unsigned 32-bit integers, with the ids of words remembered.
+class WordIds(dict):
+    """Token ids of white-space chunks as packed unsigned 32-bit integers, found when first asked for.
 
     The tokenizer drops white space and never merges across it, so a text's ids are those of its chunks in order.
+    Letters alone are one word, and a final full stop or comma after them is another; these go to the merges directly.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.merges = self.tokenizer.model
+
+    def __missing__(self, chunk: str) -> bytes:
+        if chunk.isalpha():
+            word = chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(_LETTERS)
+            out = array("I", [t.id for t in self.merges.tokenize(word)]).tobytes()
+        elif chunk[-1] in ".," and chunk[:-1].isalpha():
+            out = self[chunk[:-1]] + self[chunk[-1]]
+        else:
+            out = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        self[chunk] = out
+        return out
 
     def ids(self, text: str) -> bytes:
         if _PLAIN.search(text):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        chunks = _CHUNK.findall(text.lower())
-        known = self.known
-        new = list({c for c in chunks if c not in known})
-        if new:
-            if len(known) + len(new) > CACHED_WORDS:
-                known.clear()
-                new = list(set(chunks))
-            for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[c] = array("I", e.ids).tobytes()
-        return b"".join(map(known.__getitem__, chunks))
+        if len(self) > CACHED_WORDS:
+            self.clear()
+        return b"".join(map(self.__getitem__, text.lower().split()))
 
 
 #: One for each Python worker, which serves many tasks.
@@ -151,6 +167,17 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list
     The rounded-down linear program fills first; what is left is placed best-fit, longest first, into the room that
     those sequences and new ones have.
     """
+    classes: dict[int, list[int]] = {}
+    for length in sorted((k for k, n in histogram.items() if n and k < capacity), reverse=True):
+        classes.setdefault(-(-length // GRID), []).append(length)
+    size = np.array(sorted(classes))
+    demand = np.array([sum(histogram[x] for x in classes[s]) for s in size], float)
+    solved = [({int(size[k]): n for k, n in c.items()}, x) for c, x in configurations(size, demand, capacity // GRID)] if classes else []
+    tries = [_rounded(histogram, classes, solved, capacity, slack) for slack in SLACK]
+    return min(tries, key=lambda groups: sum(n for _, n in groups))
+
+
+def _rounded(histogram: dict[int, int], classes: dict[int, list[int]], solved: list[tuple[dict[int, int], float]], capacity: int, slack: int) -> list[tuple[list[int], int]]:
     left = {length: n for length, n in histogram.items() if n}
     done = [([length], left.pop(length)) for length in list(left) if length == capacity]
     open_: dict[int, list[tuple[list[int], int]]] = {}
@@ -163,30 +190,39 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list
             insort(rooms, room)
         open_[room].append((lengths, times))
 
-    classes: dict[int, list[int]] = {}
-    for length in sorted(left, reverse=True):
-        classes.setdefault(-(-length // GRID), []).append(length)
-    size = np.array(sorted(classes))
-    if len(size):
-        demand = np.array([sum(left[x] for x in classes[s]) for s in size], float)
-        for config, x in configurations(size, demand, capacity // GRID):
-            times = int(x)
-            while times:
-                # Exact lengths for the configuration: the longest of each class that is left.
-                chosen: Counter = Counter()
-                for k, n in config.items():
-                    for _ in range(n):
-                        found = next((y for y in classes[int(size[k])] if left[y] > chosen[y]), None)
-                        if found is None:
-                            break
-                        chosen[found] += 1
-                if sum(chosen.values()) < sum(config.values()):
-                    break
-                own = min([times, *(left[y] // n for y, n in chosen.items())])
-                for y, n in chosen.items():
-                    left[y] -= own * n
-                put(sorted(chosen.elements(), reverse=True), own)
-                times -= own
+    for config, x in solved:
+        times = int(x)
+        while times:
+            # Exact lengths for the configuration: the longest of each class that is left.
+            chosen: Counter = Counter()
+            for k, n in config.items():
+                for _ in range(n):
+                    found = next((y for y in classes[k] if left[y] > chosen[y]), None)
+                    if found is None:
+                        break
+                    chosen[found] += 1
+            if sum(chosen.values()) < sum(config.values()):
+                break
+            own = min([times, *(left[y] // n for y, n in chosen.items())])
+            for y, n in chosen.items():
+                left[y] -= own * n
+            put(sorted(chosen.elements(), reverse=True), own)
+            times -= own
+    # Sequences that rounding up left room in, and the emptiest beyond the least possible number, are taken apart again.
+    spare = -(-sum(k * n for k, n in histogram.items()) // capacity) - sum(n for _, n in done)
+    for room in list(rooms):
+        kept = []
+        for lengths, times in open_[room]:
+            stay = max(0, min(times, spare)) if room <= slack else 0
+            spare -= stay
+            if stay:
+                kept.append((lengths, stay))
+            for y in lengths:
+                left[y] += times - stay
+        open_[room] = kept
+        if not kept:
+            del open_[room]
+            rooms.remove(room)
     for length in sorted(left, reverse=True):
         n = left[length]
         while n:
