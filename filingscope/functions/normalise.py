@@ -89,6 +89,7 @@ def parse_date(col: Column, formats: Sequence[str] = API_DATE_FORMATS, as_of: Co
     """
     text = F.trim(col)
     if as_of is not None:
+        # The squeezed forms in which pages write dates.
         text = F.trim(F.regexp_replace(text, r"^\d{1,2}:\d{2}\s*", ""))
         text = F.regexp_replace(text, r"([A-Za-z]{3})(\d{4})", "$1 $2")
         text = F.regexp_replace(text, r"(\d{1,2})([A-Za-z])", "$1 $2")

@@ -171,6 +171,7 @@ def freshness(trades: DataFrame, prices: DataFrame) -> DataFrame:
 
 # -- funnel -----------------------------------------------------------------------------------
 
+# Labels of the funnel's steps.
 FUNNEL_STEPS = (
     "All trades", "Buy trades", "Compliant buys", "Priced at disclosure", "Price fetch not failed",
     "asset_type = stock", "Trade date not blank", "Not trade-date basket", "Not disc-date basket",

@@ -58,6 +58,17 @@ def test_json_envelopes(spark, tmp_path):
     assert {r.ticker for r in df.collect()} == {"L1", "L2", "D", "R", "T"}
 
 
+def test_pages_without_records(spark, tmp_path):
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "x.json").write_text('{"error": "limit"}\n<html>\n[]\n\n{"data": [{"lastName": "B"}, null]}\n[{"lastName": "C"}]\n{"data": 5}\n')
+    assert {r.lastName for r in ingest.read_disclosures_json(spark, str(tmp_path / "p")).collect()} == {"B", "C"}
+    assert tuple(ingest.rejected_pages(spark, str(tmp_path / "p")).first()) == (3, 6)
+
+
+def test_accents_of_all_latin_letters(rows, got):
+    assert column(rows, got, N.fold_name(F.col("v")), ["Čapek Őry Şahin Žižka Nguyễn"]) == {"Čapek Őry Şahin Žižka Nguyễn": "capek ory sahin zizka nguyen"}
+
+
 def test_members_xml(spark, tmp_path):
     (tmp_path / "m.xml").write_text("""<?xml version="1.0"?><MemberData><members>
       <member><statedistrict>ca12</statedistrict><member-info><bioguideID>A1</bioguideID><lastname>L</lastname><firstname>F</firstname><party>R</party></member-info>
