@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from catalog import base
 from catalog import committees as committee_queries
 from catalog.base import CTES, with_ctes
+from filingscope.functions.rounding import stable_round
 from filingscope.operators import merge, quality, resolve
 from filingscope.operators.committees import prepare_memberships
 
 CUTOFF = datetime.date(2001, 6, 1)
+LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def _line():
@@ -86,7 +88,7 @@ def misspelt(s, d):
     """The same names with a dropped letter, another case, a suffix or no change."""
     p = people(s, d)
     kind = F.pmod(F.substring("filer_id", 2, 20).cast("bigint"), F.lit(4))
-    name = F.when(kind == 0, F.col("name")).when(kind == 1, F.expr("substring(name, 1, length(name) - 1)")).when(kind == 2, F.upper("name")).otherwise(F.concat("name", F.lit(" Jr")))
+    name = F.when(kind == 0, F.col("name")).when(kind == 1, F.expr("substring(name, 1, length(name) - 1)")).when(kind == 2, F.translate("name", LOWER, UPPER)).otherwise(F.concat("name", F.lit(" Jr")))
     return p.select(name.alias("name"), "chamber")
 
 
@@ -135,7 +137,8 @@ QUERIES = {
     "overlap_rows": lambda s, d: merge.colliding_rows(main_rows(s, d), staged(s, d)).select("trade_id"),
     "cascade_children": lambda s, d: children(s, d),
     "keyed_match": lambda s, d: resolve.match_by_rules(callers(s, d), roster(s, d)),
-    "entity_match": lambda s, d: resolve.resolve_names(misspelt(s, d), people(s, d)),
+    "entity_match": lambda s, d: resolve.resolve_names(misspelt(s, d), people(s, d), exact_ratio=False).select(
+        "name", "chamber", "filer_id", stable_round("score", 6).alias("score"), "method"),
     "remap_ids": lambda s, d: resolve.remap_filers(*unmatched(s, d), resolutions(s, d))[0].groupBy("filer_id").agg(F.count("*").alias("n")),
     "remap_filers": lambda s, d: resolve.remap_filers(*unmatched(s, d), resolutions(s, d))[1],
     "missing_members": lambda s, d: resolve.missing_members(snapshots(s, d), known_filers(s, d)),
@@ -184,7 +187,34 @@ CTES["r_callers"] = (
           CASE WHEN CAST(filer_id AS BIGINT) % 3 = 0 THEN upper(state) END AS st FROM roster""",
 )
 
+_NICK = ", ".join(f"('{a}', '{b}')" for a, b in resolve.NICKNAMES.items())
+_PARTS = """SELECT *, list_filter(string_split_regex(full_, '\\s+'), lambda t: t <> '') AS w FROM (SELECT *, trim(lower(name)) AS full_ FROM {t})"""
+# Suffixes at the end go, the last word that is left is the last name.
+_NAMED = """SELECT p.*, coalesce(k[len(k)], '') AS last_, coalesce(n.formal, w[1], '') AS first_ FROM (
+    SELECT *, CASE WHEN w[len(w)] NOT IN {x} THEN w WHEN w[len(w) - 1] NOT IN {x} THEN w[:len(w) - 1] ELSE [] END AS k FROM {t}) p LEFT JOIN nick n ON n.short = p.w[1]"""
+_SUFFIXES = "(" + ", ".join(f"'{x}'" for x in resolve.SUFFIXES) + ")"
+# DuckDB counts edits in bytes, so the oracle gives every accented letter a byte of its own.
+_BYTE = "translate({x}, 'äöüßéèêëçàáâíîïñóôúùûœæý', '0123456789!#$%&*+/;<=>?@')"
+_RATIO = "CASE WHEN greatest(length({a}), length({b})) = 0 THEN 1e0 ELSE 1 - levenshtein(" + _BYTE.format(x="{a}") + ", " + _BYTE.format(x="{b}") + ") / greatest(length({a}), length({b})) END"
+_FULL, _LAST, _FIRST = (_RATIO.format(a=f"s.{c}", b=f"f.{c}") for c in ("full_", "last_", "first_"))
+_WORD = "^[^\\p{L}]*(\\p{L}+)[^\\p{L}]+(\\p{L}+)"
+ENTITY_SQL = f"""
+WITH nick AS (SELECT * FROM (VALUES {_NICK}) AS v(short, formal)),
+ d AS (SELECT doc_id, lang, regexp_extract(text, '{_WORD}', 1) || ' ' || regexp_extract(text, '{_WORD}', 2) AS name FROM documents WHERE regexp_extract(text, '{_WORD}', 2) <> ''),
+ people AS (SELECT name, 'D' || min(doc_id) AS filer_id, min(lang) AS chamber FROM d GROUP BY name),
+ asked AS (SELECT DISTINCT CASE k WHEN 0 THEN name WHEN 1 THEN substr(name, 1, length(name) - 1) WHEN 2 THEN translate(name, '{LOWER}', '{UPPER}') ELSE name || ' Jr' END AS name, chamber
+   FROM (SELECT *, CAST(substr(filer_id, 2) AS BIGINT) % 4 AS k FROM people)),
+ s0 AS ({_PARTS.format(t="asked")}), f0 AS ({_PARTS.format(t="people")}),
+ s AS ({_NAMED.format(t="s0", x=_SUFFIXES)}), f AS ({_NAMED.format(t="f0", x=_SUFFIXES)}),
+ e AS (SELECT s.name, s.chamber, min(f.filer_id) AS filer_id FROM s JOIN f ON f.full_ = s.full_ GROUP BY ALL),
+ p AS (SELECT s.name, s.chamber, f.filer_id, greatest({_FULL}, 0.6e0 * ({_LAST}) + 0.4e0 * ({_FIRST})) AS raw, coalesce(lower(s.chamber) = lower(f.chamber), false) AS same
+   FROM s CROSS JOIN f WHERE s.full_ NOT IN (SELECT full_ FROM f)),
+ c AS (SELECT *, CASE WHEN same THEN least(raw + 0.04e0, 1e0) ELSE raw END AS score FROM p)
+SELECT name, chamber, filer_id, 1e0 AS score, 'exact' AS method FROM e
+UNION ALL (SELECT name, chamber, filer_id, round(score, 6), 'scored' FROM c WHERE score >= 0.82e0 QUALIFY row_number() OVER (PARTITION BY name, chamber ORDER BY score DESC, filer_id) = 1)"""
+
 ORACLES = {
+    "entity_match": ENTITY_SQL,
     "coalesce_update": with_ctes(
         "SELECT trade_id, CASE WHEN size_midpoint % 3 = 0 THEN sector ELSE (SELECT s_name FROM supplier WHERE CAST(s_suppkey AS VARCHAR) = t.ticker) END AS sector FROM trades t", "trades"),
     "asset_class": with_ctes(

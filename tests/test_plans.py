@@ -28,7 +28,7 @@ def test_entry_runs(spark):
 
 def test_registered_names_match():
     assert set(ORACLES) <= set(entry.queries())
-    assert set(registry.queries()) - set(registry.oracle_sql()) == {"entity_match"}
+    assert set(registry.queries()) == set(registry.oracle_sql())
 
 
 FAST = [
