@@ -23,6 +23,8 @@ _PATTERNS = [  # in order of precedence where they overlap
     ("secret", re.compile(r"(?i)\b(?:token|password|passwd|secret|api[_-]?key)\s*[=:]\s*[\"']?([A-Za-z0-9_+/-]{8,})")),
     ("email", re.compile(r"(?<![\w.+-])([\w+-][\w.+-]*@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,})(?![\w-])")),
     ("ip", re.compile(r"(?<![\d.])((?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))(?!\.?\d)")),
+    ("iban", re.compile(r"\b([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)\b")),
+    ("ssn", re.compile(r"(?<![\w-])(\d{3}-\d{2}-\d{4})(?![\w-])")),
     ("phone", re.compile(r"(?<![\w+])(\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4})(?!\w)")),
     ("card", re.compile(r"(?<![\w.-])(\d{4}([ -]?)\d{4}\2\d{4}\2\d{1,7})(?![\w-])")),
 ]
@@ -54,11 +56,13 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
     found: list[tuple[int, int, str, str]] = []
     digits = re.search(r"\d\d", text) is not None
     for kind, pattern in _PATTERNS:
-        if kind == "email" and "@" not in text or kind in ("ip", "phone", "card") and not digits or kind == "secret" and "=" not in text and ":" not in text:
+        if kind == "email" and "@" not in text or kind in ("ip", "iban", "ssn", "phone", "card") and not digits or kind == "secret" and "=" not in text and ":" not in text:
             continue
         for m in pattern.finditer(text):
             value = m[1]
-            if kind in ("phone", "card"):
+            if kind == "iban":
+                value = value.replace(" ", "")
+            if kind in ("phone", "card", "ssn"):
                 value = re.sub(r"\D", "", value)
                 if kind == "card" and not 13 <= len(value) <= 19 or kind == "phone" and not 7 <= len(value) <= 15:
                     continue
@@ -132,6 +136,9 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
         return body + next(str(d) for d in range(10) if not _luhn(body + str(d)))
     if kind == "phone":
         return value[0] + _alike(value[1:], below)
+    if kind in ("iban", "ssn"):
+        kept = 2 * (kind == "iban")  # the country
+        return value[:kept] + _alike(value[kept:], below)
     if kind == "secret":
         return _alike(value, below, re.fullmatch(r"[0-9a-fA-F]+", value) is not None)
     # Names: syllables of the script, as long as the name or a little longer.
@@ -145,9 +152,9 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
 
 def render(shown: str, kind: str, replacement: str) -> str:
     """The surrogate in the format of a mention: its separators or its case."""
-    if kind in ("phone", "card"):
-        digits = iter(replacement)
-        return "".join(next(digits) if c.isdigit() else c for c in shown)
+    if kind in ("phone", "card", "ssn", "iban"):
+        marks = iter(replacement)
+        return "".join(next(marks) if c.isdigit() or kind == "iban" and c != " " else c for c in shown)
     if kind == "email":
         return replacement.upper() if shown.isupper() else replacement
     if kind == "surname" or kind.startswith("given-"):

@@ -90,7 +90,7 @@ def test_ties_keep_the_first_start():
 PERSONAL = [
     (1, "Write to Anna.Lee@mail3.example.com or +1 (632) 555-4827; Mrs. Anna Lee and Mrs. Lee agree."), (2, "ANNA.LEE@MAIL3.EXAMPLE.COM, 10.20.30.40, 4111 1111 1111 1111, 4111-1111-1111-1111"),
     (3, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" password: hunter2hunter2'), (4, "Госпожа Анна Петрова, Κυρία Ελένη, Herr Schmidt-Meier"), (5, None), (6, ""), (7, "Nothing here, 12 of 34 times 5.6.7"),
-    (8, "+16325554827"), (8, "+16325554827")]
+    (8, "+16325554827"), (8, "+16325554827"), (9, "DE44 5001 0517 5407 3249 31 or DE44500105175407324931; 123-45-6789.")]
 
 
 def test_surrogates(spark):
@@ -110,6 +110,8 @@ def test_surrogates(spark):
     assert a.replace(" ", "") == b.replace("-", "") and pii._luhn(a.replace(" ", "")) == 0
     assert re.fullmatch(r"Госпожа [А-Я][а-я]+ [А-Я][а-я]+, Κυρία [Α-Ω][α-ως]+, Herr [A-Z][a-z]+", got[4].text)
     assert re.search(r'"[0-9a-f]{40}"', got[3].text)
+    iban = re.fullmatch(r"(DE\d\d(?: \d{4}){4} \d\d) or (DE\d{20}); \d{3}-\d{2}-\d{4}\.", got[9].text)
+    assert iban[1].replace(" ", "") == iban[2]
     assert pii.with_surrogates(docs.limit(0), b"key").collect() == []
     other = {r.doc_id: r.text for r in pii.with_surrogates(docs, b"other").collect()}
     assert other[1] != got[1].text
