@@ -25,10 +25,15 @@ from filingscope.llm.words import NOT_SPACE, mix, pieces, runs, words
 
 #: Parts with at most so many n-grams say little; the most of these that is affordable is taken.
 LITTLE = (2, 1, 0)
-#: Signatures of a column block; with them the number of blocks follows the input.
-BLOCK_SIGNATURES = 2_000_000
-#: Rows and n-grams of one block of a family, rows and n-grams of one tile.
-BLOCK_ROWS, BLOCK_GRAMS, TILE_ROWS, TILE_GRAMS = 1024, 2_000_000, 256, 4096
+#: N-grams counted at once, occurrences among them from which one may be common, and the most common ones broadcast.
+COUNTED, OFTEN, COMMON = 2_000_000, 3, 500_000
+#: Signatures of a column block, with which the number of blocks follows the input, and signatures that a task holds.
+BLOCK_SIGNATURES, HELD_SIGNATURES = 1_000_000, 400_000
+#: Rows and n-grams of one block of a family; rows and n-grams of one side of a tile, and n-grams multiplied at once.
+BLOCK_ROWS, BLOCK_GRAMS, TILE_ROWS, TILE_SIZE, TILE_GRAMS = 1024, 2_000_000, 256, 400_000, 4096
+
+
+_NONE = np.empty(0, np.uint64)
 
 
 class Sizes:
@@ -77,25 +82,32 @@ def node(digest: int, scheme: int) -> int:
     return int(mix(np.array([(digest + (scheme << 40)) & (2**64 - 1)], np.uint64)).view(np.int64)[0])
 
 
-def signatures(grams: np.ndarray, sizes: Sizes) -> list[tuple[int, np.ndarray]]:
+def signatures(grams: np.ndarray, sizes: Sizes, common: np.ndarray = _NONE) -> list[tuple[int, np.ndarray]]:
     """(scheme, signatures) of a sorted set.
 
     The hash range is cut into more parts than two linked sets can have differences, so that at least ``spare`` + 1
-    parts hold the same n-grams in both.  Parts with few n-grams, which passages shared by many texts can fill, are
-    entered only by a set with more than ``spare`` of them, as only then all equal parts may be such ones.
+    parts hold the same n-grams in both.  Parts with few n-grams or with ``common`` ones alone, which passages shared
+    by many texts can fill, say little.  A set with at most ``spare`` such parts doesn't enter them, as one of the equal
+    parts is another; else one with at most ``spare`` parts with few n-grams doesn't enter those; else it enters all.
+    What is left out depends on a part's content alone, so any set of common n-grams keeps this complete.
     """
     out = []
+    rare = np.ones(len(grams), np.int64)
+    if len(common):
+        rare[common[np.minimum(np.searchsorted(common, grams), len(common) - 1)] == grams] = 0
     for scheme, parts, spare, little in sizes.schemes(len(grams)):
         part = ((grams >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         sums = np.add.reduceat(mix(grams ^ np.uint64(0xA5A5A5A5)), first)
         ids, held = part[first], np.diff(np.append(first, len(grams)))
         much = held > little
-        if parts - int(much.sum()) > spare:
+        telling = much & (np.add.reduceat(rare, first) > 0)
+        kept = telling if parts - int(telling.sum()) <= spare else much if parts - int(much.sum()) <= spare else None
+        if kept is None:
             empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), ids)
             ids, sums = np.concatenate([ids, empty]), np.concatenate([sums, np.zeros(len(empty), np.uint64)])
         else:
-            ids, sums = ids[much], sums[much]
+            ids, sums = ids[kept], sums[kept]
         out.append((scheme, mix(sums + mix(ids + np.uint64(scheme << 32)))))
     return out
 
@@ -107,6 +119,7 @@ def gram_sets(texts: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
         for i in range(len(offsets) - 1):
             own = hashes[first[i]:first[i + 1]]
             yield at + i, np.unique(runs(own, min(size, len(own)))) if len(own) else np.empty(0, np.uint64)
+    pa.default_memory_pool().release_unused()
 
 
 def _digest(grams: np.ndarray) -> tuple[int, int]:
@@ -131,7 +144,52 @@ def _describe(size: int, percent: int):
     return run
 
 
-def _enter(size: int, percent: int, blocks: int):
+def _often(size: int):
+    """(gram, n): n-grams that several of a few thousand texts in a row have, with the number of texts."""
+
+    def run(batches):
+        held: list[np.ndarray] = []
+
+        def counted():
+            if not held:
+                return
+            grams, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            keep = n >= OFTEN
+            yield pa.RecordBatch.from_arrays([pa.array(grams[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], ["gram", "n"])
+
+        total = 0
+        for batch in batches:
+            for _, grams in gram_sets(row_text(batch), size):
+                held.append(grams)
+                total += len(grams)
+                if total > COUNTED:
+                    yield from counted()
+                    total = 0
+        yield from counted()
+
+    return run
+
+
+def common_grams(docs: DataFrame, size: int) -> np.ndarray:
+    """Sorted hashes of the n-grams that the largest shares of texts have, at most COMMON.
+
+    A text has a bounded mean number of n-grams, so that few can have a given share of all texts, whatever their number.
+    """
+    counts = save(docs.mapInArrow(_often(size), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "often")
+    levels = counts.groupBy(F.floor(F.log2("n")).alias("level")).agg(F.count("*").alias("grams")).orderBy(F.desc("level")).collect()
+    least, room = None, COMMON
+    for level, grams in levels:
+        if grams > room:
+            break
+        least, room = level, room - grams
+    if least is None:
+        return _NONE
+    found = counts.filter(F.floor(F.log2("n")) >= least).select("gram").toPandas()["gram"].to_numpy(np.int64)
+    return np.sort(found.view(np.uint64))
+
+
+def _enter(size: int, percent: int, blocks: int, common: np.ndarray):
     """Packed (signature, class) arrays by column block; a class already entered by this task is not entered again."""
 
     def run(batches):
@@ -164,11 +222,11 @@ def _enter(size: int, percent: int, blocks: int):
                     continue
                 if len(seen) < 1_000_000:  # memory only: a class entered twice is the same class
                     seen.add(key)
-                for scheme, s in signatures(grams, sizes):
+                for scheme, s in signatures(grams, sizes, common):
                     found.append(s)
                     owners.append(np.full(len(s), node(key[0], scheme), np.int64))
                     held += len(s)
-                if held > 2_000_000:
+                if held > HELD_SIGNATURES:
                     yield from flush()
                     held = 0
             yield from flush()
@@ -257,6 +315,19 @@ def tile_links(left: list[np.ndarray], right: list[np.ndarray], percent: int) ->
     return np.argwhere(open_ & (counts >= need))
 
 
+def _tiles(rows: list[int], grams: list[np.ndarray]) -> list[list[int]]:
+    """Rows in order, cut into tiles."""
+    out: list[list[int]] = []
+    room = 0
+    for k in rows:
+        if not out or len(out[-1]) == TILE_ROWS or room < len(grams[k]):
+            out.append([])
+            room = TILE_SIZE
+        out[-1].append(k)
+        room -= len(grams[k])
+    return out
+
+
 def _multiply(percent: int):
     """Links of one pair of row blocks of a family, thinned to a forest."""
 
@@ -270,9 +341,9 @@ def _multiply(percent: int):
         order = sorted(range(len(ids)), key=lambda k: (len(grams[k]), ids[k]))  # near sizes meet in the same tiles
         rows, columns = [k for k in order if side[k] == i], [k for k in order if side[k] == j]
         forest, out = Forest(len(ids)), []
-        for r in range(0, len(rows), TILE_ROWS):
-            for c in range(r if i == j else 0, len(columns), TILE_ROWS):
-                left, right = rows[r:r + TILE_ROWS], columns[c:c + TILE_ROWS]
+        rows, columns = _tiles(rows, grams), _tiles(columns, grams)
+        for r, left in enumerate(rows):
+            for right in columns[r if i == j else 0:]:
                 lo, hi = len(grams[left[0]]), len(grams[left[-1]])
                 if len(grams[right[0]]) * percent > hi * 100 or len(grams[right[-1]]) * 100 < lo * percent:
                     continue
@@ -298,7 +369,7 @@ def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     classes = known.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.first("nodes").alias("nodes"))
     grams = facts.agg(F.sum("n")).first()[0] or 0
     blocks = max(docs.sparkSession.sparkContext.defaultParallelism, int(grams * 0.4) // BLOCK_SIGNATURES + 1)
-    entered = docs.filter("doc_id IS NOT NULL").mapInArrow(_enter(size, percent, blocks), "block int, sigs binary, owners binary")
+    entered = docs.filter("doc_id IS NOT NULL").mapInArrow(_enter(size, percent, blocks, common_grams(docs, size)), "block int, sigs binary, owners binary")
     stars = entered.groupBy("block").applyInArrow(_packed(_stars), "a long, b long")
     found = components(stars, "families")
     families = save(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()), "family")

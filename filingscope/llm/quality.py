@@ -15,7 +15,7 @@ from filingscope.llm.store import row_text
 from filingscope.llm.words import NOT_SPACE, pieces, runs, words
 
 #: Labelled documents that the vote knows (the bound of what is broadcast), latent dimensions, neighbours.
-LABELLED, DIMENSIONS, NEIGHBOURS = 6000, 40, 15
+LABELLED, DIMENSIONS, NEIGHBOURS = 4000, 40, 15
 #: Documents whose products are computed at once; score from which a document is accepted.
 BLOCK, ACCEPT = 256, 0.7
 

@@ -13,7 +13,13 @@ from filingscope.session import shared_folder
 BROADCAST_ROWS = 200_000
 
 
+#: Rows of an Arrow batch, where the session has Spark's default: texts may be long.
+BATCH_ROWS = 2000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

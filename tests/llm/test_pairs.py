@@ -51,7 +51,18 @@ def test_signatures_never_miss_a_pair():
             b = np.unique(np.concatenate([a[gone:], rng.integers(0, 2**64, rng.integers(0, n * 15 // 100 + 1), np.uint64)]))
             o = len(np.intersect1d(a, b))
             if 100 * o >= 85 * (len(a) + len(b) - o) and len(b) and not np.array_equal(a, b):
-                assert {(s, int(x)) for s, v in jaccard.signatures(a, sizes) for x in v} & {(s, int(x)) for s, v in jaccard.signatures(b, sizes) for x in v}
+                for share in (0, 0.1, 0.5, 1):
+                    common = np.unique(rng.permutation(np.union1d(a, b))[:int(share * len(a))])
+                    own = [{(s, int(x)) for s, v in jaccard.signatures(y, sizes, common) for x in v} for y in (a, b)]
+                    assert own[0] & own[1]
+
+
+def test_common_grams_are_bounded(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, f"a b c d e {k} {k + 1} {k + 2}" + " u v w x y" * (k % 2)) for k in range(60)], "doc_id long, text string")
+    some = jaccard.common_grams(rows, 5)
+    assert 2 <= len(some) < 20
+    monkeypatch.setattr(jaccard, "COMMON", 1)
+    assert len(jaccard.common_grams(rows, 5)) <= 1
 
 
 def test_components_of_a_long_path(spark):
