@@ -33,18 +33,18 @@ def _climb(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     Each self-join doubles the steps, so a path of any length takes logarithmically many.
     """
     state = save(nodes.select("tree", "node", F.col("parent").alias("up"), F.col("score").alias("gain"), F.lit(1).cast("long").alias("depth")), "climb")
-    steps, open_ = [], state.filter("up IS NOT NULL").count()
-    while open_:
-        steps.append(state.select("tree", "node", "up").filter("up IS NOT NULL"))
-        o = state.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("gain").alias("gain2"), F.col("depth").alias("depth2"))
-        state = save(state.join(o, ["tree", "up"], "left").select(
-            "tree", "node", F.col("up2").alias("up"), (F.col("gain") + F.coalesce("gain2", F.lit(0.0))).alias("gain"),
-            (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth")), "climb")
-        now = state.filter("up IS NOT NULL").count()
-        if now == open_:  # only nodes on or below a cycle are left; they have no root
+    closed, climbing = state.filter("up IS NULL"), state.filter("up IS NOT NULL")
+    steps, left = [], climbing.count()
+    while left:  # nodes that have reached their root join no more
+        steps.append(climbing.select("tree", "node", "up"))
+        o = closed.unionByName(climbing).select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("gain").alias("gain2"), F.col("depth").alias("depth2"))
+        state = save(climbing.join(o, ["tree", "up"]).select(
+            "tree", "node", F.col("up2").alias("up"), (F.col("gain") + F.col("gain2")).alias("gain"), (F.col("depth") + F.col("depth2")).alias("depth")), "climb")
+        closed, climbing = closed.unionByName(state.filter("up IS NULL")), state.filter("up IS NOT NULL")
+        before, left = left, climbing.count()
+        if before == left:  # only nodes on or below a cycle are left; they have no root
             break
-        open_ = now
-    return steps, state.filter("up IS NULL")
+    return steps, closed
 
 
 def branches(messages: DataFrame, keep: int = 1) -> DataFrame:
