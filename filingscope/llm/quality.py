@@ -15,7 +15,7 @@ from filingscope.llm.store import row_text
 from filingscope.llm.words import NOT_SPACE, pieces, runs, words
 
 #: Labelled documents that the vote knows (the bound of what is broadcast), latent dimensions, neighbours.
-LABELLED, DIMENSIONS, NEIGHBOURS = 4000, 40, 15
+LABELLED, DIMENSIONS, NEIGHBOURS = 2500, 40, 15
 #: Documents whose products are computed at once; score from which a document is accepted.
 BLOCK, ACCEPT = 256, 0.7
 
@@ -80,7 +80,8 @@ class Space:
         basis, _ = np.linalg.qr(basis)
         _, _, v = np.linalg.svd(x @ basis, full_matrices=False) if len(x) else (0, 0, np.zeros((0, 0), np.float32))
         self.axes = (basis @ v.T)[:, :dimensions].astype(np.float32)
-        self.vectors = self.unit(terms)
+        del x  # the driver holds one copy of the terms at a time beside the rows
+        self.vectors = np.concatenate([self.unit(terms[i:i + BLOCK]) for i in range(0, max(1, len(terms)), BLOCK)])
 
     def unit(self, terms: np.ndarray) -> np.ndarray:
         v = (terms - self.centre) @ self.axes
@@ -110,10 +111,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Space | Non
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~_held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(_terms, "doc_id long, quality int, terms binary")
-    rows = rows.orderBy("doc_id").limit(most).collect()
-    if not rows:
+    rows = rows.orderBy("doc_id").limit(most).toArrow()
+    if not rows.num_rows:
         return None
-    return Space(np.stack([np.frombuffer(r[2], np.float16) for r in rows]).astype(np.float32), np.array([r[1] for r in rows]))
+    terms = np.empty((rows.num_rows, TERMS), np.float32)
+    for i, own in enumerate(rows.column("terms")):
+        terms[i] = np.frombuffer(own.as_buffer(), np.float16)
+    return Space(terms, rows.column("quality").to_numpy())
 
 
 def _scores_of(space: Space | None, batch) -> np.ndarray:
