@@ -174,6 +174,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list
     demand = np.array([sum(histogram[x] for x in classes[s]) for s in size], float)
     solved = [({int(size[k]): n for k, n in c.items()}, x) for c, x in configurations(size, demand, capacity // GRID)] if classes else []
     tries = [_rounded(histogram, classes, solved, capacity, slack) for slack in SLACK]
+    tries.append(_rounded(histogram, classes, [], capacity, 0))  # best-fit alone, so that the program never does worse
     return min(tries, key=lambda groups: sum(n for _, n in groups))
 
 
