@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from filingscope.llm.store import row_text, save
 from filingscope.llm.words import LETTERS, LOWER, pieces, runs, words
 
-#: Words of a window, and the most benchmark characters whose windows are broadcast; more go through a join.
-WINDOW, BROADCAST_CHARS = 10, 50_000_000
+#: Words of a window, and the most benchmark characters and bytes of held windows that are broadcast; more go through a join.
+WINDOW, BROADCAST_CHARS, BROADCAST_BYTES = 10, 50_000_000, 300_000_000
+#: Bytes of Python objects behind a held window (900 with its text, measured on 200,000 windows), and of an item's row.
+WINDOW_BYTES, ITEM_BYTES = 850, 200
+#: Column with the written key of a document row.
+ROW = "__decontamination_row"
 
 
 class Windows:
@@ -89,29 +93,58 @@ def _without_documents(windows: Windows):
     return run
 
 
+def _cut(text: str, hit: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> str:
+    """``text`` without its runs of hit words."""
+    raw, kept, at = text.encode(), [], 0
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
+    for a, b in zip(edges[::2], edges[1::2]):
+        kept.append(raw[at:starts[a]])
+        at = ends[b - 1]
+    return b"".join([*kept, raw[at:]]).decode()
+
+
+def _with_texts(batch: pa.RecordBatch, texts: list[str | None]) -> pa.RecordBatch:
+    place = batch.schema.get_field_index("text")
+    return batch.set_column(place, "text", pa.array(texts, batch.schema.field(place).type))
+
+
 def _without_spans(windows: Windows):
     def run(batches):
         for batch in batches:
             texts, out = batch.column("text"), []
             for r, _, hit, _, (starts, ends) in _scan(windows, row_text(batch)):
                 text = texts[r].as_py()
-                if hit.any():
-                    raw, kept, at = text.encode(), [], 0
-                    edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-                    for a, b in zip(edges[::2], edges[1::2]):
-                        kept.append(raw[at:starts[a]])
-                        at = ends[b - 1]
-                    text = b"".join([*kept, raw[at:]]).decode()
-                out.append(text)
-            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(out, texts.type))
+                out.append(_cut(text, hit, starts, ends) if hit.any() else text)
+            yield _with_texts(batch, out)
+
+    return run
+
+
+def _held(size: int):
+    """(chars, bytes) of each batch of items: an upper bound of what their windows take in a worker."""
+
+    def run(batches):
+        for batch in batches:
+            chars = held = 0
+            for _, raw, offsets in pieces(row_text(batch)):
+                starts, ends, _, first = words(raw, offsets, LETTERS)
+                upto = np.concatenate([[0], np.cumsum(ends - starts + 1)])
+                chars, held = chars + len(raw), held + len(raw) + ITEM_BYTES * (len(offsets) - 1)
+                for a, b in zip(first[:-1], first[1:]):
+                    if m := min(size, b - a):
+                        held += WINDOW_BYTES * int(b - a - m + 1) + int((upto[a + m:b + 1] - upto[a:b - m + 1]).sum())
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (chars, held)], ["chars", "held"])
 
     return run
 
 
 def _load(bench: DataFrame, size: int) -> Windows | None:
     """The benchmark's windows, or None if they are too many for a broadcast."""
-    chars = bench.agg(F.sum(F.length("text"))).first()[0] or 0
-    return Windows([tuple(r) for r in bench.select("item_id", "text").collect()], size) if chars <= BROADCAST_CHARS else None
+    bench = bench.select("item_id", "text")
+    chars, held = bench.mapInArrow(_held(size), "chars long, held long").agg(F.sum("chars"), F.sum("held")).first()
+    if (chars or 0) > BROADCAST_CHARS or (held or 0) > BROADCAST_BYTES:
+        return None
+    return Windows([tuple(r) for r in bench.collect()], size)
 
 
 def contamination(docs: DataFrame, bench: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -119,12 +152,13 @@ def contamination(docs: DataFrame, bench: DataFrame, size: int = WINDOW) -> Data
 
     Words are runs of ASCII letters and digits and of characters beyond ASCII, with A-Z as a-z.  A window is ``size``
     consecutive words of an item (item_id, text), or all words of a shorter one.  Hash hits are compared word by word.
-    Null, empty and wordless texts, of documents as of items, have no words and hit nothing.
+    Null, empty and wordless texts, of documents as of items, have no words and hit nothing.  Every row is scanned on its
+    own, also those that share an id or have none; a null item id is listed last.
     """
     docs = docs.select("doc_id", "text")
     windows = _load(bench, size)
     if windows is None:
-        return _by_join(docs, bench, size)
+        return _report_by_join(docs, bench, size)
     return docs.mapInArrow(_report(windows), "doc_id long, n_words long, n_hit long, items array<long>")
 
 
@@ -132,8 +166,9 @@ def without_contaminated(docs: DataFrame, bench: DataFrame, size: int = WINDOW)
     """Rows of ``docs`` (all columns) without a benchmark window."""
     windows = _load(bench, size)
     if windows is None:
-        hit = save(_by_join(docs.select("doc_id", "text"), bench, size).filter("n_hit > 0").select("doc_id").distinct(), "hit")
-        return docs.join(hit, "doc_id", "left_anti")
+        keyed = _keyed(docs)
+        hit = _hits(keyed, bench, size).select("id").distinct()
+        return keyed.join(hit, keyed[ROW] == hit["id"], "left_anti").select(docs.columns)
     return docs.mapInArrow(_without_documents(windows), docs.schema)
 
 
@@ -141,7 +176,10 @@ def without_passages(docs: DataFrame, bench: DataFrame, size: int = WINDOW) -> D
     """``docs`` with every benchmark passage cut out of its text, from its first to its last word."""
     windows = _load(bench, size)
     if windows is None:
-        raise ValueError(f"cutting passages needs at most {BROADCAST_CHARS} benchmark characters; remove documents instead")
+        keyed = _keyed(docs)
+        spans = _hits(keyed, bench, size).groupBy(F.col("id").alias("__id")).agg(F.collect_set(F.struct("at", "m")).alias("__spans"))
+        wide = keyed.join(spans, F.col(ROW) == F.col("__id"), "left").select(*docs.columns, "__spans")
+        return wide.mapInArrow(_without_joined_spans, docs.schema)
     return docs.mapInArrow(_without_spans(windows), docs.schema)
 
 
@@ -150,32 +188,60 @@ def _windows_of(sizes: list[int], size: int, whole: bool):
 
     def run(batches):
         for batch in batches:
-            ids, out = batch.column(0), []
+            ids = batch.column(0)
             for first_row, raw, offsets in pieces(row_text(batch)):
                 starts, ends, _, first = words(raw, offsets, LETTERS)
-                low = LOWER[raw]
+                low, out = LOWER[raw], []
                 for k in range(len(offsets) - 1):
                     a, b = int(first[k]), int(first[k + 1])
                     own = ids[first_row + k].as_py()
                     for m in ([min(size, b - a)] if whole else sizes):
                         out += [(own, i - a, m, _joined(low, starts, ends, i, m)) for i in range(a, b - m + 1) if m]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["id", "at", "m", "words"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["id", "at", "m", "words"])
 
     return run
 
 
-def _by_join(docs: DataFrame, bench: DataFrame, size: int) -> DataFrame:
-    """The same report for a benchmark of any size: document windows meet benchmark windows in a shuffle join."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of each row, written so that every reader sees the same one."""
+    return save(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def _hits(keyed: DataFrame, bench: DataFrame, size: int) -> DataFrame:
+    """(id, at, m, item) of the document windows, by row key, that are benchmark windows: a shuffle join, for any size."""
     schema = "id long, at long, m long, words binary"
     items = save(bench.select("item_id", "text").mapInArrow(_windows_of([], size, True), schema).dropDuplicates(["id", "words"]), "windows")
     sizes = sorted(r[0] for r in items.select("m").distinct().collect())
-    found = docs.filter("doc_id IS NOT NULL").mapInArrow(_windows_of(sizes, size, False), schema).alias("d").join(
+    found = keyed.select(ROW, "text").mapInArrow(_windows_of(sizes, size, False), schema).alias("d").join(
         items.select(F.col("id").alias("item"), "m", "words"), ["m", "words"])
-    found = save(found.select("id", "at", "m", "item"), "hits")
+    return save(found.select("d.id", "at", "m", "item"), "hits")
+
+
+def _lengths(batches):
+    for batch in batches:
+        n = [r[1] for r in _scan(Windows([], WINDOW), row_text(batch))]
+        yield batch.drop_columns(["text"]).append_column("n_words", pa.array(n, pa.int64()))
+
+
+def _report_by_join(docs: DataFrame, bench: DataFrame, size: int) -> DataFrame:
+    """The report for a benchmark of any size."""
+    keyed = _keyed(docs)
+    found = _hits(keyed, bench, size)
     n_hit = found.select("id", F.explode(F.sequence("at", F.col("at") + F.col("m") - 1)).alias("w")).distinct().groupBy("id").agg(F.count("*").alias("n_hit"))
-    owners = found.groupBy("id").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    empty = Windows([], size)
-    return docs.mapInArrow(_report(empty), "doc_id long, n_words long, n_hit long, items array<long>").select("doc_id", "n_words").join(
-        n_hit.join(owners, "id"), F.col("doc_id") == F.col("id"), "left").select(
+    # A null is no member of a set, but a struct with one is.
+    owners = found.groupBy("id").agg(F.array_sort(F.transform(F.collect_set(F.struct("item")), lambda x: x["item"])).alias("items"))
+    return keyed.mapInArrow(_lengths, f"doc_id long, {ROW} long, n_words long").join(
+        n_hit.join(owners, "id"), F.col(ROW) == F.col("id"), "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"))
+
+
+def _without_joined_spans(batches):
+    for batch in batches:
+        texts, spans, out = batch.column("text"), batch.column("__spans").to_pylist(), []
+        for r, _, hit, _, (starts, ends) in _scan(Windows([], WINDOW), row_text(batch)):
+            for span in spans[r] or ():
+                hit[span["at"]:span["at"] + span["m"]] = True
+            text = texts[r].as_py()
+            out.append(_cut(text, hit, starts, ends) if hit.any() else text)
+        yield _with_texts(batch, out).drop_columns(["__spans"])

@@ -95,6 +95,27 @@ def test_contamination_by_join(spark, monkeypatch):
     assert sorted(r[0] for r in decontaminate.without_contaminated(docs, bench).collect()) == [3, 4, 5, 6, 7]
 
 
+@pytest.mark.parametrize("bound", ["BROADCAST_CHARS", "BROADCAST_BYTES"])
+def test_both_contamination_paths_return_equal_rows(spark, monkeypatch, bound):
+    """Null and repeated ids of documents and items; rows that share an id are clean or not on their own."""
+    rows = [*HOLDERS, (None, "clean without an id"), (8, "a clean row of a repeated id"), (8, "a clean row of a repeated id")]
+    docs = spark.createDataFrame([(t, i, "x") for i, t in rows], "text string, doc_id long, id string")
+    bench = spark.createDataFrame([*BENCH, (None, "short item"), (None, "an hour"), (2, "short item")], "item_id long, text string")
+
+    def results():
+        some = [f(docs, bench) for f in (decontaminate.contamination, decontaminate.without_contaminated, decontaminate.without_passages)]
+        return [(x.columns, sorted(map(tuple, x.collect()), key=str)) for x in some]
+
+    scanned = results()
+    far = [(99 if i is None else i, t) for i, t in bench.collect()]
+    want = [(i, n, h, [None if x == 99 else x for x in own]) for i, n, h, own in brute.contamination(rows, far)]
+    assert scanned[0][1] == sorted(want, key=str)
+    assert [r[1] for r in scanned[1][1]].count(8) == 2 and ("clean without an id", None, "x") in scanned[1][1]
+    monkeypatch.setattr(decontaminate, bound, 0)
+    assert decontaminate._load(bench, decontaminate.WINDOW) is None
+    assert results() == scanned
+
+
 def test_contamination_of_nothing(spark, no_docs, docs):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contamination(no_docs, bench).collect() == []
