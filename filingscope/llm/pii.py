@@ -1,7 +1,8 @@
 """Surrogates for personal data: keyed replacements of the same type and format, distinct and the same everywhere.
 
-A surrogate depends on the key, the type and the entity's canonical value alone, so mentions that mean the same get the
-same one in any document.  All entities of the corpus are checked together: where two surrogates of a type are equal, or
+A surrogate depends on the key, the type and the entity's canonical value alone, and a given name's also on its gender,
+which is resolved once over the corpus, so mentions that mean the same get the same one in any document.  A name that a
+title tells is replaced wherever the document has it, with or without a title.  All entities of the corpus are checked together: where two surrogates of a type are equal, or
 one equals a real entity, all but the smallest get the next attempt, until none collide.
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+from bisect import bisect
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -35,7 +37,10 @@ TITLES = {
     "n": ["Dr.", "Dr", "Prof.", "Prof"],
 }
 _GENDER = {t: g for g, ts in TITLES.items() for t in ts}
-_NAME = re.compile(r"\b(" + "|".join(re.escape(t) for t in sorted(_GENDER, key=len, reverse=True)) + r") ([^\W\d_a-z][^\W\d_]+(?:-[^\W\d_]+)?)(?: ([^\W\d_a-z][^\W\d_]+(?:-[^\W\d_]+)?))?")
+_WORD = r"[^\W\d_a-z][^\W\d_]+(?:-[^\W\d_]+)?"
+_TITLE = "(?:" + "|".join(re.escape(t) for t in sorted(_GENDER, key=len, reverse=True)) + ")"
+_NAME = re.compile(rf"\b({_TITLE}(?: {_TITLE})*) ({_WORD})(?: ({_WORD}))?")
+_NAME_WORD = re.compile(rf"(?<![^\W_]){_WORD}")
 #: Consonants and vowels of surrogate names by script, and the endings that given names of a gender have.
 SCRIPTS = {"latin": ("bdfgklmnprstv", "aeiou"), "cyrillic": ("бвгдзклмнпрст", "аеиоу"), "greek": ("βγδκλμνπρστ", "αειου")}
 ENDINGS = {"f": {"latin": "a", "cyrillic": "а", "greek": "α"}, "m": {"latin": "n", "cyrillic": "н", "greek": "ς"}, "n": {"latin": "i", "cyrillic": "й", "greek": "ι"}}
@@ -67,20 +72,63 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
                 if kind == "card" and not 13 <= len(value) <= 19 or kind == "phone" and not 7 <= len(value) <= 15:
                     continue
             found.append((m.start(1), m.end(1), kind, value.lower() if kind == "email" else value))
-    for m in _NAME.finditer(text):
-        gender = _GENDER[m[1]]
-        last = 3 if m[3] else 2
-        if m[3]:
-            found.append((m.start(2), m.end(2), f"given-{gender}", m[2].lower()))
-        found.append((m.start(last), m.end(last), "surname", m[last].lower()))
+    found += _names(text)
     out: list[tuple[int, int, str, str]] = []
     rank = {k: i for i, (k, _) in enumerate(_PATTERNS)}
-    taken: list[tuple[int, int]] = []
     for e in sorted(found, key=lambda x: (rank.get(x[2], 9), x[0])):
-        if all(e[1] <= a or e[0] >= b for a, b in taken):
-            taken.append(e[:2])
-            out.append(e)
-    return sorted(out)
+        k = bisect(out, e)
+        if (k == 0 or out[k - 1][1] <= e[0]) and (k == len(out) or e[1] <= out[k][0]):
+            out.insert(k, e)
+    return out
+
+
+def _majority(told: list[str]) -> str:
+    """The gender told more often; n for neither."""
+    f, m = told.count("f"), told.count("m")
+    return "f" if f > m else "m" if m > f else "n"
+
+
+def _gender(titles: str) -> str:
+    return _majority([_GENDER[t] for t in titles.split(" ")])
+
+
+def _names(text: str) -> list[tuple[int, int, str, str]]:
+    """Mentions of the names that titles tell, then further ones of the same names.
+
+    A given name's type ends in the gender that most of its titles in this text tell.
+    """
+    titled = list(_NAME.finditer(text))
+    if not titled:
+        return []
+    pairs, told = set(), {}
+    for m in titled:
+        if m[3]:
+            pairs.add((m[2].lower(), m[3].lower()))
+            told.setdefault(m[2].lower(), []).append(_gender(m[1]))
+    surnames, spans = {s for _, s in pairs}, []
+    gender = {g: _majority(x) for g, x in told.items()}
+    for m in titled:
+        first = m[2].lower()
+        # A single name after a title is a surname, unless the text has it as a given name alone and of no other gender.
+        is_given = m[3] is not None or first in gender and first not in surnames and {gender[first], _gender(m[1])} != {"f", "m"}
+        spans.append((m.start(2), m.end(2), is_given))
+        if m[3]:
+            spans.append((m.start(3), m.end(3), False))
+    surnames |= {text[a:b].lower() for a, b, is_given in spans if not is_given}
+    words: list[tuple[int, int]] = []
+    for m in _NAME_WORD.finditer(text):
+        if m[0].lower() in gender or m[0].lower() in surnames or "-" not in m[0]:
+            words.append(m.span())
+        else:  # a part of a longer word
+            cut = m.start() + m[0].index("-")
+            words += [(m.start(), cut), (cut + 1, m.end())]
+    for k, (a, b) in enumerate(words):
+        word = text[a:b].lower()
+        if word not in gender and word not in surnames or text[a].islower():
+            continue
+        after = text[words[k + 1][0]:words[k + 1][1]].lower() if k + 1 < len(words) and text[b:words[k + 1][0]].isspace() else None
+        spans.append((a, b, word not in surnames or (word, after) in pairs))
+    return [(a, b, f"given-{gender[text[a:b].lower()]}" if is_given else "surname", text[a:b].lower()) for a, b, is_given in spans]
 
 
 def _stream(key: bytes, *parts: object) -> Callable[[int], int]:
@@ -121,7 +169,7 @@ def _luhn(digits: str) -> int:
 
 def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     """The canonical surrogate of a canonical value."""
-    below = _stream(key, kind, attempt, value)
+    below = _stream(key, kind.partition("-")[0], attempt, value)
     if kind == "email":
         local, _, domain = value.partition("@")
         *labels, top = domain.split(".")
@@ -178,14 +226,18 @@ def _tried(key: bytes):
 
 
 def assign(entities: DataFrame, key: bytes, most: int = 60) -> DataFrame:
-    """(kind, value, attempt, surrogate) for distinct (kind, value): no two surrogates of a kind are equal, none is real."""
+    """(kind, value, attempt, surrogate) for distinct (kind, value): no two surrogates of a kind are equal, none is real.
+
+    Given names of any gender are one kind here; each must come with one gender.
+    """
     schema = "kind string, value string, attempt int, surrogate string"
+    family = F.substring_index("kind", "-", 1).alias("family")
     tried = save(entities.withColumn("attempt", F.lit(0)).mapInArrow(_tried(key), schema), "surrogates")
-    real = entities.select("kind", F.col("value").alias("surrogate"), F.lit(True).alias("real"))
+    real = entities.select(family, F.col("value").alias("surrogate"), F.lit(True).alias("real"))
     for _ in range(most):
         # An attempt that has stood longest keeps its surrogate.
-        order = Window.partitionBy("kind", "surrogate").orderBy("attempt", "value")
-        marked = tried.join(real, ["kind", "surrogate"], "left").withColumn("again", F.col("real").isNotNull() | (F.row_number().over(order) > 1))
+        order = Window.partitionBy("family", "surrogate").orderBy("attempt", "value")
+        marked = tried.withColumn("family", family).join(real, ["family", "surrogate"], "left").withColumn("again", F.col("real").isNotNull() | (F.row_number().over(order) > 1))
         marked = save(marked.select("kind", "value", "attempt", "surrogate", "again"), "marked")
         if not marked.filter("again").limit(1).count():
             return marked.drop("again")
@@ -198,33 +250,49 @@ def _replace(key: bytes):
     def run(batches):
         for batch in batches:
             out, counts = [], []
-            lists = batch.column("__attempts").to_pylist()
+            lists = batch.column("__known").to_pylist()
             for text, special in zip(batch.column("text"), lists):
                 text = text.as_py()
-                attempts = {(s["kind"], s["value"]): s["attempt"] for s in special or ()}
+                known = {(s["kind"], s["value"]): (s["same"], s["attempt"]) for s in special or ()}
                 at, parts, found = 0, [], mentions(text or "")
                 for start, end, kind, value in found:
-                    parts += [text[at:start], render(text[start:end], kind, surrogate(key, kind, value, attempts.get((kind, value), 0)))]
+                    same, attempt = known.get((kind, value), (kind, 0))
+                    parts += [text[at:start], render(text[start:end], same, surrogate(key, same, value, attempt))]
                     at = end
                 out.append("".join([*parts, text[at:]]) if found else text)
                 counts.append(len(found))
             place = batch.schema.get_field_index("text")
             batch = batch.set_column(place, "text", pa.array(out, batch.schema.field(place).type))
-            yield batch.drop_columns(["__attempts"]).append_column("n_entities", pa.array(counts, pa.int64()))
+            yield batch.drop_columns(["__known"]).append_column("n_entities", pa.array(counts, pa.int64()))
 
     return run
 
 
+def _resolved(found: DataFrame) -> DataFrame:
+    """``found`` with the corpus's type of each entity as ``same``: a given name has the gender that most documents tell."""
+    votes = found.filter("kind LIKE 'given-%'").groupBy("value").agg(
+        F.sum(F.expr("CASE kind WHEN 'given-f' THEN 1 WHEN 'given-m' THEN -1 ELSE 0 END")).alias("f"), F.min("kind").alias("lo"), F.max("kind").alias("hi"))
+    # Where all documents agree, nothing has to be looked up.
+    mixed = votes.filter("lo <> hi").select(
+        F.col("value").alias("name"), F.expr("CASE WHEN f > 0 THEN 'given-f' WHEN f < 0 THEN 'given-m' ELSE 'given-n' END").alias("told"))
+    mixed = save(mixed, "genders")
+    name = F.expr("CASE WHEN kind LIKE 'given-%' THEN value END")
+    return found.join(narrow(mixed), name == F.col("name"), "left").select("doc_id", "kind", "value", F.coalesce("told", "kind").alias("same"))
+
+
 def with_surrogates(docs: DataFrame, key: bytes) -> DataFrame:
     """doc_id, text, n_entities of each row of ``docs`` (doc_id, text), entities replaced.
 
-    Null and empty texts stay as they are; rows may repeat.  Only entities whose first surrogate collided need a look-up;
-    these travel as short lists with the documents that mention them.
+    Null and empty texts stay as they are; rows may repeat.  Only entities whose first surrogate collided, and given names
+    whose document tells another gender than the corpus, need a look-up; these travel as short lists with the documents
+    that mention them.
     """
     docs = docs.select("doc_id", "text")
-    found = save(docs.mapInArrow(_mentioned, "doc_id long, kind string, value string"), "mentions")
-    moved = save(assign(found.select("kind", "value").distinct(), key).filter("attempt > 0").select("kind", "value", "attempt"), "moved")
-    lists = found.join(narrow(moved), ["kind", "value"]).groupBy("doc_id").agg(F.collect_set(F.struct("kind", "value", "attempt")).alias("__attempts"))
-    lists = save(lists, "attempts")
-    wide = docs.join(narrow(lists), docs.doc_id.eqNullSafe(lists.doc_id), "left").select(docs.doc_id, "text", "__attempts")
+    found = _resolved(save(docs.mapInArrow(_mentioned, "doc_id long, kind string, value string"), "mentions"))
+    entities = found.select(F.col("same").alias("kind"), "value").distinct()
+    moved = save(assign(entities, key).filter("attempt > 0").select(F.col("kind").alias("same"), "value", "attempt"), "moved")
+    known = found.join(narrow(moved), ["same", "value"], "left").filter("attempt IS NOT NULL OR same <> kind")
+    known = known.groupBy("doc_id").agg(F.collect_set(F.struct("kind", "value", "same", F.coalesce("attempt", F.lit(0)).alias("attempt"))).alias("__known"))
+    lists = save(known, "known")
+    wide = docs.join(narrow(lists), docs.doc_id.eqNullSafe(lists.doc_id), "left").select(docs.doc_id, "text", "__known")
     return wide.mapInArrow(_replace(key), "doc_id long, text string, n_entities long")

@@ -123,6 +123,30 @@ def test_surrogates(spark):
     assert other[1] != got[1].text
 
 
+def test_names_without_a_title_and_one_gender(spark):
+    """Later mentions of a titled name go too; a given name has one surrogate whatever title each document gives."""
+    rows = [
+        (1, "Dr. Anna Lee and Mrs. Anna Lee met. Anna Lee spoke; Lee's paper, ANNA's and Lee-led work. Fleet and lee stay, and Annabel."),
+        (2, "Dr. Anna Petrov came, Anna said."), (2, "Frau Dr. Anna Petrov came."), (3, "Mr. Kim Olsen, Kim Olsen"), (4, "Ms. Kim Olsen"), (5, "Dr. Kim Olsen, Mr. Kim"),
+        (None, "Lee and Anna without any title stay."), (6, "Mr. Lee Brown met Mrs. Lee. Lee Brown and Lee."), (7, "Госпожа Анна Петрова. Анна Петрова, Петрова")]
+    got = {}
+    for r in pii.with_surrogates(spark.createDataFrame(rows, "doc_id long, text string"), b"key").collect():
+        got.setdefault(r.doc_id, []).append((r.text, r.n_entities))
+    text, n = got[1][0]
+    m = re.fullmatch(r"Dr\. (\w+) (\w+) and Mrs\. (\w+) (\w+) met\. (\w+) (\w+) spoke; (\w+)'s paper, (\w+)'s and (\w+)-led work\. Fleet and lee stay, and Annabel\.", text)
+    assert {m[k].lower() for k in (1, 3, 5, 8)} == {m[1].lower()} and {m[k] for k in (2, 4, 6, 7, 9)} == {m[2]} and n == 9
+    assert m[1] != "Anna" and m[1].endswith("a") and m[2] != "Lee" and m[8].isupper()
+    for a, _ in got[2]:
+        assert a.split()[a.split().index("came,") - 2 if "said" in a else 2] == m[1] and "Petrov" not in a
+    assert sorted(a.endswith(f"{m[1]} said.") for a, _ in got[2]) == [False, True]
+    kim = re.fullmatch(r"Mr\. (\w+) (\w+), (\w+) (\w+)", got[3][0][0])
+    assert kim.group(1, 2) == kim.group(3, 4) and got[4][0][0] == f"Ms. {kim[1]} {kim[2]}" and got[5][0][0] == f"Dr. {kim[1]} {kim[2]}, Mr. {kim[1]}"
+    assert got[None] == [(rows[6][1], 0)]
+    b = re.fullmatch(r"Mr\. (\w+) (\w+) met Mrs\. (\w+)\. (\w+) (\w+) and (\w+)\.", got[6][0][0])
+    assert b.group(1, 2) == b.group(4, 5) and b[3] == b[6] == m[2]
+    assert re.fullmatch(r"Госпожа (\w+) (\w+)\. \1 \2, \2", got[7][0][0]) and "Анна" not in got[7][0][0]
+
+
 def test_colliding_surrogates_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(pii, "surrogate", lambda key, kind, value, attempt=0: str((int(value) + attempt * 7) % 5 + 100 * attempt))
     entities = spark.createDataFrame([("ip", str(k)) for k in range(40)], "kind string, value string")
