@@ -33,6 +33,9 @@ BLOCK_SIGNATURES, HELD_SIGNATURES = 1_000_000, 400_000
 BLOCK_ROWS, BLOCK_GRAMS, TILE_ROWS, TILE_SIZE, TILE_GRAMS = 1024, 2_000_000, 256, 400_000, 4096
 
 
+#: Column with the written key of a row where one row of a group stays.
+ROW = "__near_copy_row"
+
 _NONE = np.empty(0, np.uint64)
 
 
