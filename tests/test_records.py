@@ -175,3 +175,13 @@ def test_subsector_and_tier(rows, got):
     out = K.with_subsector(df, rows("ticker STRING, subsector STRING", [("CRWD", "Cyber")]), rows("industry STRING, subsector STRING", [("Software", "Cloud")]))
     assert got(out, "trade_id", "subsector") == {"a": "Cyber", "b": "Cloud", "c": None, "d": None}
     assert got(K.with_tier(df), "trade_id", "committee_tier") == {"a": "STRONG", "b": "WEAK", "c": "NEUTRAL", "d": None}
+
+
+def test_names_are_resolved_by_built_in_functions_by_default(spark):
+    src = spark.createDataFrame([("Jonathan Smithson", "house")], "name string, chamber string")
+    filers = spark.createDataFrame([("F1", "Jonathan Smithsen", "house")], "filer_id string, name string, chamber string")
+    out = R.resolve_names(src, filers)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    assert [r.filer_id for r in out.collect()] == ["F1"]
+    assert [r.filer_id for r in R.resolve_names(src, filers, exact_ratio=True).collect()] == ["F1"]
