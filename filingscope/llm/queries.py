@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from filingscope.llm import chat, decontaminate, jaccard, line_dedup, packing, pii, quality, rules, token_count, warc
+from filingscope.llm import (
+    chat, decontaminate, fill_middle, jaccard, laesa, language, line_dedup, packing, pii, quality, rules, token_count, warc)
 from filingscope.llm.store import fresh_folder, table
 
 #: A key for the test tables; a corpus that is published needs one of its own, kept secret.
@@ -62,6 +63,20 @@ def decontamination_query(spark, d):
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def clustering_query(spark, d):
+    return laesa.cluster_report(table(spark, d, "embeddings"))
+
+
+def language_query(spark, d):
+    return language.language_report(table(spark, d, "documents"))
+
+
+def fill_middle_query(spark, d):
+    out = fill_middle.transform(table(spark, d, "documents"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(fill_middle.restored(), 256).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_line_dedup": line_dedup_query,
     "op2_chat_trees": chat_query,
@@ -73,6 +88,9 @@ QUERIES = {
     "op8_decontamination": decontamination_query,
     "op9_token_counts": token_count_query,
     "op10_quality_rules": rules_query,
+    "op11_laesa_clusters": clustering_query,
+    "op12_language_mixture": language_query,
+    "op13_fill_middle": fill_middle_query,
 }
 
 _MARKED = r"<(?:\||/?s>|</?SYS>>|unk>|pad>|bos>|eos>|start_of_turn>|end_of_turn>)|\[/?INST\]"
@@ -80,7 +98,39 @@ _MARKED = r"<(?:\||/?s>|</?SYS>>|unk>|pad>|bos>|eos>|start_of_turn>|end_of_turn>
 _LOWER = "translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _LETTERS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+
+
+def _clusters_sql(k: int = laesa.CENTROIDS, rounds: int = laesa.ROUNDS) -> str:
+    """Every vector against every centroid, round by round."""
+    parts = ["""v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v, row_number() OVER () AS r
+   FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND abs(CAST(x AS DOUBLE)) < 2097152)) = 64)""",
+             "e AS (SELECT r, vec_id, unnest(range(64)) AS i, unnest(v) AS x FROM v)",
+             f"""c0 AS (SELECT h.c, e.i, e.x FROM e JOIN (SELECT r, row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, vec_id, v) - 1 AS c
+   FROM v QUALIFY c < {k}) h ON h.r = e.r)"""]
+    for t in range(rounds + 1):
+        parts.append(f"d{t} AS (SELECT r, c, sum((e.x - c{t}.x) * (e.x - c{t}.x)) AS d FROM e JOIN c{t} USING (i) GROUP BY r, c)")
+        parts.append(f"a{t} AS (SELECT r, c, d FROM d{t} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)")
+        if t < rounds:
+            parts.append(f"m{t} AS (SELECT a{t}.c, i, sum(x) AS s, count(*) AS n FROM e JOIN a{t} USING (r) GROUP BY a{t}.c, i)")
+            parts.append(f"c{t + 1} AS (SELECT c, i, coalesce((s - ((s % n) + n) % n) // n, x) AS x FROM c{t} LEFT JOIN m{t} USING (c, i))")
+    return "WITH " + ",\n ".join(parts) + f"""
+SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha AS centroid_sha256
+FROM a{rounds} a JOIN v USING (r) JOIN (SELECT c, sha256(string_agg(CAST(x AS BIGINT), ',' ORDER BY i)) AS sha FROM c{rounds} GROUP BY c) s ON s.c = a.c"""
+
+
 ORACLES = {
+    "op11_laesa_clusters": _clusters_sql(),
+    "op13_fill_middle": r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+ h AS (SELECT *, len(w) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM t),
+ c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+   CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+ p AS (SELECT *, array_to_string(w[1:a], '') AS p, array_to_string(w[a + 1:b], '') AS m, array_to_string(w[b + 1:], '') AS s FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p""",
     "op2_chat_trees": f"""
 WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
