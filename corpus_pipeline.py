@@ -20,8 +20,8 @@ def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked at 0.8 on five-word shingles."""
-    return jaccard.one_of_each(docs, jaccard.jaccard_groups(docs))
+    """One row of each group linked at 0.8 on five-word shingles."""
+    return jaccard.one_of_each(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

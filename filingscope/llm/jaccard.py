@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filingscope.llm.graph import components
-from filingscope.llm.store import narrow, row_text, save
+from filingscope.llm.store import fresh_name, narrow, row_text, save
 from filingscope.llm.words import NOT_SPACE, mix, pieces, runs, words
 
 #: Parts with at most so many n-grams say little; the most of these that is affordable is taken.
@@ -33,9 +33,6 @@ BLOCK_SIGNATURES, HELD_SIGNATURES = 1_000_000, 400_000
 BLOCK_ROWS, BLOCK_GRAMS, TILE_ROWS, TILE_SIZE, TILE_GRAMS = 1024, 2_000_000, 256, 400_000, 4096
 
 
-#: Column with the written key of a row where one row of a group stays.
-ROW = "__near_copy_row"
-
 _NONE = np.empty(0, np.uint64)
 
 
@@ -192,8 +189,22 @@ def common_grams(docs: DataFrame, size: int) -> np.ndarray:
     return np.sort(found.view(np.uint64))
 
 
+def _leaders(sig: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct signatures, the smallest class of each, and (class, smallest class) of the others."""
+    order = np.argsort(sig, kind="stable")
+    sig, own = sig[order], own[order]
+    first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    least = np.minimum.reduceat(own, first)
+    leader = np.repeat(least, np.diff(np.append(first, len(sig))))
+    return sig[first], least, np.unique(np.stack([own, leader], 1)[own != leader], axis=0)
+
+
 def _enter(size: int, percent: int, blocks: int, common: np.ndarray):
-    """Packed (signature, class) arrays by column block; a class already entered by this task is not entered again."""
+    """Packed (signature, class) arrays by column block; a class already entered by this task is not entered again.
+
+    Of the classes a task holds with one signature, the smallest enters its block; the others come as edges to it, so
+    that a signature of very many classes reaches its block only once per few hundred thousand signatures.
+    """
 
     def run(batches):
         sizes, seen = Sizes(percent), set()
@@ -204,7 +215,7 @@ def _enter(size: int, percent: int, blocks: int, common: np.ndarray):
             def flush():
                 if not found:
                     return
-                sig, own = np.concatenate(found), np.concatenate(owners)
+                sig, own, edges = _leaders(np.concatenate(found), np.concatenate(owners))
                 found.clear()
                 owners.clear()
                 block = (sig % np.uint64(blocks)).astype(np.int64)
@@ -214,7 +225,8 @@ def _enter(size: int, percent: int, blocks: int, common: np.ndarray):
                 ends = np.append(cut[1:], len(block))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(block[cut].astype(np.int32)), pa.array([sig[i:j].tobytes() for i, j in zip(cut, ends)], pa.binary()),
-                     pa.array([own[i:j].tobytes() for i, j in zip(cut, ends)], pa.binary())], ["block", "sigs", "owners"])
+                     pa.array([own[i:j].tobytes() for i, j in zip(cut, ends)], pa.binary()),
+                     pa.array([edges.tobytes(), *[b""] * (len(cut) - 1)], pa.binary())], ["block", "sigs", "owners", "edges"])
 
             held = 0
             for _, grams in gram_sets(row_text(batch), size):
@@ -239,16 +251,12 @@ def _enter(size: int, percent: int, blocks: int, common: np.ndarray):
 
 def _stars(batches):
     """Each class beside the smallest class with the same signature, once per column block."""
-    sig, own = [], []
+    sig, own, edges = [], [], []
     for batch in batches:
         sig += [np.frombuffer(x, np.uint64) for x in batch.column("sigs").to_pylist()]
         own += [np.frombuffer(x, np.int64) for x in batch.column("owners").to_pylist()]
-    s, o = np.concatenate(sig), np.concatenate(own)
-    order = np.lexsort((o, s))
-    s, o = s[order], o[order]
-    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-    leader = np.repeat(o[first], np.diff(np.append(first, len(s))))
-    pairs = np.unique(np.stack([o, leader], 1)[o != leader], axis=0)
+        edges += [np.frombuffer(x, np.int64).reshape(-1, 2) for x in batch.column("edges").to_pylist()]
+    pairs = np.unique(np.concatenate([*edges, _leaders(np.concatenate(sig), np.concatenate(own))[2]]), axis=0)
     yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
@@ -372,7 +380,7 @@ def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     classes = known.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.first("nodes").alias("nodes"))
     grams = facts.agg(F.sum("n")).first()[0] or 0
     blocks = max(docs.sparkSession.sparkContext.defaultParallelism, int(grams * 0.4) // BLOCK_SIGNATURES + 1)
-    entered = docs.filter("doc_id IS NOT NULL").mapInArrow(_enter(size, percent, blocks, common_grams(docs, size)), "block int, sigs binary, owners binary")
+    entered = docs.filter("doc_id IS NOT NULL").mapInArrow(_enter(size, percent, blocks, common_grams(docs, size)), "block int, sigs binary, owners binary, edges binary")
     stars = entered.groupBy("block").applyInArrow(_packed(_stars), "a long, b long")
     found = components(stars, "families")
     families = save(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()), "family")
@@ -403,8 +411,18 @@ def _packed(batches_of):
     return run
 
 
-def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is the smallest of its component; rows with a null id stay."""
-    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    gone = save(gone, "gone")
-    return docs.join(narrow(gone), "doc_id", "left_anti")
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """Rows of ``docs`` (all columns), one of each group of linked texts: the one with the smallest doc_id.
+
+    A null id comes last, and among rows of one id the first as written stays.  Rows are linked by a written key of their
+    own, so that a row whose id another row shares goes only if its own text is linked.  Texts without words all stay.
+    """
+    row = fresh_name(docs, "__row")
+    keyed = save(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    groups = save(jaccard_groups(keyed.select(F.col(row).alias("doc_id"), "text"), size, percent).select(
+        F.col("doc_id").alias(row), F.col("component_id").alias("__group")), "groups")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row)
+    first = groups.join(keyed.select("doc_id", row), row).groupBy("__group").agg(F.min(order).alias("first"), F.count("*").alias("n"))
+    first = save(first.filter("n > 1").select("__group", F.col("first")[row].alias("__first")), "first")
+    gone = save(groups.join(narrow(first), "__group").filter(F.col(row) != F.col("__first")).select(row), "gone")
+    return keyed.join(narrow(gone), row, "left_anti").select(docs.columns)

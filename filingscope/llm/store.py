@@ -42,6 +42,14 @@ def narrow(side: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(side) if n <= BROADCAST_ROWS else side
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_text(batch, name: str = "text"):
     """Text column of an Arrow batch with nulls as empty texts."""
     import pyarrow.compute as pc

@@ -6,13 +6,15 @@ All word definitions used here end words at ASCII bytes only, so they hold on UT
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 _MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_MULT), -1, 1 << 64))
 _RUN = np.uint64(0xD1342543DE82EF95)
+#: Masks of the first 0 to 8 bytes of a little-endian integer; words of more bytes are hashed one by one.
+_FIRST, LONG = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64), 128
 #: Bytes of text handled at a time; a longer text is a piece of its own.
 PIECE = 1 << 20
 
@@ -37,25 +39,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(max(n, 1), base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-class Powers:
-    """Powers of the hash base and of its inverse, grown when a longer piece comes."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.empty(0, np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            self.up, self.down = powers(_MULT, n), powers(_INVERSE, n)
-        return self.up, self.down
-
-
-_powers = Powers()
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words, A-Z as a-z.  Each eight bytes are mixed in turn, so no structure of a word carries over
+    to its hash as it would with sums of powers; words over LONG bytes have a BLAKE2b digest."""
+    low = np.zeros(len(raw) + 8, np.uint8)
+    low[:len(raw)] = LOWER[raw]
+    eight = np.ndarray((len(raw) + 1,), "<u8", low, 0, (1,))  # the eight bytes from each place on
+    length = ends - starts
+    out = mix(length.astype(np.uint64) + _MULT)
+    own, at = np.flatnonzero(length <= LONG), 0
+    while len(own):
+        left = length[own] - at
+        out[own] = mix((out[own] ^ (eight[starts[own] + at] & _FIRST[np.minimum(left, 8)])) * _MULT)
+        own, at = own[left > 8], at + 8
+    for k in np.flatnonzero(length > LONG).tolist():
+        out[k] = int.from_bytes(blake2b(low[starts[k]:ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def pieces(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -83,11 +82,7 @@ def words(raw: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.nd
         before[edges] = False
         after[edges - 1] = False
     starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    up, down = _powers.upto(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((LOWER[raw].astype(np.uint64) + np.uint64(1)) * up[:len(raw)], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return starts, ends, hashes, np.searchsorted(starts, offsets)
+    return starts, ends, word_hashes(raw, starts, ends), np.searchsorted(starts, offsets)
 
 
 def runs(hashes: np.ndarray, size: int) -> np.ndarray:

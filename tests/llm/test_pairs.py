@@ -3,11 +3,13 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from filingscope.llm import decontaminate, jaccard, line_dedup
 from filingscope.llm.cuckoo import Cuckoo
 from filingscope.llm.graph import components
+from filingscope.llm.words import NOT_SPACE, pieces, words
 from tests.llm import brute
 
 
@@ -22,8 +24,43 @@ def test_groups_edge_cases(spark, no_docs):
     rows = spark.createDataFrame([(3, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (9, "A b  c d e f"), (4, None)], "doc_id long, text string")
     got = sorted(jaccard.jaccard_groups(rows).collect(), key=str)
     assert sorted(map(tuple, got), key=str) == sorted([(3, 2, 3), (3, 2, 3), (None, 2, None), (9, 2, 3), (4, 0, 4)], key=str)
-    kept = jaccard.one_of_each(rows, jaccard.jaccard_groups(rows)).collect()
-    assert sorted(map(tuple, kept), key=str) == sorted([(3, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (4, None)], key=str)
+
+
+def test_one_row_of_each_group(spark, no_docs):
+    """Repeated and null ids: a row goes only for its own text, and each group keeps one row."""
+    near, other = "a b c d e f", "p q r s t u v"
+    rows = [
+        (3, near, 1), (3, near, 2), (None, near, 3), (9, "A b  c d e f", 4), (4, None, 5), (4, "", 6), (None, None, 7),
+        (9, other, 8),  # shares its id with a near copy and stays
+        (7, "x y z x y w", 9), (None, "x y z x y w", 10), (None, "only null ids here now", 11), (None, "only null ids here now", 12)]
+    docs = spark.createDataFrame([(t, i, k, 0) for i, t, k in rows], "text string, doc_id long, __row int, __row_ int")
+    kept = jaccard.one_of_each(docs)
+    assert kept.columns == docs.columns
+    stay = {r["__row"] for r in kept.collect()}
+    assert stay - {1, 2, 11, 12} == {5, 6, 7, 8, 9} and len(stay & {1, 2}) == 1 and len(stay & {11, 12}) == 1
+    assert jaccard.one_of_each(no_docs).collect() == []
+
+
+def test_words_with_equal_power_sums_differ(spark):
+    """Thue-Morse words have equal sums of powers modulo 2 ** 64 under any odd base."""
+    bits = [bin(k).count("1") % 2 for k in range(1024)]
+    one, two = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    long, tail = one * 40, " then words that follow here"
+    rows = [(1, one), (2, two), (3, f"{one} {two}"), (4, f"{one} {one}"), (5, long + tail), (6, two * 40 + tail), (7, long.upper() + tail), (8, one[:60]), (9, two[:60])]
+    got = {r[0]: tuple(r)[1:] for r in jaccard.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()}
+    assert got == brute.groups(rows, 4, 85)
+
+
+def test_word_hashes():
+    r = random.Random(4)
+    made = ["".join(r.choice("abé") for _ in range(r.randint(1, 300))) for _ in range(3000)] + ["a" * k for k in range(1, 200)]
+    distinct = sorted(set(made))
+    texts = pa.array([" ".join(distinct), *distinct, " ".join(distinct).upper().replace("É", "é")])
+    found = [(words(raw, offsets, NOT_SPACE), offsets) for _, raw, offsets in pieces(texts)]
+    hashes = np.concatenate([w[2] for w, _ in found])
+    n = len(distinct)
+    assert len(hashes) == 3 * n and len(np.unique(hashes)) == n
+    assert (hashes[:n] == hashes[n:2 * n]).all() and (hashes[:n] == hashes[2 * n:]).all()
 
 
 def test_large_family_in_several_blocks(spark, monkeypatch):
@@ -65,6 +102,22 @@ def test_common_grams_are_bounded(spark, monkeypatch):
     assert len(jaccard.common_grams(rows, 5)) <= 1
 
 
+def test_a_signature_of_many_classes_enters_once(monkeypatch):
+    sig, own = np.array([5, 7, 5, 5, 9], np.uint64), np.array([4, 1, 2, 8, 3])
+    s, o, e = jaccard._leaders(sig, own)
+    assert s.tolist() == [5, 7, 9] and o.tolist() == [2, 1, 3] and sorted(map(tuple, e.tolist())) == [(4, 2), (8, 2)]
+
+
+@pytest.mark.parametrize("rows", [200_000, 0])
+def test_components_with_a_hub(spark, monkeypatch, rows):
+    """Both joins: broadcast and shuffled."""
+    monkeypatch.setattr("filingscope.llm.store.BROADCAST_ROWS", rows)
+    edges = [(1000, k) for k in range(50)] + [(k, 2000 + k) for k in range(0, 50, 2)] + [(3000, 3001), (3001, 3002)]
+    got = {r[0]: r[1] for r in components(spark.createDataFrame(edges, "a long, b long"), "hub").collect()}
+    want = {x: 0 for e in edges[:-2] for x in e if x} | {3001: 3000, 3002: 3000}
+    assert got == want
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.range(200).selectExpr("id AS a", "id + 1 AS b").unionByName(spark.createDataFrame([(500, 400), (500, 500)], "a long, b long"))
     got = {r[0]: r[1] for r in components(edges, "path").collect()}
