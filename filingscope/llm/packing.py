@@ -12,6 +12,7 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +23,16 @@ from pyspark.sql.window import Window
 from filingscope.llm.store import narrow, row_text, save
 
 CAPACITY, TOKENIZER = 2048, "word_bpe_49k.json"
-#: Lengths are rounded up to this grid in the linear program only; coverage at which the weights stop; step of weights.
-GRID, COVER, STEP = 4, 4.0, 0.25
-#: Room up to which a sequence of the linear program stays as it is; the rounding with the fewest sequences is taken.
-SLACK = (0, 4, 16)
+#: Lengths are rounded up to this grid in the linear program only; coverage at which the weights of a pass stop, and their step.
+GRID, COVER, STEP = 4, 4.0, 0.5
+#: The program ends when its value is within this share of its lower bound, after so many passes over what is left at most.
+GAP, PASSES = 0.01, 6
+#: Pieces under this share of a sequence are left to fill room; how far lengths that are exchanged to fill a sequence lie apart.
+SMALL, REACH = 0.1, 128
+#: Shares of the program that are tried until one needs no more sequences than the tokens do.
+SHARES = (1.0, 0.9, 0.75)
+#: Coverage of a pass that counts: the volume-weighted quantile of its classes.
+QUANTILE = 0.8
 #: Words kept with their ids by a Python worker, rows of a ranking group.
 CACHED_WORDS, RANK_ROWS = 200_000, 5_000
 
@@ -139,62 +146,99 @@ def _price(value: np.ndarray, size: np.ndarray, room: int) -> dict[int, int]:
     return dict(out)
 
 
-def configurations(size: np.ndarray, demand: np.ndarray, room: int) -> list[tuple[dict[int, int], float]]:
-    """Approximate solution of min sum x_p, sum_p a_lp x_p >= demand_l, as (multiset of classes, x).
+Config = tuple[tuple[int, int], ...]
 
-    Multiplicative weights: each class has a price that falls exponentially with its coverage; the configuration worth
-    most at these prices enters as often as its scarcest class allows.  Sums are scaled to cover every class once.
+
+def _weighted(size: np.ndarray, demand: np.ndarray, room: int) -> tuple[dict[Config, float], np.ndarray, float]:
+    """One pass of multiplicative weights: configurations with their counts, coverage of each class, a lower bound.
+
+    Each class has a price that falls exponentially with its coverage; the configuration worth most at these prices
+    enters as often as its scarcest class allows.  Prices over the worth of that configuration are a dual solution.
     """
-    covered = np.zeros(len(size))
-    used: dict[tuple, float] = {}
-    # Start from prices by size, the dual solution when nothing is wasted.
-    base = size / demand
+    covered, used, bound = np.zeros(len(size)), Counter(), 0.0
     while covered.min() < COVER:
-        weights = base * demand * np.exp(-STEP * (covered - covered.min()))
-        config = _price(weights, size, room)
+        # Prices by size are the dual solution when nothing is wasted.
+        prices = size * np.exp(-STEP * (covered - covered.min()))
+        config = _price(prices, size, room)
         keys, counts = np.array(list(config)), np.array(list(config.values()))
+        bound = max(bound, float(prices @ demand / (prices[keys] @ counts)))
         times = float((demand[keys] / counts).min())
         covered[keys] += counts * times / demand[keys]
-        key = tuple(sorted(config.items()))
-        used[key] = used.get(key, 0.0) + times
-    scale = covered.min()
-    return sorted(((dict(k), x / scale) for k, x in used.items()), key=lambda p: -p[1])
+        used[tuple(sorted(config.items()))] += times
+    return used, covered, bound
+
+
+def configurations(size: np.ndarray, demand: np.ndarray, room: int) -> tuple[list[tuple[dict[int, int], float]], float]:
+    """Approximate solution of min sum x_p, sum_p a_lp x_p >= demand_l: [(multiset of classes, x)] and a lower bound.
+
+    A pass covers some classes more often than others.  It counts at a high quantile of its coverage, and the next pass
+    covers what is left, until all passes together and the whole of the last are within GAP of the bound.
+    """
+    found, total, left, bound = Counter(), 0.0, demand.astype(float), 0.0
+    for turn in range(PASSES):
+        open_ = np.flatnonzero(left > 1e-6 * demand)
+        if not len(open_):
+            break
+        used, covered, own = _weighted(size[open_], left[open_], room)
+        bound = bound or own
+        value = sum(used.values())
+        last = turn == PASSES - 1 or total + value / covered.min() <= (1 + GAP) * bound
+        order = np.argsort(covered)
+        volume = np.cumsum((left[open_] * size[open_])[order])
+        scale = covered.min() if last else covered[order[np.searchsorted(volume, QUANTILE * volume[-1])]]
+        for config, x in used.items():
+            found[tuple((int(open_[k]), n) for k, n in config)] += x / scale
+        total += value / scale
+        left[open_] = np.maximum(0, left[open_] * (1 - covered / scale))
+        if last:
+            break
+    return sorted(((dict(k), x) for k, x in found.items()), key=lambda p: -p[1]), bound
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
-    """Groups (lengths of a sequence, number of such sequences) that hold every piece once.
+    """Groups (lengths of a sequence, number of such sequences) that hold every piece once."""
+    return planned(histogram, capacity)[0]
 
-    The rounded-down linear program fills first; what is left is placed best-fit, longest first, into the room that
-    those sequences and new ones have.
+
+def planned(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[list[int], int]], float]:
+    """``plan`` and the share of its sequences, those of one full piece aside, that the program made.
+
+    The program's configurations fill first, rounded up while pieces last; knapsacks fill their room and new sequences
+    with what is left, the small pieces among it.  If that takes more sequences than the tokens need, smaller shares of the
+    program are tried.  Should best-fit alone ever need fewer, its result stands.
     """
     classes: dict[int, list[int]] = {}
-    for length in sorted((k for k, n in histogram.items() if n and k < capacity), reverse=True):
+    for length in sorted((k for k, n in histogram.items() if n and SMALL * capacity <= k < capacity), reverse=True):
         classes.setdefault(-(-length // GRID), []).append(length)
     size = np.array(sorted(classes))
     demand = np.array([sum(histogram[x] for x in classes[s]) for s in size], float)
-    solved = [({int(size[k]): n for k, n in c.items()}, x) for c, x in configurations(size, demand, capacity // GRID)] if classes else []
-    tries = [_rounded(histogram, classes, solved, capacity, slack) for slack in SLACK]
-    tries.append(_rounded(histogram, classes, [], capacity, 0))  # best-fit alone, so that the program never does worse
-    return min(tries, key=lambda groups: sum(n for _, n in groups))
-
-
-def _rounded(histogram: dict[int, int], classes: dict[int, list[int]], solved: list[tuple[dict[int, int], float]], capacity: int, slack: int) -> list[tuple[list[int], int]]:
-    left = {length: n for length, n in histogram.items() if n}
-    done = [([length], left.pop(length)) for length in list(left) if length == capacity]
-    open_: dict[int, list[tuple[list[int], int]]] = {}
-    rooms: list[int] = []
-
-    def put(lengths: list[int], times: int) -> None:
-        room = capacity - sum(lengths)
-        if room not in open_:
-            open_[room] = []
-            insort(rooms, room)
-        open_[room].append((lengths, times))
-
+    solved = [({int(size[k]): n for k, n in c.items()}, x) for c, x in configurations(size, demand, capacity // GRID)[0]] if classes else []
+    left = np.zeros(capacity + 1, np.int64)
+    for length, n in histogram.items():
+        left[length] = n
+    done = [([capacity], int(left[capacity]))] if left[capacity] else []
+    left[capacity] = 0
+    least = -(-int(left @ np.arange(capacity + 1)) // capacity)
+    tries = []
+    for share in SHARES:
+        made = _rounded(left, classes, [(c, share * x) for c, x in solved], capacity)
+        tries.append((_filled(left, made, capacity), sum(n for _, n in made)))
+        if sum(n for _, n in tries[-1][0]) == least:
+            break
+    tries.append((best_fit(left, capacity), 0))
+    groups, kept = min(tries, key=lambda t: (sum(n for _, n in t[0]), -t[1]))
+    return done + groups, kept / max(1, sum(n for _, n in groups))
+
+
+def _rounded(left: np.ndarray, classes: dict[int, list[int]], solved: list[tuple[dict[int, int], float]], capacity: int) -> list[tuple[list[int], int]]:
+    """Sequences of the configurations, largest counts first, each rounded up while its pieces last.
+
+    The grid leaves room: lengths give way to longer ones that fit, or two of them to two others that fill the sequence.
+    """
+    left, out = left.copy(), []
     for config, x in solved:
-        times = int(x)
-        while times:
-            # Exact lengths for the configuration: the longest of each class that is left.
+        times = int(np.ceil(x))
+        while times > 0:
             chosen: Counter = Counter()
             for k, n in config.items():
                 for _ in range(n):
@@ -204,28 +248,124 @@ def _rounded(histogram: dict[int, int], classes: dict[int, list[int]], solved: l
                     chosen[found] += 1
             if sum(chosen.values()) < sum(config.values()):
                 break
-            own = min([times, *(left[y] // n for y, n in chosen.items())])
+            room = capacity - sum(y * n for y, n in chosen.items())
+            for y in sorted(chosen.elements()):
+                longer = next((z for z in range(y + room, y, -1) if left[z] > chosen[z]), None) if room else None
+                if longer is not None:
+                    chosen[y] -= 1
+                    chosen[longer] += 1
+                    room -= longer - y
+            if room and (swap := _exchange(chosen, left, room)):
+                (y1, y2), (z1, z2) = swap
+                chosen.subtract((y1, y2))
+                chosen.update((z1, z2))
+            own = min([times, *(int(left[y]) // n for y, n in chosen.items() if n)])
             for y, n in chosen.items():
                 left[y] -= own * n
-            put(sorted(chosen.elements(), reverse=True), own)
+            out.append((sorted(chosen.elements(), reverse=True), own))
             times -= own
-    # Sequences that rounding up left room in, and the emptiest beyond the least possible number, are taken apart again.
-    spare = -(-sum(k * n for k, n in histogram.items()) // capacity) - sum(n for _, n in done)
-    for room in list(rooms):
-        kept = []
-        for lengths, times in open_[room]:
-            stay = max(0, min(times, spare)) if room <= slack else 0
-            spare -= stay
-            if stay:
-                kept.append((lengths, stay))
-            for y in lengths:
-                left[y] += times - stay
-        open_[room] = kept
-        if not kept:
-            del open_[room]
-            rooms.remove(room)
-    for length in sorted(left, reverse=True):
-        n = left[length]
+    return out
+
+
+def _exchange(chosen: Counter, left: np.ndarray, room: int) -> tuple[tuple[int, int], tuple[int, int]] | None:
+    """Two lengths of a sequence and two that are left and take up their places and ``room`` exactly."""
+    own = sorted(chosen.elements())
+    for i, y1 in enumerate(own):
+        for y2 in own[i + 1:]:
+            whole = y1 + y2 + room
+            z1 = np.arange(max(1, y1 - REACH), min(y1 + REACH, whole - 1) + 1)
+            z2 = whole - z1
+            fits = np.flatnonzero((left[z1] > 2) & (z2 < len(left)) & (left[np.minimum(z2, len(left) - 1)] > 2))
+            for k in fits[np.argsort(np.abs(z1[fits] - y1))].tolist():
+                a, b = int(z1[k]), int(z2[k])
+                if left[a] > chosen[a] + (a == b) and left[b] > chosen[b] + (a == b):
+                    return (y1, y2), (a, b)
+    return None
+
+
+def _fitting(items: Iterable[tuple[int, int]], room: int) -> Counter:
+    """Copies of lengths with the largest sum that fits; of equal sums one with the longest pieces.  ``items``: (length, copies), longest first.
+
+    A knapsack with the length as price: bit c of a row is set if some of the items so far make up c.
+    """
+    rows, seen, full = [1], [], (1 << room + 1) - 1
+    for y, copies in items:
+        rows.append((rows[-1] | rows[-1] << y * copies) & full)
+        seen.append((y, copies))
+        if rows[-1] >> room:
+            break
+    c, out = rows[-1].bit_length() - 1, Counter()
+    for k in range(len(seen) - 1, -1, -1):
+        if not rows[k] >> c & 1:
+            y, copies = seen[k]
+            out[y] += copies
+            c -= y * copies
+    return out
+
+
+class _Remainder:
+    """Pieces that are left, by length, put into sequences until none is."""
+
+    def __init__(self, left: np.ndarray, capacity: int) -> None:
+        self.left, self.capacity = left, capacity
+        self.order = np.flatnonzero(left)[::-1].tolist()
+        self.groups: list[tuple[list[int], int]] = []
+
+    def _items(self, room: int, held: Counter):
+        """(length, copies) that fit; copies in powers of two, so that few items make up any number."""
+        for k in range(bisect_left(self.order, -room, key=lambda y: -y), len(self.order)):
+            y = self.order[k]
+            free, step = min(int(self.left[y]) - held[y], room // y), 1
+            while free > 0:
+                yield y, min(step, free)
+                free, step = free - step, 2 * step
+
+    def fill(self, fixed: list[int], own: list[int], times: int) -> int:
+        """Up to ``times`` sequences of ``fixed`` (taken already), ``own`` and what fits best; their number."""
+        held = Counter(own)
+        room = self.capacity - sum(fixed) - sum(own)
+        held.update(_fitting(self._items(room, held), room))
+        alike = min([times, *(int(self.left[y]) // n for y, n in held.items())])
+        for y, n in held.items():
+            self.left[y] -= alike * n
+        self.groups.append((sorted([*fixed, *held.elements()], reverse=True), alike))
+        return alike
+
+    def compact(self) -> None:
+        self.order = [y for y in self.order if self.left[y]]
+
+
+def _filled(left: np.ndarray, kept: list[tuple[list[int], int]], capacity: int) -> list[tuple[list[int], int]]:
+    """The sequences ``kept``, their room and new sequences filled with all other pieces, longest first, by knapsacks."""
+    left = left.copy()
+    for lengths, times in kept:
+        np.subtract.at(left, lengths, times)
+    rest = _Remainder(left, capacity)
+    for lengths, times in sorted(kept, key=lambda g: sum(g[0])):
+        while times:
+            times -= rest.fill(lengths, [], times)
+    while rest.order:
+        first = rest.order[0]
+        while left[first]:
+            rest.fill([], [first], int(left[first]))
+        rest.compact()
+    return rest.groups
+
+
+def best_fit(left: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
+    """All pieces best-fit, longest first."""
+    open_: dict[int, list[tuple[list[int], int]]] = {}
+    rooms: list[int] = []
+
+    def put(lengths: list[int], times: int) -> None:
+        room = capacity - sum(lengths)
+        if room not in open_:
+            open_[room] = []
+            insort(rooms, room)
+        open_[room].append((lengths, times))
+
+    for length in np.flatnonzero(left)[::-1].tolist():
+        n = int(left[length])
         while n:
             at = bisect_left(rooms, length)
             if at < len(rooms):
@@ -247,7 +387,7 @@ def _rounded(histogram: dict[int, int], classes: dict[int, list[int]], solved: l
                 n, bins = 0, bins - 1
             if bins and lengths:
                 put(lengths, bins)
-    return done + [g for groups in open_.values() for g in groups]
+    return [g for groups in open_.values() for g in groups]
 
 
 class Places:

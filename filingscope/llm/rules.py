@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from filingscope.llm.store import save
 
-#: Thresholds of a statistic, conditions of a rule, rules of a list.
-THRESHOLDS, CONDITIONS, RULES = 24, 3, 10
+#: Thresholds of a statistic.
+THRESHOLDS = 24
 #: Share of rejected documents that a rule must have among those it covers when pruned, and how many it must cover.
 PRECISION, SUPPORT = 0.97, 8
 
@@ -35,8 +35,8 @@ def statistics(docs: DataFrame) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text), as a written table: doc_id and counts over the whole text.
 
     n_words, word_chars (code points in words), n_symbols, n_dup_lines (lines with a word equal to an earlier one),
-    n_repeat_words (words inside five-word windows that occur again), n_distinct (different words), n_upper (A-Z),
-    n_stops (words' final marks).  Null and empty texts have zeros.
+    n_repeat_words (words inside five-word windows that occur again), n_distinct (different words), n_upper (A-Z).
+    Null and empty texts have zeros.  Whole texts count, however long; repeated rows are counted alike; extra columns are ignored.
     """
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select(
         "doc_id", F.expr(_BOUND).alias("w"), F.expr("regexp_count(text, '[#*$%&|<>]')").alias("n_symbols"), F.expr(_LINED).alias("n_dup_lines"),
@@ -88,10 +88,12 @@ class DecisionList:
         self.rules = rules
 
     def fired(self) -> Column:
-        out = F.lit(0)
-        for k in range(len(self.rules), 0, -1):
-            out = F.when(_all(self.rules[k - 1]), F.lit(k)).otherwise(out)
-        return out
+        if not self.rules:
+            return F.lit(0)
+        out = F.when(_all(self.rules[0]), F.lit(1))
+        for k, rule in enumerate(self.rules[1:], 2):
+            out = out.when(_all(rule), F.lit(k))
+        return out.otherwise(F.lit(0))
 
     def __str__(self) -> str:
         return "\n".join(f"{k}. reject if {' and '.join(map(str, r))}" for k, r in enumerate(self.rules, 1)) or "keep all"
@@ -111,7 +113,9 @@ def learn(stats: DataFrame, labels: DataFrame) -> DecisionList:
 
     Two thirds of the labelled documents grow a rule, condition by condition of the highest information gain; the last
     third prunes it to the prefix with the best margin and decides whether it stands.  What a rule covers leaves both
-    parts.  The search ends at the first rule that doesn't stand.  A document with several labels counts with the
+    parts.  A rule grows for as long as a condition gains, and a rule that doesn't stand bars its first measure and direction
+    until one stands; the search ends where none is left to begin with or nothing is left to cover.  Each rule that stands
+    takes documents out of both parts, so the list stays finite.  A document with several labels counts with the
     lowest; null labels don't count; without labels the list is empty.
     """
     known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -126,10 +130,11 @@ def learn(stats: DataFrame, labels: DataFrame) -> DecisionList:
     places = F.array(*[_place(named[m], thresholds[m]) for m in order])
     rows = save(rows.withColumn("places", places), "labelled")
     rules: list[list[Condition]] = []
-    while len(rules) < RULES:
+    barred: set[tuple[str, bool]] = set()
+    while True:
         left = rows.filter(DecisionList(rules).fired() == 0)
         rule: list[Condition] = []
-        while len(rule) < CONDITIONS:
+        while True:
             cells = left.filter(F.col("grows") & _all(rule)).select("bad", F.posexplode("places")).groupBy("pos", "col").agg(F.sum("bad").alias("bad"), F.count("*").alias("n")).collect()
             at = {(r["pos"], r["col"]): (r["bad"], r["n"] - r["bad"]) for r in cells}
             p0, n0 = (sum(v[i] for k, v in at.items() if k[0] == 0) for i in (0, 1))
@@ -142,6 +147,8 @@ def learn(stats: DataFrame, labels: DataFrame) -> DecisionList:
                     b, g = at.get((f, j), (0, 0))
                     below = [below[0] + b, below[1] + g]
                     for above, (p, n) in ((True, (p0 - below[0], n0 - below[1])), (False, tuple(below))):
+                        if not rule and (m, above) in barred:
+                            continue
                         if p >= SUPPORT and (best is None or _gain(p0, n0, p, n) > best[0]):
                             best = (_gain(p0, n0, p, n), Condition(m, above, float(t)))
             if best is None or best[0] <= 0.01 * p0:
@@ -156,8 +163,10 @@ def learn(stats: DataFrame, labels: DataFrame) -> DecisionList:
         i = max(range(k), key=lambda j: (margins[j], -j))
         p, n = counts[i] or 0, counts[k + i] or 0
         if p < SUPPORT // 2 or p < PRECISION * (p + n):
-            break
+            barred.add((rule[0].measure, rule[0].above))  # the next rule begins elsewhere
+            continue
         rules.append(rule[:i + 1])
+        barred.clear()
     return DecisionList(rules)
 
 

@@ -196,3 +196,40 @@ def test_learned_rules(spark):
     assert str(rules.learn(rules.statistics(docs), labels.limit(0))) == "keep all"
     plan = rules.judged(docs, labels)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_covering_has_no_cap(spark):
+    """Twelve kinds of junk, each with its own value of a measure, are all covered, by however many rules it takes."""
+    rows, labels, n = [], [], 0
+    for kind in range(25):
+        for _ in range(60):
+            # Kinds differ in characters per word; every second kind is junk.
+            rows.append((n, 100, 100 * (5 + 2 * kind), 0, 0, 0, 80, 0))
+            labels.append((n, kind % 2 ^ 1))
+            n += 1
+    names = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_distinct long, n_upper long"
+    found = rules.learn(spark.createDataFrame(rows, names), spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert len(found.rules) > 10
+    fired = spark.createDataFrame(rows, names).withColumn("rule", found.fired()).collect()
+    junk = {i for i, q in labels if q == 0}
+    assert sum(x.rule > 0 for x in fired if x.doc_id in junk) >= 0.9 * len(junk)
+    assert sum(x.rule > 0 for x in fired if x.doc_id not in junk) <= 0.05 * (n - len(junk))
+
+
+def test_program_makes_most_sequences():
+    """Most sequences come from the linear program, and there are no more than best-fit alone makes."""
+    rng = np.random.default_rng(5)
+    lengths, counts = np.unique(np.clip(rng.lognormal(6.3, 0.8, 20_000).astype(int), 1, 2048), return_counts=True)
+    histogram = dict(zip(lengths.tolist(), counts.tolist()))
+    groups, share = packing.planned(histogram)
+    left = np.zeros(2049, np.int64)
+    for k, n in histogram.items():
+        left[k] = n
+    alone = sum(n for _, n in packing.best_fit(left, 2048))
+    assert sum(n for _, n in groups) <= alone and share > 0.5
+
+
+def test_knapsack_prefers_long_pieces_and_fills():
+    fit = packing._fitting([(9, 1), (7, 1), (5, 1), (2, 1), (2, 2)], 14)
+    assert dict(fit) == {9: 1, 5: 1}
+    assert dict(packing._fitting([(9, 1), (2, 1)], 8)) == {2: 1} and not packing._fitting([], 5)
