@@ -173,3 +173,21 @@ def industry_breakdown(trades: DataFrame, industries: Sequence[str], code: str)
     return trades.filter(F.col("industry").isin(*industries) & F.col(code).isNotNull()).groupBy("industry", code).agg(
         F.count_distinct("ticker").alias("n_tickers")
     )
+
+
+def advance_history(history: DataFrame, snapshot: DataFrame, on: Column, keys: Sequence[str]) -> DataFrame:
+    """``history`` (``keys``, valid_from, valid_to) after one more full snapshot of the keys, taken ``on``.
+
+    Rows that only the snapshot has open an interval, rows that only the open intervals have end theirs (valid_to is the first
+    day without them); a key that comes back opens a new one.  Closed intervals are not read by the comparison.
+    """
+    now = snapshot.select(*keys).distinct()
+    open_ = history.filter("valid_to IS NULL").select(*keys)
+    gained = now.exceptAll(open_).select(*keys, on.alias("valid_from"), F.lit(None).cast("date").alias("valid_to"))
+    lost = open_.exceptAll(now).withColumn("_lost", F.lit(True))
+    same = F.lit(True)
+    for k in keys:  # null keys match themselves, as in set operations
+        same = same & F.col(f"h.{k}").eqNullSafe(F.col(f"l.{k}"))
+    ended = history.alias("h").join(lost.alias("l"), same & F.col("h.valid_to").isNull(), "left").select(
+        *[F.col(f"h.{k}") for k in keys], F.col("h.valid_from"), F.when(F.col("_lost"), on).otherwise(F.col("h.valid_to")).alias("valid_to"))
+    return ended.unionByName(gained)

@@ -113,6 +113,26 @@ def path_rows(anchors: DataFrame, indexed: DataFrame, horizon_days: int) -> Data
     ).drop("p_symbol", "p_bucket")
 
 
+#: Days of a bucket of an open-ended path.
+PATH_BUCKET = 256
+
+
+def later_days(anchors: DataFrame, indexed: DataFrame) -> DataFrame:
+    """All price days after each anchor (``start_idx``), without an end.
+
+    A range join on (symbol, bucket): anchors enter every bucket from their own to the symbol's last, price rows one each,
+    so that the paths of one symbol are dealt over its buckets.
+    """
+    own = F.floor(F.unix_date("date") / PATH_BUCKET)
+    right = indexed.select(F.col("symbol").alias("p_symbol"), "date", "open", "high", "low", "close", "idx", own.alias("p_bucket"))
+    ends = right.groupBy(F.col("p_symbol").alias("symbol")).agg(F.max("p_bucket").alias("last"))
+    first = F.floor(F.unix_date("anchor_date") / PATH_BUCKET)
+    left = anchors.join(ends, "symbol").filter(F.col("last") >= first).withColumn("bucket", F.explode(F.sequence(first, F.col("last")))).drop("last")
+    return left.join(
+        right, (F.col("symbol") == F.col("p_symbol")) & (F.col("bucket") == F.col("p_bucket")) & (F.col("idx") > F.col("start_idx")),
+    ).drop("p_symbol", "p_bucket", "bucket")
+
+
 def build_paths(
     trades: DataFrame, prices: DataFrame, anchor: str = "disc", horizon_days: int | None = None,
 ) -> DataFrame:
@@ -127,10 +147,7 @@ def build_paths(
     indexed = index_prices(prices)
     anchors = anchor_entries(keyed.select("symbol", "anchor_date"), indexed)
     if horizon_days is None:
-        days = anchors.join(
-            indexed.select(F.col("symbol").alias("p_symbol"), "date", "open", "high", "low", "close", "idx"),
-            (F.col("symbol") == F.col("p_symbol")) & (F.col("idx") > F.col("start_idx")),
-        ).drop("p_symbol")
+        days = later_days(anchors.filter("start_idx IS NOT NULL"), indexed)
     else:
         days = path_rows(anchors, indexed, horizon_days).filter("idx IS NOT NULL")
     pct = F.when(
@@ -164,16 +181,8 @@ def extend_paths(
         openings.select("symbol", F.col("last_date").alias("anchor_date")).distinct()
     )
     indexed = index_prices(prices)
-    new_days = (
-        anchor_entries(ends, indexed).select("symbol", "anchor_date", "start_idx")
-        .join(
-            indexed.select(
-                F.col("symbol").alias("p_symbol"), "date", "open", "high", "low", "close", "idx"
-            ).filter(F.col("date") <= as_of),
-            (F.col("symbol") == F.col("p_symbol")) & (F.col("idx") > F.col("start_idx")),
-        )
-        .drop("p_symbol").withColumnRenamed("anchor_date", "last_date")
-    )
+    starts = anchor_entries(ends, indexed).filter("start_idx IS NOT NULL").select("symbol", "anchor_date", "start_idx")
+    new_days = later_days(starts, indexed.filter(F.col("date") <= as_of)).withColumnRenamed("anchor_date", "last_date")
     base = F.col("price_at_disclosure_date")
     return openings.join(new_days, ["symbol", "last_date"]).select(
         "trade_id", F.lit("disc").alias("anchor"),
@@ -230,6 +239,28 @@ def nearest_join(
     return left.join(found, [by, on], "left")
 
 
+def nearest_days(prices: DataFrame, fwd: int = 5, back: int = 3) -> DataFrame:
+    """(symbol, date, close) for every calendar day that has a nearest price: the day's own, else the next within ``fwd``
+    days, else the last within ``back``.
+
+    Each price day knows its follower, so it writes the days up to that one alone: at most 1 + ``fwd`` + ``back`` rows.
+    """
+    by_day = Window.partitionBy("symbol").orderBy("date")
+    quotes = prices.filter("close IS NOT NULL").select(
+        "symbol", "date", "close", F.lead("date").over(by_day).alias("next"), F.lead("close").over(by_day).alias("next_close"),
+        F.row_number().over(by_day).alias("idx"))
+    day = lambda d, close: F.struct(d.alias("date"), close.alias("close"))
+    none = F.array().cast("array<struct<date:date,close:double>>")
+    # From here on the follower is nearer.
+    ahead = F.when(F.col("next").isNotNull(), F.greatest(F.date_sub("next", fwd), F.date_add("date", 1)))
+    held = F.least(F.date_add("date", back), F.coalesce(F.date_sub(ahead, 1), F.date_add("date", back)))
+    parts = F.concat(
+        F.transform(F.sequence("date", held), lambda d: day(d, F.col("close"))),
+        F.when(F.col("next") > ahead, F.transform(F.sequence(ahead, F.date_sub("next", 1)), lambda d: day(d, F.col("next_close")))).otherwise(none),
+        F.when((F.col("idx") == 1) & F.lit(fwd > 0), F.transform(F.sequence(F.date_sub("date", fwd), F.date_sub("date", 1)), lambda d: day(d, F.col("close")))).otherwise(none))
+    return quotes.select("symbol", F.explode(parts).alias("q")).select("symbol", "q.date", "q.close")
+
+
 FORWARD_WINDOWS = (7, 30, 60, 90, 120, 150, 180)
 
 
@@ -238,7 +269,8 @@ def forward_returns(
 ) -> DataFrame:
     """Price and % return ``windows`` days after the trade and the disclosure date.
 
-    Computed once per distinct (ticker, date), pivoted by fixed offsets, then joined to the trades.
+    Computed once per distinct (ticker, date): an equi join with the nearest price of each calendar day, pivoted by
+    fixed offsets, then joined to the trades.
     """
     offsets = [0, *windows]
     keys = (
@@ -250,9 +282,8 @@ def forward_returns(
     legs = keys.select(
         "symbol", "base_date", F.explode(F.array(*[F.lit(o) for o in offsets])).alias("offset")
     ).withColumn("date", F.date_add("base_date", F.col("offset")))
-    quotes = nearest_lookup(legs.select("symbol", "date"), prices)
     wide = (
-        legs.join(quotes, ["symbol", "date"], "left").groupBy("symbol", "base_date")
+        legs.join(nearest_days(prices), ["symbol", "date"], "left").groupBy("symbol", "base_date")
         .agg(*[F.max(F.when(F.col("offset") == o, stable_round("close", 4))).alias(f"p{o}") for o in offsets])
     )
     out = trades

@@ -394,3 +394,17 @@ def scrape_alerts(history: DataFrame, order: Sequence[str], zero_runs: int = 5,
         "alert",
         F.when(F.col("new_trades") > ceiling, "ceiling").when((n == zero_runs) & (quiet == zero_runs), "zero_streak").otherwise("ok"),
     )
+
+
+def outcome_cube(rows: DataFrame, dims: Sequence[str] = ("party", "chamber", "year")) -> DataFrame:
+    """Trades, wins and distinct filers for every combination of ``dims`` and every subtotal.
+
+    ``level`` is the grouping id: a set bit marks a dimension that was added up, so that a real NULL is told from a total.
+    Filers are counted in two levels: one row per group and filer first, which bounds what a group expands to.
+    """
+    own = rows.groupBy(*dims, "filer_id").agg(F.count("*").alias("n"), F.sum((F.col("outcome") == "win").cast("long")).alias("wins"))
+    sets = [[d for k, d in enumerate(dims) if not level >> len(dims) - 1 - k & 1] for level in range(1 << len(dims))]
+    spread = own.groupingSets([[F.col(d) for d in s] + [F.col("filer_id")] for s in sets], *[F.col(d) for d in dims], F.col("filer_id")).agg(
+        F.grouping_id().alias("level"), F.sum("n").alias("n"), F.sum("wins").alias("wins"))
+    return spread.groupBy(F.shiftright("level", 1).alias("level"), *dims).agg(
+        F.sum("n").alias("n"), F.sum("wins").alias("wins"), F.count("*").alias("filers"))
