@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("scoring", "committees", "signals", "quotes", "reporting", "records", "merging", "streams", "histories")
+MODULES = ("scoring", "committees", "signals", "quotes", "reporting", "records", "merging", "streams", "histories", "stored")
 
 
 def _merge(attr: str) -> dict:

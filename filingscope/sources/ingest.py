@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,20 +71,45 @@ def normalise_disclosures(df: DataFrame, chamber: str) -> DataFrame:
     return with_filing_lag(out.select("*", "size.*").drop("size"))
 
 
+REJECT_REASONS = ("missing_date", "before_cutoff", "blank_ticker", "receipt")
+
+
+def _reject_reason(cutoff: Column) -> Column:
+    missing, before, blank, receipt = REJECT_REASONS
+    return (
+        F.when(F.col("trade_date").isNull() | F.col("disclosure_date").isNull(), missing)
+        .when(F.col("disclosure_date") < cutoff, before).when(F.col("ticker").isNull() | (F.trim("ticker") == ""), blank)
+        .when(F.col("transaction_type") == "receive", receipt)
+    )
+
+
 def split_rejects(df: DataFrame, cutoff: Column) -> tuple[DataFrame, DataFrame]:
     """(accepted rows, reject counts by reason)."""
-    reason = (
-        F.when(F.col("trade_date").isNull() | F.col("disclosure_date").isNull(), "missing_date")
-        .when(F.col("disclosure_date") < cutoff, "before_cutoff").when(F.col("ticker").isNull() | (F.trim("ticker") == ""), "blank_ticker")
-        .when(F.col("transaction_type") == "receive", "receipt")
-    )
-    tagged = df.withColumn("reject_reason", reason)
+    tagged = df.withColumn("reject_reason", _reject_reason(cutoff))
     return (
         tagged.filter("reject_reason IS NULL").drop("reject_reason"),
         tagged.filter("reject_reason IS NOT NULL").groupBy("reject_reason").agg(F.count("*").alias("n")),
     )
 
 
+def _land(tagged: DataFrame, column: str, kept: str, others: tuple[str, ...], out: list, path: str) -> dict[str, int]:
+    """Write the rows tagged ``kept`` and count every tag in the pass that writes.
+
+    The counts are taken in the writing stage itself, above all exchanges, so a stage that runs again for a lost executor doesn't
+    count twice.
+    """
+    seen = Observation()
+    counts = [F.count_if(F.col(column) == tag).alias(tag) for tag in (kept, *others)]
+    tagged.observe(seen, *counts).filter(F.col(column) == kept).select(*out).write.parquet(path)
+    return seen.get
+
+
+def land_accepted(df: DataFrame, cutoff: Column, path: str) -> dict[str, int]:
+    """``split_rejects`` in one pass: accepted rows are written to ``path``; returns counts by reason and ``accepted``."""
+    tagged = df.withColumn("reject_reason", F.coalesce(_reject_reason(cutoff), F.lit("accepted")))
+    return _land(tagged, "reject_reason", "accepted", REJECT_REASONS, df.columns, path)
+
+
 MEMBER_XML = T.StructType([
     T.StructField("statedistrict", T.StringType()),
     T.StructField("member-info", T.StructType([
@@ -138,14 +163,26 @@ def load_assignments(df: DataFrame, code_map: DataFrame, crosswalk: DataFrame, s
     lookups (Spark broadcasts them when their size allows).  Unmapped rows drop out, see
     ``assignment_drops``.
     """
-    return (
-        df.filter("committee_code IS NOT NULL AND person_code IS NOT NULL")
-        .join(code_map, "committee_code").join(crosswalk, "person_code").select(
-            "filer_id", "committee_id", N.party_from_code(F.col("party_code")).alias("party"), F.col("rank").try_cast("int").alias("rank"),
-            N.parse_date(F.col("start")).alias("start_date"), N.parse_date(F.col("end")).alias("end_date"),
-            F.concat(F.lit(source_prefix), F.col("congress")).alias("source"),
-        )
-    )
+    rows = df.filter("committee_code IS NOT NULL AND person_code IS NOT NULL")
+    return rows.join(code_map, "committee_code").join(crosswalk, "person_code").select(*_membership(source_prefix))
+
+
+def _membership(source_prefix: str) -> list[Column]:
+    return [
+        F.col("filer_id"), F.col("committee_id"), N.party_from_code(F.col("party_code")).alias("party"), F.col("rank").try_cast("int").alias("rank"),
+        N.parse_date(F.col("start")).alias("start_date"), N.parse_date(F.col("end")).alias("end_date"),
+        F.concat(F.lit(source_prefix), F.col("congress")).alias("source"),
+    ]
+
+
+def land_assignments(df: DataFrame, code_map: DataFrame, crosswalk: DataFrame, source_prefix: str, path: str) -> dict[str, int]:
+    """``load_assignments`` and ``assignment_drops`` in one pass: memberships are written to ``path``, counts returned.
+
+    Both lookups are expected to name each code once.
+    """
+    rows = df.filter("committee_code IS NOT NULL AND person_code IS NOT NULL").join(code_map, "committee_code", "left").join(crosswalk, "person_code", "left")
+    status = F.when(F.col("committee_id").isNull(), "no_committee").when(F.col("filer_id").isNull(), "no_person").otherwise("loaded")
+    return _land(rows.withColumn("status", status), "status", "loaded", ("no_committee", "no_person"), _membership(source_prefix), path)
 
 
 def assignment_drops(df: DataFrame, code_map: DataFrame, crosswalk: DataFrame) -> DataFrame:
