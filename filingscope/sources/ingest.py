@@ -60,14 +60,17 @@ def normalise_disclosures(df: DataFrame, chamber: str) -> DataFrame:
     text = lambda c: F.coalesce(F.trim(F.col(c)), F.lit(""))
     amount = N.parse_amount(F.col("amount"))
     district = text("district")
-    out = df.select(
+    parsed = df.select(
         N.blank_to_null(F.concat_ws(" ", text("firstName"), text("lastName"))).alias("name"), F.lit(chamber).alias("chamber"),
         F.when(district != "", F.upper(F.substring(district, 1, 2))).alias("state"),
         N.blank_to_null(F.upper("symbol")).alias("ticker"), N.blank_to_null(F.col("assetDescription")).alias("company"),
-        N.parse_date(F.col("transactionDate")).alias("trade_date"), N.parse_date(F.col("disclosureDate")).alias("disclosure_date"),
+        N.parse_date(F.col("transactionDate")).alias("traded"), N.parse_date(F.col("disclosureDate")).alias("disclosed"),
         N.norm_tx_type(F.col("type")).alias("transaction_type"), amount.alias("size"),
         F.coalesce(F.trim(F.lower(F.when(F.col("owner") != "", F.col("owner")))), F.lit("self")).alias("owner"),
-    ).filter("name IS NOT NULL AND disclosure_date IS NOT NULL")
+    )
+    # Filters on the dates aren't pushed below a generator, where every filter would parse them again.
+    dates = F.inline(F.array(F.struct(F.col("traded").alias("trade_date"), F.col("disclosed").alias("disclosure_date"))))
+    out = parsed.select("*", dates).drop("traded", "disclosed").filter("name IS NOT NULL AND disclosure_date IS NOT NULL")
     return with_filing_lag(out.select("*", "size.*").drop("size"))
 
 
