@@ -209,6 +209,43 @@ def test_line_index_is_reversible(docs):
     assert all(not c.cells.any() for c in cells)
 
 
+def test_line_index_grows_from_nothing(spark, docs, no_docs, monkeypatch):
+    """An index started empty gets more shards; many changes, the last of which write it anew, equal one pass."""
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 2)
+    monkeypatch.setattr(line_dedup, "CHANGES", 3)
+    lines = [f"line number {k} that is long enough to be a key of its own" for k in range(24)]
+    many = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(2000 + k, "\n".join(lines[k % 5:k % 5 + 12])) for k in range(20)], "doc_id long, text string"))
+    index = line_dedup.LineIndex.of(no_docs, 3)
+    assert index.shards == 1 and index.drops().collect() == []
+    for k in range(4):
+        index = index.insert(many.filter(f"doc_id % 4 = {k}"))
+    whole = line_dedup.LineIndex.of(many, 3)
+    assert index.shards == whole.shards > 2 and index.keys == whole.keys and _state(index) == _state(whole)
+    assert _state(index.insert(many.filter("doc_id % 4 = 1"))) == _state(whole)
+    few = index.delete(many.filter("doc_id % 3 = 0"))
+    assert _state(few) == _state(line_dedup.LineIndex.of(many.filter("doc_id % 3 <> 0"), 3))
+
+
+def test_filters_decide_at_any_size(docs):
+    """Filters too large for a broadcast meet the postings shard by shard, with equal results."""
+    index = line_dedup.LineIndex.of(docs, 3)
+    rows = index.postings.select("doc_id", "k1", "k2")
+    want = sorted(map(tuple, index.drops().collect()))
+    assert want and sorted(map(tuple, index.drops(filter_bytes=-1).collect())) == want
+    kept = index._probed_by_shard(rows, group=7)
+    assert kept.count() < rows.count() and kept.select("k1", "k2").distinct().count() >= index.keys
+    assert sorted(map(tuple, kept.join(index.counts.filter("docs >= 3"), ["k1", "k2"]).filter("doc_id < last").select("doc_id", "k1", "k2").collect())) == want
+
+
+def test_lines_of_long_texts_and_clashing_columns(spark):
+    shared = "a line that five documents share, long enough to count"
+    rows = [(k, "\n".join([f"own {k} {j}" for j in range(60_000)] + [shared])) for k in range(5)]
+    docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, __drops int")
+    kept = line_dedup.dedup_lines(docs)
+    assert kept.columns == docs.columns and {r.doc_id: r.text.count(shared) for r in kept.collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 1}
+    assert all(r.text == dict(rows)[r.doc_id].removesuffix("\n" + shared) for r in kept.filter("doc_id < 4").collect())
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(0)
     k1, k2 = rng.integers(0, 2**64, (2, 20_000), np.uint64)
