@@ -1,8 +1,8 @@
 """WARC archives in Zstandard: one frame a record, the dictionary in a leading skippable frame.
 
 Archives are written by Spark's text sink, so they commit as any other output and survive lost tasks on any file
-system.  A row is the bytes of a frame; the line separator between rows is an empty skippable frame, which every reader
-of the format steps over.
+system.  A row is an archive, a file has one row; its line separator is an empty skippable frame, which every reader of
+the format steps over.
 """
 
 from __future__ import annotations
@@ -23,8 +23,10 @@ from filingscope.llm.store import narrow, save
 FRAME, SKIPPABLE, DICTIONARY = 0xFD2FB528, 0x184D2A50, 0x184D2A5D
 SEPARATOR = struct.pack("<II", SKIPPABLE, 0).decode("ascii")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Records of an archive, bytes of a dictionary, records it is trained on, payload bytes from which copies are revisits.
-RECORDS, DICTIONARY_BYTES, SAMPLES, REVISIT_BYTES = 2000, 16 << 10, 300, 100
+#: Records and record bytes of an archive, whichever comes first; a longer record is alone.
+RECORDS, ARCHIVE_BYTES = 2000, 32 << 20
+#: Bytes of a dictionary, records it is trained on, payload bytes from which copies are revisits.
+DICTIONARY_BYTES, SAMPLES, REVISIT_BYTES = 16 << 10, 300, 100
 DATE = "2024-01-01T00:00:00Z"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
@@ -55,26 +57,32 @@ def archive(records: list[bytes]) -> list[bytes]:
     return [struct.pack("<II", DICTIONARY, len(data)) + data, *map(squeeze.compress, records)]
 
 
-def _frames(size: int):
+def _archives(records: int, size: int):
+    def made(held: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(archive(held))], pa.binary())], ["archive"])
+
     def run(batches):
-        held: list[bytes] = []
+        held, taken = [], 0
         for batch in batches:
-            for page, url, html, digest, first in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to"))):
-                held.append(record(page, url, html, digest, first))
-                if len(held) == size:
-                    yield pa.RecordBatch.from_arrays([pa.array(archive(held), pa.binary())], ["frame"])
-                    held = []
+            for k in range(batch.num_rows):  # one row at a time, as payloads may be long
+                own = record(*(batch.column(c)[k].as_py() for c in ("page_id", "url", "payload", "digest", "refers_to")))
+                if held and (len(held) == records or taken + len(own) > size):
+                    yield made(held)
+                    held, taken = [], 0
+                held.append(own)
+                taken += len(own)
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(archive(held), pa.binary())], ["frame"])
+            yield made(held)
 
     return run
 
 
-def write_archives(pages: DataFrame, path: str, size: int = RECORDS) -> None:
-    """Write a record for each row of ``pages`` (page_id, url, html) into archives of ``size`` records below ``path``.
+def write_archives(pages: DataFrame, path: str, records: int = RECORDS, size: int = ARCHIVE_BYTES) -> None:
+    """Write a record for each row of ``pages`` (page_id, url, html) into archives below ``path``.
 
-    Of records with equal payloads of at least 100 bytes those beside the smallest page_id revisit it.  A null html is
-    an empty payload; a null page_id is never the smallest; rows that repeat the smallest page_id are all responses.
+    An archive has at most ``records`` records and, but for a single longer one, ``size`` bytes of them.  Of records with
+    equal payloads of at least 100 bytes those beside the smallest page_id revisit it.  A null html is an empty payload; a
+    null page_id is never the smallest; rows that repeat the smallest page_id are all responses; other columns are not read.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
@@ -82,9 +90,9 @@ def write_archives(pages: DataFrame, path: str, size: int = RECORDS) -> None:
     copies = save(copies.filter("n > 1 AND first IS NOT NULL").select("digest", "first"), "copies")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     rows = rows.join(narrow(copies), "digest", "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
-    frames = rows.mapInArrow(_frames(size), "frame binary")
+    made = rows.mapInArrow(_archives(records, size), "archive binary")
     # A row's bytes pass through the cast as they are.
-    frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", size + 1).text(path)
+    made.select(F.col("archive").cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", 1).text(path)
 
 
 class Broken(ValueError):

@@ -1,6 +1,7 @@
 """Chat formatting and WARC archives."""
 
 import hashlib
+import random
 import struct
 
 import pytest
@@ -73,6 +74,22 @@ def test_archives_round_trip(spark, size):
     assert held[10].payload_digest == hashlib.sha256(("é" * 50_000).encode()).hexdigest()
 
 
+def test_archives_are_bounded_by_bytes(spark):
+    """Large pages close an archive early; one beyond the bound is alone in its own."""
+    rng = random.Random(3)
+    html = {k: rng.randbytes(150_000).hex() for k in range(12)} | {12: rng.randbytes(1_000_000).hex()}
+    pages = spark.createDataFrame([(k, "u", t) for k, t in html.items()], "page_id long, url string, html string").coalesce(1)
+    path = fresh_folder(spark, "warc")
+    warc.write_archives(pages, path, size=1 << 20)
+    rows = warc.read_archives(spark, path).collect()
+    assert {r.page_id: bytes(r.payload).decode() for r in rows} == html and not any(r.error for r in rows)
+    held = {}
+    for r in rows:
+        held.setdefault(r.archive, []).append(r.payload_bytes)
+    assert sorted(map(len, held.values())) == [1, 3, 3, 3, 3]
+    assert all(len(x) == 1 or sum(x) <= 1 << 20 for x in held.values())
+
+
 def test_no_pages(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     path = fresh_folder(spark, "warc")
