@@ -18,6 +18,8 @@ from filingscope.llm.words import NOT_SPACE, pieces, runs, words
 LABELLED, DIMENSIONS, NEIGHBOURS = 2500, 40, 15
 #: Documents whose products are computed at once; score from which a document is accepted.
 BLOCK, ACCEPT = 256, 0.7
+#: Units of terms, axes and vectors.  Products stay under 2^53 in double precision, those of vectors under 2^24 in single.
+TERM_UNIT, AXIS_UNIT, VECTOR_UNIT = 1 << 12, 1 << 20, 4000
 
 _CLASSES = 64
 _SINGLE = b" \n.,!?#*$%&|<>-_'\"()/:;@+=~\\[]{}"
@@ -65,13 +67,21 @@ def _terms(batches):
             [batch.column("doc_id"), batch.column("quality"), pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "quality", "terms"])
 
 
+def _whole(x: np.ndarray, unit: int) -> np.ndarray:
+    return np.rint(np.asarray(x, np.float64) * unit)
+
+
 class Space:
-    """Centre and axes of the latent space with the labelled documents in it."""
+    """Centre and axes of the latent space with the labelled documents in it.
+
+    Terms, axes and vectors are rounded to whole numbers of small units, so that every product and sum is exact: a score
+    depends neither on the batch a document comes in nor on the order of additions.
+    """
 
     def __init__(self, terms: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS) -> None:
-        self.labels = labels.astype(np.float32)
-        self.centre = terms.mean(0) if len(terms) else np.zeros(TERMS, np.float32)
-        x = terms - self.centre
+        self.labels = labels.astype(np.float64)
+        centre = terms.mean(0) if len(terms) else np.zeros(TERMS, np.float32)
+        x = terms - centre
         k = min(dimensions + 8, *x.shape)
         basis = x.T @ np.random.default_rng(0).standard_normal((len(x), k)).astype(np.float32)
         for _ in range(4):  # subspace iteration
@@ -79,22 +89,28 @@ class Space:
             basis = x.T @ (x @ basis)
         basis, _ = np.linalg.qr(basis)
         _, _, v = np.linalg.svd(x @ basis, full_matrices=False) if len(x) else (0, 0, np.zeros((0, 0), np.float32))
-        self.axes = (basis @ v.T)[:, :dimensions].astype(np.float32)
+        self.axes = _whole((basis @ v.T)[:, :dimensions], AXIS_UNIT)
+        self.centre = _whole(centre, TERM_UNIT) @ self.axes
         del x  # the driver holds one copy of the terms at a time beside the rows
         self.vectors = np.concatenate([self.unit(terms[i:i + BLOCK]) for i in range(0, max(1, len(terms)), BLOCK)])
 
     def unit(self, terms: np.ndarray) -> np.ndarray:
-        v = (terms - self.centre) @ self.axes
-        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+        """Vectors of length ``VECTOR_UNIT``, but for rounding; none of them is longer than 4000 and half the root of the dimensions."""
+        v = _whole(terms, TERM_UNIT) @ self.axes - self.centre
+        return _whole(v / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1.0), VECTOR_UNIT).astype(np.float32)
 
     def scores(self, terms: np.ndarray) -> np.ndarray:
-        """Similarity-weighted label shares among the nearest, from exact products of blocks."""
-        out = np.empty(len(terms))
-        k = min(NEIGHBOURS, len(self.labels))
+        """Similarity-weighted label shares among the nearest, from exact products of blocks.
+
+        Of equally similar documents the first ones (smaller doc_id) are the neighbours.
+        """
+        out, n = np.empty(len(terms)), len(self.labels)
+        k = min(NEIGHBOURS, n)
         for at in range(0, len(terms), BLOCK):
-            near = self.unit(terms[at:at + BLOCK]) @ self.vectors.T
-            best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(near, best, 1), 0) ** 4 + 1e-6
+            near = (self.unit(terms[at:at + BLOCK]) @ self.vectors.T).astype(np.int64)
+            order = np.argpartition(np.arange(n) - near * n, k - 1, axis=1)[:, :k]  # all different
+            best = np.sort(order, axis=1)
+            weight = np.maximum(np.take_along_axis(near, best, 1) / VECTOR_UNIT**2, 0) ** 4 + 1e-6
             out[at:at + BLOCK] = (weight * self.labels[best]).sum(1) / weight.sum(1)
         return np.clip(out, 0, 1)
 
@@ -149,6 +165,9 @@ def accepted(docs: DataFrame, labelled: DataFrame, labels: DataFrame, least: flo
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row; null and empty texts are scored as texts without terms."""
+    """doc_id, held_out, score, predicted of every row.
+
+    Null and empty texts are scored as texts without terms, equal texts alike whatever their id, very long ones as a whole.
+    """
     return scored(docs, fit(docs, labels)).select(
         "doc_id", F.coalesce(_held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
