@@ -2,8 +2,9 @@
 
 A surrogate depends on the key, the type and the entity's canonical value alone, and a given name's also on its gender,
 which is resolved once over the corpus, so mentions that mean the same get the same one in any document.  A name that a
-title tells is replaced wherever the document has it, with or without a title.  All entities of the corpus are checked together: where two surrogates of a type are equal, or
-one equals a real entity, all but the smallest get the next attempt, until none collide.
+title tells is replaced wherever the document has it, with or without a title.  All entities of the corpus are checked
+together: where two surrogates of a type are equal, or one equals a real entity, all but the smallest get the next
+attempt, until none collide; late attempts are longer, so that a type never runs out of them.
 """
 
 from __future__ import annotations
@@ -11,8 +12,10 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from bisect import bisect
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,14 +40,17 @@ TITLES = {
     "n": ["Dr.", "Dr", "Prof.", "Prof"],
 }
 _GENDER = {t: g for g, ts in TITLES.items() for t in ts}
-_WORD = r"[^\W\d_a-z][^\W\d_]+(?:-[^\W\d_]+)?"
+#: A letter, or a mark that letters carry (combining accents, Hebrew and Arabic points, vowel signs of Indic scripts).
+_LETTER = r"(?:[^\W\d_]|[\u0300-\u036f\u0591-\u05bd\u064b-\u065f\u0900-\u0963\u0981-\u0dff])"
+_WORD = rf"[^\W\d_a-z]{_LETTER}+(?:-{_LETTER}+)?"
 _TITLE = "(?:" + "|".join(re.escape(t) for t in sorted(_GENDER, key=len, reverse=True)) + ")"
 _NAME = re.compile(rf"\b({_TITLE}(?: {_TITLE})*) ({_WORD})(?: ({_WORD}))?")
 _NAME_WORD = re.compile(rf"(?<![^\W_]){_WORD}")
 #: Consonants and vowels of surrogate names by script, and the endings that given names of a gender have.
 SCRIPTS = {"latin": ("bdfgklmnprstv", "aeiou"), "cyrillic": ("бвгдзклмнпрст", "аеиоу"), "greek": ("βγδκλμνπρστ", "αειου")}
 ENDINGS = {"f": {"latin": "a", "cyrillic": "а", "greek": "α"}, "m": {"latin": "n", "cyrillic": "н", "greek": "ς"}, "n": {"latin": "i", "cyrillic": "й", "greek": "ι"}}
-_UPPER_LIMIT = 40  # attempts until a surrogate may be one longer
+#: Attempts after which each further one adds a digit or a syllable.
+_SAME_LENGTH = 40
 
 
 def _script(word: str) -> str:
@@ -53,7 +59,18 @@ def _script(word: str) -> str:
             return "cyrillic"
         if "Ͱ" <= c <= "Ͽ":
             return "greek"
-    return "latin"
+    return "latin" if all(unicodedata.name(c, "").startswith("LATIN") for c in word if c != "-") else "other"
+
+
+@lru_cache(4096)
+def _letters_like(c: str) -> str:
+    """Letters of the script and class of ``c`` in its 256 code points; for an ideograph or a Hangul syllable, in 4096."""
+    script, kind, span = unicodedata.name(c, "").split(" ")[0], unicodedata.category(c), 256
+    if script in ("CJK", "HANGUL"):
+        span = 4096
+    start = ord(c) // span * span
+    own = (chr(k) for k in range(max(start, 0x4E00 if c >= "一" else 0), start + span))
+    return "".join(x for x in own if unicodedata.category(x) == kind and unicodedata.name(x, "").split(" ")[0] == script and unicodedata.normalize("NFKC", x) == x) or c
 
 
 def mentions(text: str) -> list[tuple[int, int, str, str]]:
@@ -170,29 +187,34 @@ def _luhn(digits: str) -> int:
 def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     """The canonical surrogate of a canonical value."""
     below = _stream(key, kind.partition("-")[0], attempt, value)
+    more = max(0, attempt - _SAME_LENGTH)
+    longer = "".join(str(below(10)) for _ in range(more))
     if kind == "email":
         local, _, domain = value.partition("@")
         *labels, top = domain.split(".")
         shared = _stream(key, "domain", domain)  # one domain, one surrogate
-        return f"{_alike(local, below)}{below(10) if attempt > _UPPER_LIMIT else ''}@{'.'.join(_alike(x, shared) for x in labels)}.{top}"
+        return f"{_alike(local, below)}{longer}@{'.'.join(_alike(x, shared) for x in labels)}.{top}"
     if kind == "ip":
         return ".".join(str(1 + below(254)) for _ in range(4))
     if kind == "card":
-        body = value[0] + _alike(value[1:-1], below)
+        body = value[0] + _alike(value[1:-1], below) + longer
         if _luhn(value):
             return body + str(below(10))
         return body + next(str(d) for d in range(10) if not _luhn(body + str(d)))
     if kind == "phone":
-        return value[0] + _alike(value[1:], below)
+        return value[0] + _alike(value[1:], below) + longer
     if kind in ("iban", "ssn"):
         kept = 2 * (kind == "iban")  # the country
-        return value[:kept] + _alike(value[kept:], below)
+        return value[:kept] + _alike(value[kept:], below) + longer
     if kind == "secret":
-        return _alike(value, below, re.fullmatch(r"[0-9a-fA-F]+", value) is not None)
-    # Names: syllables of the script, as long as the name or a little longer.
+        return _alike(value, below, re.fullmatch(r"[0-9a-fA-F]+", value) is not None) + longer
     script = _script(value)
+    if script == "other":  # letter for letter; these scripts have no endings that tell a gender here
+        own = value + value[-1] * (max(0, attempt - 3) // 4)
+        return "".join(x[below(len(x))] if (x := _letters_like(c)) and c != "-" else c for c in own)
+    # Names: syllables of the script, as long as the name or a little longer.
     consonants, vowels = SCRIPTS[script]
-    size = max(2, (len(value) + 1) // 2 + below(2) + (attempt > 3))
+    size = max(2, (len(value) + 1) // 2 + below(2) + (attempt > 3) + more)
     name = "".join(consonants[below(len(consonants))] + vowels[below(len(vowels))] for _ in range(size))
     gender = kind.removeprefix("given-")
     return name + ENDINGS[gender][script] if gender in ENDINGS and gender != "f" else name[:-1] + ENDINGS["f"][script] if gender == "f" else name
@@ -202,7 +224,7 @@ def render(shown: str, kind: str, replacement: str) -> str:
     """The surrogate in the format of a mention: its separators or its case."""
     if kind in ("phone", "card", "ssn", "iban"):
         marks = iter(replacement)
-        return "".join(next(marks) if c.isdigit() or kind == "iban" and c != " " else c for c in shown)
+        return "".join([*(next(marks) if c.isdigit() or kind == "iban" and c != " " else c for c in shown), *marks])
     if kind == "email":
         return replacement.upper() if shown.isupper() else replacement
     if kind == "surname" or kind.startswith("given-"):
@@ -212,8 +234,14 @@ def render(shown: str, kind: str, replacement: str) -> str:
 
 def _mentioned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(d, k, v) for d, t in zip(batch.column("doc_id").to_pylist(), row_text(batch)) for k, v in {e[2:] for e in mentions(t.as_py())}]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))], ["doc_id", "kind", "value"])
+        rows = []
+        for text in row_text(batch):
+            text = text.as_py()
+            own = {e[2:] for e in mentions(text)}
+            if own:
+                digest = hashlib.md5(text.encode()).hexdigest()
+                rows += [(digest, *e) for e in own]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], ["digest", "kind", "value"])
 
 
 def _tried(key: bytes):
@@ -225,16 +253,17 @@ def _tried(key: bytes):
     return run
 
 
-def assign(entities: DataFrame, key: bytes, most: int = 60) -> DataFrame:
+def assign(entities: DataFrame, key: bytes) -> DataFrame:
     """(kind, value, attempt, surrogate) for distinct (kind, value): no two surrogates of a kind are equal, none is real.
 
-    Given names of any gender are one kind here; each must come with one gender.
+    Given names of any gender are one kind here; each must come with one gender.  Only an IPv4 address can't grow: the
+    attempts go on while there are free ones.
     """
     schema = "kind string, value string, attempt int, surrogate string"
     family = F.substring_index("kind", "-", 1).alias("family")
     tried = save(entities.withColumn("attempt", F.lit(0)).mapInArrow(_tried(key), schema), "surrogates")
     real = entities.select(family, F.col("value").alias("surrogate"), F.lit(True).alias("real"))
-    for _ in range(most):
+    while True:
         # An attempt that has stood longest keeps its surrogate.
         order = Window.partitionBy("family", "surrogate").orderBy("attempt", "value")
         marked = tried.withColumn("family", family).join(real, ["family", "surrogate"], "left").withColumn("again", F.col("real").isNotNull() | (F.row_number().over(order) > 1))
@@ -243,7 +272,6 @@ def assign(entities: DataFrame, key: bytes, most: int = 60) -> DataFrame:
             return marked.drop("again")
         again = marked.filter("again").select("kind", "value", (F.col("attempt") + 1).alias("attempt")).mapInArrow(_tried(key), schema)
         tried = marked.filter("NOT again").drop("again").unionByName(again)
-    raise ValueError(f"no distinct surrogates after {most} attempts")
 
 
 def _replace(key: bytes):
@@ -277,22 +305,24 @@ def _resolved(found: DataFrame) -> DataFrame:
         F.col("value").alias("name"), F.expr("CASE WHEN f > 0 THEN 'given-f' WHEN f < 0 THEN 'given-m' ELSE 'given-n' END").alias("told"))
     mixed = save(mixed, "genders")
     name = F.expr("CASE WHEN kind LIKE 'given-%' THEN value END")
-    return found.join(narrow(mixed), name == F.col("name"), "left").select("doc_id", "kind", "value", F.coalesce("told", "kind").alias("same"))
+    return found.join(narrow(mixed), name == F.col("name"), "left").select("digest", "kind", "value", F.coalesce("told", "kind").alias("same"))
 
 
 def with_surrogates(docs: DataFrame, key: bytes) -> DataFrame:
     """doc_id, text, n_entities of each row of ``docs`` (doc_id, text), entities replaced.
 
-    Null and empty texts stay as they are; rows may repeat.  Only entities whose first surrogate collided, and given names
-    whose document tells another gender than the corpus, need a look-up; these travel as short lists with the documents
-    that mention them.
+    Null and empty texts stay as they are; rows may repeat, ids may be null, texts are read as a whole; other columns are
+    not read.  Only entities whose first surrogate collided, and given names whose text tells another gender than the
+    corpus, need a look-up; these travel as short lists with the texts that mention them, one list a text, whatever its ids.
     """
     docs = docs.select("doc_id", "text")
-    found = _resolved(save(docs.mapInArrow(_mentioned, "doc_id long, kind string, value string"), "mentions"))
+    found = _resolved(save(docs.mapInArrow(_mentioned, "digest string, kind string, value string"), "mentions"))
     entities = found.select(F.col("same").alias("kind"), "value").distinct()
     moved = save(assign(entities, key).filter("attempt > 0").select(F.col("kind").alias("same"), "value", "attempt"), "moved")
     known = found.join(narrow(moved), ["same", "value"], "left").filter("attempt IS NOT NULL OR same <> kind")
-    known = known.groupBy("doc_id").agg(F.collect_set(F.struct("kind", "value", "same", F.coalesce("attempt", F.lit(0)).alias("attempt"))).alias("__known"))
+    known = known.groupBy("digest").agg(F.collect_set(F.struct("kind", "value", "same", F.coalesce("attempt", F.lit(0)).alias("attempt"))).alias("__known"))
     lists = save(known, "known")
-    wide = docs.join(narrow(lists), docs.doc_id.eqNullSafe(lists.doc_id), "left").select(docs.doc_id, "text", "__known")
+    rows, entries = lists.agg(F.count("*"), F.sum(F.size("__known"))).first()
+    lists = narrow(lists, rows + 4 * (entries or 0))  # an entry takes the memory of some narrow rows
+    wide = docs.join(lists, F.md5(docs.text.cast("binary")) == lists.digest, "left").select(docs.doc_id, "text", "__known")
     return wide.mapInArrow(_replace(key), "doc_id long, text string, n_entities long")

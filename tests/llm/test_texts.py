@@ -147,6 +147,32 @@ def test_names_without_a_title_and_one_gender(spark):
     assert re.fullmatch(r"Госпожа (\w+) (\w+)\. \1 \2, \2", got[7][0][0]) and "Анна" not in got[7][0][0]
 
 
+def test_names_of_other_scripts_keep_them(spark):
+    texts = ["Dr. 王伟 came, and 王伟 said.", "Mr. محمد علي, علي", "Mrs. שרה כהן met שרה", "Dr. 김민수, 김민수", "Mrs. अनिता शर्मा", "Dr. Łukasz Żak"]
+    rows = [(k % 2 or None, t) for k, t in enumerate(texts)] * 2
+    got = sorted({r.text for r in pii.with_surrogates(spark.createDataFrame(rows, "doc_id long, text string"), b"key").collect()})
+    assert len(got) == len(texts)
+    patterns = [
+        r"Dr\. ([一-龥]{2}) came, and \1 said\.", r"Mr\. [\u0600-\u06ff]{4} ([\u0600-\u06ff]{3}), \1", r"Mrs\. ([\u05d0-\u05f2]{3}) [\u05d0-\u05f2]{3} met \1",
+        r"Dr\. ([가-힣]{3}), \1", r"Mrs\. [\u0900-\u0963\u0971-\u097f]{5} [\u0900-\u0963\u0971-\u097f]{5}", r"Dr\. [A-Z][a-z]+ [A-Z][a-z]+"]
+    for pattern, text in zip(patterns, texts):
+        assert sum(re.fullmatch(pattern, t) is not None for t in got) == 1 and text not in got
+
+
+def test_a_small_space_of_surrogates_grows(spark, monkeypatch):
+    """More entities than surrogates of their length: all get one, none are equal or real; rows without an id and long texts too."""
+    plain = pii.surrogate
+    monkeypatch.setattr(pii, "_SAME_LENGTH", 2)
+    monkeypatch.setattr(pii, "surrogate", lambda key, kind, value, attempt=0: plain(key, kind, value, attempt)[:1] * 6 + plain(key, kind, value, attempt)[6:])
+    own = [f"+1632555{k:04d}" for k in range(0, 600, 20)]
+    rows = [(None, f"call {x}") for x in own] + [(None, f"call {own[0]}"), (1, "pad " * 200_000 + own[1])]
+    got = [(r.doc_id, r.text) for r in pii.with_surrogates(spark.createDataFrame(rows, "doc_id long, text string"), b"key").collect()]
+    numbers = [t.split("+")[1] for _, t in got]
+    assert len(set(numbers)) == len(own) and not {f"+{n}" for n in numbers} & set(own)
+    assert numbers.count(dict(zip([t for _, t in rows], numbers))["call " + own[0]]) == 2
+    assert [t for d, t in got if d == 1] == ["pad " * 200_000 + "+" + dict(zip([t for _, t in rows], numbers))["call " + own[1]]]
+
+
 def test_colliding_surrogates_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(pii, "surrogate", lambda key, kind, value, attempt=0: str((int(value) + attempt * 7) % 5 + 100 * attempt))
     entities = spark.createDataFrame([("ip", str(k)) for k in range(40)], "kind string, value string")
@@ -175,7 +201,27 @@ def test_blocked_scores_equal_single_products():
     rng = np.random.default_rng(0)
     space = quality.Space(rng.random((50, quality.TERMS)).astype(np.float32), rng.integers(0, 2, 50))
     terms = rng.random((600, quality.TERMS)).astype(np.float32)
-    assert np.allclose(space.scores(terms), np.concatenate([space.scores(terms[k:k + 1]) for k in range(600)]), atol=1e-4)
+    assert (space.scores(terms) == np.concatenate([space.scores(terms[k:k + 1]) for k in range(600)])).all()
+
+
+def test_votes_against_plain_integers():
+    """Exact products by Python integers; equal neighbours, of which the first ones vote; repeated documents score alike."""
+    rng = np.random.default_rng(4)
+    few = (rng.random((12, quality.TERMS)) * (rng.random((12, quality.TERMS)) < 0.02)).astype(np.float32)
+    known, labels = few[rng.integers(0, 12, 60)], rng.integers(0, 2, 60)
+    space = quality.Space(known, labels)
+    asked = np.concatenate([few, (rng.random((20, quality.TERMS)) < 0.01).astype(np.float32), np.zeros((1, quality.TERMS), np.float32)])
+    got = space.scores(np.concatenate([asked, asked[::-1]]))
+    assert (got[:33] == got[33:][::-1]).all()
+    own, tied = [[int(x) for x in v] for v in space.vectors], 0
+    for terms, score in zip(asked, got):
+        v = [int(x) for x in space.unit(terms[None])[0]]
+        near = [sum(a * b for a, b in zip(v, w)) for w in own]
+        order = sorted(range(60), key=lambda i: (-near[i], i))
+        tied += near[order[quality.NEIGHBOURS - 1]] == near[order[quality.NEIGHBOURS]]
+        weight = {i: max(near[i] / quality.VECTOR_UNIT**2, 0) ** 4 + 1e-6 for i in order[:quality.NEIGHBOURS]}
+        assert abs(score - sum(w * labels[i] for i, w in weight.items()) / sum(weight.values())) < 1e-12
+    assert tied > 5
 
 
 def test_rule_statistics(docs, texts, no_docs):
