@@ -8,7 +8,7 @@ from catalog import base
 from catalog.base import CTES, with_ctes
 from filingscope.functions.rounding import stable_round
 from filingscope.operators import barriers, flags, prices
-from filingscope.plans import grid, reports, scoring
+from filingscope.plans import grid, night, reports, scoring
 from filingscope.session import materialize
 
 # Thresholds that populate the basket groups on the test tables (defaults are 10 and 20).
@@ -19,16 +19,9 @@ PARAMS = scoring.ScoreParams(basket_trade=BASKET_TD, basket_disclosure=BASKET_DD
 PAIRS = [(5.0, 10.0), (10.0, 10.0), (10.0, 20.0), (15.0, 5.0)]
 
 
-def repeat_column(rows, trades):
-    """Labelled buys with the repeat flag (0 outside the qualifying set)."""
-    pool = flags.exclude_baskets(flags.qualifying_buys(rows), trades, None, BASKET_TD, BASKET_DD)
-    repeats = flags.flag_repeats(pool).filter("repeat_before_close = 1").select("trade_id", "repeat_before_close")
-    return rows.join(repeats, "trade_id", "left").withColumn("repeat_before_close", F.coalesce("repeat_before_close", F.lit(0)))
-
-
 def repeat_run(spark, d):
     """Labelled buys with the repeat flag, computed here and now."""
-    return repeat_column(base.labelled(spark, d), base.trade_table(spark, d))
+    return night.with_repeats(base.labelled(spark, d), base.trade_table(spark, d), PARAMS)
 
 
 def repeated(spark, d):

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from filingscope.operators import barriers, committees, positions, prices, resolve, touches
-from filingscope.plans import reports
+from filingscope.plans import night, reports
 from filingscope.streaming import state
 
 D0 = datetime.date(2020, 1, 1)
@@ -56,6 +56,23 @@ def test_folded_slices_equal_one_pass(spark, market, cuts):
     assert got == want and {x[3] for x in want} == {"win", "loss", "open"}
 
 
+def test_nights_catch_up_late_disclosures(spark, market, monkeypatch):
+    """Disclosures in any order of arrival, some of them nights late or twice, end with the labels of one pass."""
+    monkeypatch.setattr(night, "PARTS", 2)
+    quotes_of, keys = market
+    buys = keys.select(F.monotonically_increasing_id().alias("trade_id"), F.col("symbol").alias("ticker"), F.col("anchor_date").alias("disclosure_date"))
+    buys = spark.createDataFrame([*buys.collect(), (9000, "a", None), (9001, None, day(9)), (9002, "b", day(30))], "trade_id long, ticker string, disclosure_date date")
+    state = night.State.empty(spark)
+    for k, end in enumerate([day(20), day(21), day(90)]):
+        seen = buys.filter(F.col("disclosure_date") <= F.date_sub(F.lit(end), 1)).filter(f"(trade_id + {k}) % 3 <> 0")
+        state = night.advance(state, seen, quotes_of, end)
+    state = night.advance(state, buys, quotes_of)
+    columns = ["trade_id", "price_at_disclosure_date", "day1_open", "entry_price", "outcome", "days_to_exit_disc", "close_date_disc", "max_drawdown_disc", "drawdown_disc_5pct"]
+    got = sorted(map(tuple, night.labels(state, buys).select(*columns).collect()))
+    want = sorted(map(tuple, barriers.label_disclosures(buys, quotes_of).select(*columns).collect()))
+    assert got == want and {x[4] for x in want} == {"win", "loss", "open", None}
+
+
 def test_nearest_price_of_each_day(market):
     quotes_of, _ = market
     own = {}
