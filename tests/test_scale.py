@@ -30,3 +30,26 @@ def test_open_ended_labels_open_blocks_in_the_symbol_join(spark, no_broadcast):
     text = tree(barriers.first_touches(prices.anchor_entries(keys, indexed), indexed))
     above = text[: text.index("SortMergeJoin")]
     assert "Exchange" not in above and "Generate" not in above and "Sort" not in above
+
+
+@pytest.mark.parametrize("horizon", [None, 20])
+def test_days_of_a_path_stay_where_they_were_found(spark, no_broadcast, horizon):
+    """The range join is the last one; trades have met their anchors before."""
+    text = tree(prices.build_paths(base.buys(spark, SMALL), base.prices(spark, SMALL), "disc", horizon))
+    last = next(line for line in text.splitlines() if "SortMergeJoin" in line)
+    assert "p_bucket" in last
+    assert "Exchange" not in text[: text.index("SortMergeJoin")]
+
+
+@pytest.mark.parametrize("name", ["cascade_children", "extend_paths"])
+def test_rows_of_paths_are_not_joined_again(spark, no_broadcast, name):
+    text = tree(entry.queries()[name](spark, SMALL))
+    assert "p_bucket" in next(line for line in text.splitlines() if "SortMergeJoin" in line)
+
+
+def test_paths_keep_columns_of_their_trade(rows):
+    trades = rows("trade_id STRING, ticker STRING, disclosure_date DATE, side STRING", [("a", "X", "2024-01-02", "keep"), ("b", "X", "2024-01-02", None)])
+    quotes = rows("symbol STRING, date DATE, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE", [("X", f"2024-01-{k:02d}", 1.0, 1.0, 1.0, float(k)) for k in (1, 3, 4)])
+    for horizon in (None, 30):
+        got = prices.build_paths(trades, quotes, "disc", horizon, keep=["side"])
+        assert sorted((r.trade_id, r.day, r.side) for r in got.collect()) == [("a", 1, "keep"), ("a", 2, "keep"), ("b", 1, None), ("b", 2, None)]
