@@ -53,3 +53,8 @@ def test_paths_keep_columns_of_their_trade(rows):
     for horizon in (None, 30):
         got = prices.build_paths(trades, quotes, "disc", horizon, keep=["side"])
         assert sorted((r.trade_id, r.day, r.side) for r in got.collect()) == [("a", 1, "keep"), ("a", 2, "keep"), ("b", 1, None), ("b", 2, None)]
+
+
+def test_paths_are_extended_from_the_earlier_day(spark):
+    got = entry.queries()["extend_paths"](spark, SMALL).agg(F.min("date").alias("first")).first()
+    assert datetime.date(1996, 6, 30) < got["first"] < datetime.date(1998, 12, 31)
