@@ -5,6 +5,7 @@ Statistics, learning and verdicts are DataFrame operations; the driver sees coun
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 from math import log2
 
@@ -108,6 +109,22 @@ def _gain(p0: int, n0: int, p1: int, n1: int) -> float:
     return p1 * (log2(p1 / (p1 + n1)) - log2(p0 / (p0 + n0))) if p1 else 0.0
 
 
+def _counted(rows: DataFrame) -> Counter:
+    """Documents by (measure, place, bad) of the growing part."""
+    cells = rows.filter("grows").select("bad", F.posexplode("places")).groupBy("pos", "col", "bad").agg(F.count("*").alias("n")).collect()
+    return Counter({(r["pos"], r["col"], r["bad"]): r["n"] for r in cells})
+
+
+def _meeting(rows: DataFrame, counts: Counter, condition: Column, meets: int) -> Counter:
+    """Counts of those of ``rows`` (counted by ``counts``) that meet a condition, as ``meets`` of the growing ones do.
+
+    Only the smaller side is counted again; the other is the difference.
+    """
+    if 2 * meets <= sum(n for k, n in counts.items() if k[0] == 0):
+        return _counted(rows.filter(condition))
+    return counts - _counted(rows.filter(~condition))
+
+
 def learn(stats: DataFrame, labels: DataFrame) -> DecisionList:
     """Sequential covering of the documents with quality 0.
 
@@ -131,29 +148,33 @@ def learn(stats: DataFrame, labels: DataFrame) -> DecisionList:
     rows = save(rows.withColumn("places", places), "labelled")
     rules: list[list[Condition]] = []
     barred: set[tuple[str, bool]] = set()
+    # Documents that no rule covers are counted once; what a rule covers is taken off.
+    uncovered = _counted(rows)
     while True:
         left = rows.filter(DecisionList(rules).fired() == 0)
         rule: list[Condition] = []
+        cells, passed = uncovered, [uncovered]
         while True:
-            cells = left.filter(F.col("grows") & _all(rule)).select("bad", F.posexplode("places")).groupBy("pos", "col").agg(F.sum("bad").alias("bad"), F.count("*").alias("n")).collect()
-            at = {(r["pos"], r["col"]): (r["bad"], r["n"] - r["bad"]) for r in cells}
-            p0, n0 = (sum(v[i] for k, v in at.items() if k[0] == 0) for i in (0, 1))
+            p0, n0 = (sum(n for k, n in cells.items() if k[0] == 0 and k[2] == i) for i in (1, 0))
             if not p0 or not n0:
                 break
             best: tuple[float, Condition] | None = None
             for f, m in enumerate(order):
                 below = [0, 0]
                 for j, t in enumerate(thresholds[m]):
-                    b, g = at.get((f, j), (0, 0))
+                    b, g = cells[f, j, 1], cells[f, j, 0]
                     below = [below[0] + b, below[1] + g]
                     for above, (p, n) in ((True, (p0 - below[0], n0 - below[1])), (False, tuple(below))):
                         if not rule and (m, above) in barred:
                             continue
                         if p >= SUPPORT and (best is None or _gain(p0, n0, p, n) > best[0]):
                             best = (_gain(p0, n0, p, n), Condition(m, above, float(t)))
+                            meets = p + n
             if best is None or best[0] <= 0.01 * p0:
                 break
+            cells = _meeting(left.filter(_all(rule)), cells, best[1].column(), meets)
             rule.append(best[1])
+            passed.append(cells)
         if not rule:
             break
         prefixes = [_all(rule[:k]).cast("int") for k in range(1, len(rule) + 1)]
@@ -166,6 +187,7 @@ def learn(stats: DataFrame, labels: DataFrame) -> DecisionList:
             barred.add((rule[0].measure, rule[0].above))  # the next rule begins elsewhere
             continue
         rules.append(rule[:i + 1])
+        uncovered = uncovered - passed[i + 1]
         barred.clear()
     return DecisionList(rules)
 
