@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from catalog import base
-from filingscope.operators import barriers, prices
+from filingscope.operators import barriers, clusters, prices
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -55,6 +55,13 @@ def test_paths_keep_columns_of_their_trade(rows):
         assert sorted((r.trade_id, r.day, r.side) for r in got.collect()) == [("a", 1, "keep"), ("a", 2, "keep"), ("b", 1, None), ("b", 2, None)]
 
 
+def test_blocks_of_cluster_counts_stay_with_their_key(spark, no_broadcast):
+    """Cells become many rows only behind the exchange by their key: nothing above the rows of blocks is shuffled."""
+    cells = base.buys(spark, SMALL).groupBy("ticker", "trade_date", "disclosure_date").agg(F.count("*").alias("n"))
+    text = tree(clusters._earlier_disclosed(cells, ["ticker"], 30))
+    assert "Window" in text and "Exchange" not in text[: text.index("Generate")]
+
+
 def test_paths_are_extended_from_the_earlier_day(spark):
     got = entry.queries()["extend_paths"](spark, SMALL).agg(F.min("date").alias("first")).first()
     assert datetime.date(1996, 6, 30) < got["first"] < datetime.date(1998, 12, 31)
