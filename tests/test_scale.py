@@ -65,3 +65,69 @@ def test_blocks_of_cluster_counts_stay_with_their_key(spark, no_broadcast):
 def test_paths_are_extended_from_the_earlier_day(spark):
     got = entry.queries()["extend_paths"](spark, SMALL).agg(F.min("date").alias("first")).first()
     assert datetime.date(1996, 6, 30) < got["first"] < datetime.date(1998, 12, 31)
+
+
+def test_loops_over_days_stay_out_of_long_generated_code(spark, no_broadcast):
+    """Minima and look-ups in arrays are in projections with lambdas, whose code is cut into methods that the JVM compiles."""
+    indexed = prices.index_prices(base.prices(spark, SMALL))
+    keys = base.buys(spark, SMALL).select(F.col("ticker").alias("symbol"), F.col("disclosure_date").alias("anchor_date")).distinct()
+    touches = barriers.first_touches(prices.anchor_entries(keys, indexed), indexed)
+    lines = [x for x in tree(barriers.decide(touches)).splitlines() if "Project" in x and ("array_min" in x or "slice(" in x)]
+    assert lines and not [x for x in lines if "*(" in x.split("Project")[0]]
+
+
+def test_touches_equal_a_walk_over_the_days(spark, rows):
+    """Random series with gaps, over many blocks, against a plain loop."""
+    import random
+
+    rnd, day0 = random.Random(3), datetime.date(2020, 1, 1)
+    quotes, levels = [], {}
+    for symbol, n in (("A", 31), ("B", 32), ("C", 33), ("D", 200), ("E", 1)):
+        p = 100.0
+        for k in range(n):
+            p *= 1 + rnd.uniform(-0.02, 0.02)
+            low, high = (p - 1, p + 1) if rnd.random() > 0.1 else rnd.choice([(None, p + 9), (p - 9, None), (None, None)])
+            levels.setdefault(symbol, []).append((day0 + datetime.timedelta(k), p, low, high))
+            quotes.append((symbol, day0 + datetime.timedelta(k), p, high, low, p))
+    anchors = [(s, day0 + datetime.timedelta(k - 2)) for s, days in levels.items() for k in range(0, len(days) + 3)] + [("none", day0)]
+    indexed = prices.index_prices(rows("symbol STRING, date DATE, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE", quotes))
+    entries = prices.anchor_entries(rows("symbol STRING, anchor_date DATE", anchors), indexed)
+    got = barriers.first_touches(entries, indexed, stops=[3.0, 10.0], targets=[3.0, 10.0]).collect()
+    assert len(got) == len(anchors)
+    for r in got:
+        path = [(i, *x) for i, x in enumerate(levels.get(r.symbol, []), 1) if x[0] > r.anchor_date]
+        good = [x for x in path if x[3] is not None and x[4] is not None]
+        assert (r.n_rows > 0) == bool(path) and r.lowest == min((x[3] for x in good), default=None)
+        for name, hit in [(f"stop_{s}_0", lambda x, s=s: x[3] <= r.entry_price * (1 - s / 100)) for s in (3, 10)] + [
+                (f"target_{s}_0", lambda x, s=s: x[4] >= r.entry_price * (1 + s / 100)) for s in (3, 10)]:
+            at = next((x for x in good if hit(x)), None)
+            want = None if at is None else (at[0], at[1], min(x[3] for x in good if x[0] <= at[0]))
+            assert (None if r[name] is None else tuple(r[name])) == want, (r, name)
+
+
+def test_few_repeats_leave_the_labelled_rows_where_they_are(spark):
+    """Labels and repeats are written; only the short list of repeats travels."""
+    from catalog import scoring
+
+    text = tree(scoring.repeated(spark, SMALL))
+    assert "BroadcastHashJoin" in text and "hashpartitioning" not in text and "SortMergeJoin" not in text
+
+
+@pytest.mark.parametrize("days", [0, 3, 20])
+def test_main_keys_are_not_written_once_for_each_near_date(rows, day, days):
+    import random
+
+    from filingscope.operators import merge
+
+    rnd = random.Random(5)
+    some = lambda tag, n: [(f"{tag}{i}", rnd.choice(["1", "2", None]), rnd.choice("XY"), "buy", rnd.choice(["compliant", "violation"]),
+                            None if rnd.random() < 0.05 else day("2024-01-01") + datetime.timedelta(rnd.randrange(400)), 1.0) for i in range(n)]
+    schema = "trade_id STRING, filer_id STRING, ticker STRING, transaction_type STRING, filing_violation STRING, trade_date DATE, max_drawdown_disc DOUBLE"
+    main, staged = some("m", 60), some("s", 60)
+    m, s = rows(schema, main), rows(schema, staged)
+    keys, _ = merge._near(m, days)
+    assert keys.count() <= 2 * len({x[1:4] + x[5:6] for x in main if x[5]})
+    near = {x[0]: sum(None not in (x[1], x[5], y[1], y[5]) and x[1:4] == y[1:4] and abs((x[5] - y[5]).days) <= days for y in main) for x in staged}
+    assert {r[0] for r in merge.merge_new_rows(m, s, days).select("trade_id").collect()} == {k for k, n in near.items() if not n}
+    assert {r[0] for r in merge.colliding_rows(m, s, days).select("trade_id").collect()} == {k for k, n in near.items() if n}
+    assert tuple(merge.merge_conflicts(m, s, days).first()) == (sum(n > 0 for n in near.values()), sum(near.values()))
