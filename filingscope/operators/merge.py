@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MERGE_DAYS = 3
@@ -89,20 +89,30 @@ def merge_eligible(staged: DataFrame) -> DataFrame:
 _SAME = ["filer_id", "ticker", "transaction_type"]
 
 
-def _near(main: DataFrame, days: int) -> DataFrame:
-    """Each main (filer, ticker, type, date) with its count, spread over the dates it can collide with.
+#: Days of a bucket at least; a main key enters each bucket that its days reach into, mostly one.
+NEAR_BUCKET = 32
 
-    Turns |date difference| <= days into equality: 2 * days + 1 keys per distinct main key, instead
-    of comparing every pair of a group.
+
+def _near(main: DataFrame, days: int) -> tuple[DataFrame, Column]:
+    """Main keys (filer, ticker, type, date) with their count, and the condition on which a staged row is near.
+
+    Turns |date difference| <= days into equality of buckets: a staged row meets the distinct dates of its bucket alone, and
+    a main key is not written once for each date that it can collide with.
     """
-    return main.filter("trade_date IS NOT NULL").groupBy(*_SAME, "trade_date").agg(F.count("*").alias("m")).select(
-        *_SAME, "m", F.explode(F.sequence(F.date_sub("trade_date", days), F.date_add("trade_date", days))).alias("trade_date")
-    )
+    width = max(NEAR_BUCKET, 2 * days + 1)
+    bucket = lambda day: F.floor(F.unix_date(day) / width)
+    reach = F.sequence(bucket(F.date_sub("trade_date", days)), bucket(F.date_add("trade_date", days)))
+    keys = main.filter("trade_date IS NOT NULL").groupBy(*_SAME, "trade_date").agg(F.count("*").alias("m")).select(
+        *[F.col(c).alias(f"_{c}") for c in (*_SAME, "trade_date")], "m", F.explode(reach).alias("_bucket"))
+    on = bucket(F.col("trade_date")) == F.col("_bucket")
+    for c in _SAME:
+        on = on & (F.col(c) == F.col(f"_{c}"))
+    return keys, on & (F.abs(F.datediff("trade_date", "_trade_date")) <= days)
 
 
 def merge_new_rows(main: DataFrame, staged: DataFrame, days: int = MERGE_DAYS) -> DataFrame:
     """Eligible staged rows without a main row of the same filer, ticker and type within ``days``."""
-    return merge_eligible(staged).join(_near(main, days).select(*_SAME, "trade_date"), [*_SAME, "trade_date"], "left_anti")
+    return merge_eligible(staged).join(*_near(main, days), "left_anti")
 
 
 def merge_staging(main: DataFrame, staged: DataFrame, days: int = MERGE_DAYS) -> DataFrame:
@@ -112,14 +122,15 @@ def merge_staging(main: DataFrame, staged: DataFrame, days: int = MERGE_DAYS) ->
 
 def merge_conflicts(main: DataFrame, staged: DataFrame, days: int = MERGE_DAYS) -> DataFrame:
     """Colliding staged rows and (staged, main) pairs, counted without forming the pairs."""
-    near = _near(main, days).groupBy(*_SAME, "trade_date").agg(F.sum("m").alias("m"))
-    return staged.join(near, [*_SAME, "trade_date"]).agg(
-        F.count("*").alias("colliding_rows"), F.coalesce(F.sum("m"), F.lit(0)).alias("colliding_pairs")
+    at = staged.groupBy(*_SAME, "trade_date").agg(F.count("*").alias("n"))
+    found = at.join(*_near(main, days)).groupBy(*_SAME, "trade_date", "n").agg(F.sum("m").alias("m"))
+    return found.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("colliding_rows"), F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0)).alias("colliding_pairs")
     )
 
 
 def colliding_rows(main: DataFrame, staged: DataFrame, days: int = MERGE_DAYS) -> DataFrame:
-    return staged.join(_near(main, days).select(*_SAME, "trade_date"), [*_SAME, "trade_date"], "left_semi")
+    return staged.join(*_near(main, days), "left_semi")
 
 
 def restrict_children(paths: DataFrame, trades: DataFrame, how: str = "keep") -> DataFrame:
