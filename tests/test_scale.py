@@ -131,3 +131,43 @@ def test_main_keys_are_not_written_once_for_each_near_date(rows, day, days):
     assert {r[0] for r in merge.merge_new_rows(m, s, days).select("trade_id").collect()} == {k for k, n in near.items() if not n}
     assert {r[0] for r in merge.colliding_rows(m, s, days).select("trade_id").collect()} == {k for k, n in near.items() if n}
     assert tuple(merge.merge_conflicts(m, s, days).first()) == (sum(n > 0 for n in near.values()), sum(near.values()))
+
+
+def test_scanned_touches_equal_windows_and_arrays(spark, rows, monkeypatch):
+    """Entries and touches of one sorted pass against the windows and the join, with gaps, NaN, days without a date and small batches."""
+    import random
+
+    from filingscope.operators import scan
+
+    rnd, day0, nan = random.Random(7), datetime.date(2020, 1, 1), float("nan")
+    quotes, anchors = [], [("none", day0)]
+    for symbol, n in [("A", 1), ("B", 31), ("C", 64), ("D", 300)] + [(f"S{k}", k) for k in range(1, 20)]:
+        p, at = 100.0, sorted(rnd.sample(range(2 * n), n))
+        for k in at:
+            p *= 1 + rnd.uniform(-0.04, 0.04)
+            high, low = (p + 1, p - 1) if rnd.random() > 0.1 else rnd.choice([(None, p), (p, None), (nan, p - 1), (p + 1, nan)])
+            quotes.append((symbol, day0 + datetime.timedelta(k), rnd.choice([p, p, p, None, 0.0, nan]), high, low, rnd.choice([p, p, p, None])))
+        anchors += [(symbol, day0 + datetime.timedelta(k)) for k in range(-2, 2 * n + 3)]
+    # A symbol in Z has a first day without a date, one in Y only such a day.
+    quotes += [("Z", None, 5.0, 6.0, 4.0, 5.5), ("Z", day0, 5.0, 6.0, 4.0, 5.0), ("Y", None, 5.0, 6.0, 4.0, 5.5), (None, day0, 1.0, 1.0, 1.0, 1.0)]
+    anchors += [(s, day0 + datetime.timedelta(k)) for s in "YZ" for k in (-1, 0, 1)]
+    table = rows("symbol STRING, date DATE, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE", quotes)
+    keys = rows("symbol STRING, anchor_date DATE", anchors)
+    indexed = prices.index_prices(table)
+    want = barriers.first_touches(prices.anchor_entries(keys, indexed), indexed, stops=[3.0, 10.0], targets=[3.0, 10.0])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        monkeypatch.setattr(scan, "ROWS", 50)
+        got = scan.scan_touches(keys, table, {"stop_3_0": 3.0, "stop_10_0": 10.0}, {"target_3_0": 3.0, "target_10_0": 10.0})
+        pairs = [{(r.symbol, r.anchor_date): str(tuple(r[:-1])) + str(r.n_rows > 0) for r in df.collect()} for df in (want.select(*got.columns), got)]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert pairs[0] == pairs[1] and len(pairs[0]) == len(anchors)
+
+
+def test_labels_shuffle_price_days_once(spark, no_broadcast):
+    """Price days meet their anchors in one exchange by symbol, without a window or a join."""
+    keys = base.buys(spark, SMALL).select(F.col("ticker").alias("symbol"), F.col("disclosure_date").alias("anchor_date")).distinct()
+    text = tree(barriers.label_anchors(keys, base.prices(spark, SMALL)))
+    assert "Window" not in text and "hashpartitioning(symbol" in text[: text.index("Union")]
+    assert text[: text.index("Union")].count("Exchange") == 1
