@@ -171,3 +171,21 @@ def test_labels_shuffle_price_days_once(spark, no_broadcast):
     text = tree(barriers.label_anchors(keys, base.prices(spark, SMALL)))
     assert "Window" not in text and "hashpartitioning(symbol" in text[: text.index("Union")]
     assert text[: text.index("Union")].count("Exchange") == 1
+
+
+def test_only_pairs_with_several_buys_are_folded(spark, rows, monkeypatch):
+    """A pair's only buy stays out of the fold; null filers are a pair, and an id that opens elsewhere is no repeat."""
+    from filingscope.operators import flags
+    from filingscope.plans import night
+
+    data = [("a", "f", "X", "2024-01-02", "2024-02-02"), ("b", "f", "X", "2024-01-05", "2024-02-05"), ("c", "f", "Y", "2024-01-02", None), ("d", None, "X", "2024-01-02", None),
+            ("e", None, "X", "2024-01-03", None), ("t", "f", "X", "2024-01-06", None), ("t", "g", "X", "2024-01-06", None), ("u", "f", "X", "2024-01-07", None)]
+    bought = [(i, f, x, "2024-01-01", d, c, "buy", "compliant", "stock", 1.0) for i, f, x, d, c in data]
+    labelled = rows("trade_id STRING, filer_id STRING, ticker STRING, trade_date DATE, disclosure_date DATE, close_date_disc DATE, transaction_type STRING, "
+                    "filing_violation STRING, asset_type STRING, price_at_disclosure_date DOUBLE", bought)
+    folded, fold = [], flags.flag_repeats
+    monkeypatch.setattr(flags, "flag_repeats", lambda df: folded.append({r.trade_id for r in df.collect()}) or fold(df))
+    got = sorted(r.trade_id for r in night.repeats(labelled, labelled).collect())
+    assert folded == [{"a", "b", "d", "e", "t", "u"}] and got == ["b", "e", "u"]
+    want = fold(flags.qualifying_buys(labelled)).filter("repeat_before_close = 1")
+    assert got == sorted(r.trade_id for r in want.collect())
