@@ -189,3 +189,52 @@ def test_only_pairs_with_several_buys_are_folded(spark, rows, monkeypatch):
     assert folded == [{"a", "b", "d", "e", "t", "u"}] and got == ["b", "e", "u"]
     want = fold(flags.qualifying_buys(labelled)).filter("repeat_before_close = 1")
     assert got == sorted(r.trade_id for r in want.collect())
+
+
+def test_a_trade_with_an_id_of_its_own_is_not_joined_to_find_its_label(spark, rows, no_broadcast):
+    """The plain join moves all trades by id; here only hashes of ids and the rows of shared ids move.  Rows are those of the join."""
+    from filingscope.operators import flags
+
+    schema = "trade_id STRING, filer_id STRING, transaction_type STRING"
+    trades = rows(schema, [("a", "1", "buy"), ("b", "1", "sell"), ("c", "1", "buy"), ("c", "2", "buy"), ("d", "1", "buy"), ("d", "1", "sell"),
+                           ("e", "3", None), ("f", "3", "sell"), ("f", "4", "sell"), (None, "5", "buy"), (None, "6", "sell")])
+    one = rows(schema, [("a", "1", "buy"), (None, "5", "buy"), ("b", "1", "sell")])
+    for table in (trades, one, trades.limit(0)):
+        buys = table.filter("transaction_type = 'buy'").withColumn("price", F.col("filer_id").cast("double")).withColumn("flag", F.lit(1))
+        out = flags.with_buy_columns(table, buys, ["price", "flag"])
+        want = table.join(buys.select("trade_id", "price", "flag"), "trade_id", "left").select(out.columns)
+        assert sorted(map(str, out.collect())) == sorted(map(str, want.collect()))
+    text = tree(out)
+    assert not [line for line in text.splitlines() if "hashpartitioning(trade_id" in line and "Left" in line]
+
+
+def test_funnel_moves_only_rows_that_pass_the_filters_on_their_own_columns(spark, rows, no_broadcast):
+    from filingscope.plans import reports
+
+    schema = ("filer_id STRING, ticker STRING, trade_date DATE, disclosure_date DATE, transaction_type STRING, filing_violation STRING, asset_type STRING, "
+              "price_at_disclosure_date DOUBLE, repeat_before_close INT")
+    good = ("1", "A", "2024-01-01", "2024-01-05", "buy", "compliant", "stock", 1.0, 0)
+    change = lambda **new: tuple(new.get(f.split()[0], v) for f, v in zip(schema.split(", "), good))
+    table = rows(schema, [
+        good, good, change(filer_id=None), change(transaction_type="sell"), change(transaction_type=None), change(filing_violation="violation"),
+        change(price_at_disclosure_date=None), change(asset_type="etf"), change(trade_date=None), change(disclosure_date=None), change(repeat_before_close=1),
+        *[change(filer_id="2", ticker=t, disclosure_date=f"2024-02-0{i}") for i, t in enumerate("ABC", 1)],
+        *[change(filer_id="3", ticker=t, trade_date=f"2024-02-0{i}") for i, t in enumerate("ABC", 1)]])
+    out = reports.filter_funnel(table, 3, 3)
+    assert [r.survivors for r in out.orderBy("step").collect()] == [17, 15, 14, 13, 13, 12, 11, 8, 5, 4, 3]
+    assert not [line for line in tree(out).splitlines() if "Project" in line and "asset_type" in line and "ticker" in line]
+    assert [r.survivors for r in reports.filter_funnel(table.limit(0), 3, 3).orderBy("step").collect()] == [0] * 11
+    assert [r.survivors for r in reports.filter_funnel(table.filter("transaction_type = 'sell'"), 3, 3).orderBy("step").collect()] == [1] + [0] * 10
+
+
+def test_few_baskets_leave_the_pool_of_repeats_where_it_is(spark, monkeypatch):
+    """Baskets are written, so that their size is known before rows are dealt out for them."""
+    from catalog import scoring
+    from filingscope.plans import night
+
+    plans = []
+    keep = night.materialize
+    monkeypatch.setattr(night, "materialize", lambda df: plans.append(tree(df)) or keep(df))
+    night.repeats(base.labelled(spark, SMALL), base.trade_table(spark, SMALL), scoring.PARAMS)
+    pool = next(text for text in plans if "LeftAnti" in text)
+    assert "BroadcastHashJoin" in pool and "hashpartitioning" not in pool
