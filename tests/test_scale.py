@@ -238,3 +238,17 @@ def test_few_baskets_leave_the_pool_of_repeats_where_it_is(spark, monkeypatch):
     night.repeats(base.labelled(spark, SMALL), base.trade_table(spark, SMALL), scoring.PARAMS)
     pool = next(text for text in plans if "LeftAnti" in text)
     assert "BroadcastHashJoin" in pool and "hashpartitioning" not in pool
+
+
+def test_a_positions_trade_ids_are_moved_once(spark, rows):
+    from filingscope.plans import grid
+
+    schema = ("trade_id STRING, filer_id STRING, ticker STRING, disclosure_date DATE, transaction_type STRING, filing_violation STRING, size_midpoint BIGINT, "
+              "price_at_disclosure_date DOUBLE, max_drawdown_disc DOUBLE, days_to_exit_disc INT")
+    row = lambda tid, filer, ticker, dd, days: (tid, filer, ticker, "2024-01-05", "buy", "compliant", 1, 1.0, dd, days)
+    table = rows(schema, [
+        row("b", "1", "A", -10.0, 3), row("a", "1", "A", -2.0, None), row("c", "1", "B", -4.0, 3), row(None, "1", "C", -4.0, 3),
+        row(None, "2", "A", -10.0, 3), row("z", "2", "A", -3.0, 2)])
+    out = grid.stored_grid_cell(table)
+    assert {r.filer_id: tuple(r)[1:] for r in out.collect()} == {"1": (3, 1, 0, 100.0, -4.0), "2": (1, 1, 0, 100.0, -3.0)}
+    assert tree(grid.stored_grid_cell(table)).count("partial_min_by") == 1
