@@ -252,3 +252,14 @@ def test_a_positions_trade_ids_are_moved_once(spark, rows):
     out = grid.stored_grid_cell(table)
     assert {r.filer_id: tuple(r)[1:] for r in out.collect()} == {"1": (3, 1, 0, 100.0, -4.0), "2": (1, 1, 0, 100.0, -3.0)}
     assert tree(grid.stored_grid_cell(table)).count("partial_min_by") == 1
+
+
+def test_written_tables_are_compressed_with_zstd(spark, tmp_path):
+    import pathlib
+
+    import pyarrow.parquet as pq
+
+    from filingscope.session import materialize
+
+    path = materialize(spark.range(1000)).inputFiles()[0].removeprefix("file:")
+    assert pq.ParquetFile(pathlib.Path(path)).metadata.row_group(0).column(0).compression == "ZSTD"
