@@ -263,3 +263,57 @@ def test_written_tables_are_compressed_with_zstd(spark, tmp_path):
 
     path = materialize(spark.range(1000)).inputFiles()[0].removeprefix("file:")
     assert pq.ParquetFile(pathlib.Path(path)).metadata.row_group(0).column(0).compression == "ZSTD"
+
+
+def test_labels_of_both_anchors_come_from_one_scan(spark, rows, no_broadcast, monkeypatch):
+    """Price days meet the anchors of both kinds in one pass; trades take written labels, without windows or arrays of days.  Entry at the close or the next open."""
+    plans, keep = [], barriers.materialize
+    monkeypatch.setattr(barriers, "materialize", lambda df: plans.append(tree(df)) or keep(df))
+    trades = rows("trade_id STRING, ticker STRING, trade_date DATE, disclosure_date DATE", [
+        ("a", "X", "2024-01-01", "2024-01-01"), ("b", "X", "2024-01-02", None), ("c", "none", "2024-01-01", "2024-01-02"), ("d", None, "2024-01-01", "2024-01-02"),
+        ("a", "X", "2024-01-01", "2024-01-01"), ("e", "X", "2023-12-31", "2024-01-03")])
+    quotes = rows("symbol STRING, date DATE, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE", [
+        ("X", "2024-01-01", 100.0, 100.0, 100.0, 100.0), ("X", "2024-01-02", 104.0, 111.0, 96.0, 105.0), ("X", "2024-01-03", 105.0, 105.0, 93.0, 94.0)])
+    out = barriers.label_both_anchors(trades, quotes)
+    cols = ("outcome_trade", "days_to_exit_trade", "max_drawdown_before_profit", "drawdown_trade_5pct", "outcome_disc", "days_to_exit_disc", "max_drawdown_disc")
+    got = sorted((r.trade_id, *[r[c] for c in cols]) for r in out.collect())
+    nothing = ("open", None, None, None)
+    a = ("a", "win", 1, -4.0, 0, "loss", 2, -10.0)
+    assert got == [a, a, ("b", "loss", 1, -10.0, 1, None, None, None), ("c", *nothing, *nothing[:3]), ("d", *[None] * 7), ("e", *nothing, *nothing[:3])]
+    assert len(plans) == 1 and plans[0].count("MapInArrow") == 1 and "Window" not in plans[0]
+    assert "Window" not in tree(out) and "MapInArrow" not in tree(out)
+
+
+def test_a_grid_reads_price_days_once_and_only_for_positions_of_the_size(spark, rows, no_broadcast, monkeypatch):
+    from filingscope.plans import grid
+
+    asked, scan = [], grid.scan_touches
+    monkeypatch.setattr(grid, "scan_touches", lambda keys, *a: asked.append({r.symbol for r in keys.collect()}) or scan(keys, *a))
+    trades = rows("filer_id STRING, ticker STRING, disclosure_date DATE, transaction_type STRING, filing_violation STRING, size_midpoint BIGINT", [
+        ("1", "X", "2024-01-01", "buy", "compliant", 5), ("1", "X", "2024-01-01", "buy", "compliant", 20), ("2", "Y", "2024-01-01", "buy", "compliant", 5)])
+    quotes = rows("symbol STRING, date DATE, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE", [
+        (s, f"2024-01-0{k}", 100.0, high, low, 100.0) for s in "XY" for k, high, low in ((1, 100.0, 100.0), (2, 104.0, 96.0), (3, 112.0, 89.0))])
+    out = grid.barrier_grid(trades, quotes, [(5.0, 10.0), (20.0, 10.0)], min_size=10)
+    text = tree(out)
+    assert sorted(map(tuple, out.collect())) == [("1", 5.0, 10.0, 1, 0, 1, 0.0, None), ("1", 20.0, 10.0, 1, 1, 0, 100.0, -11.0)]
+    assert asked == [{"X"}]
+    assert "Window" not in text and text.count("MapInArrow") == 1
+
+
+def test_shuffles_of_a_written_table_leave_the_disk(spark):
+    import pathlib
+    import time
+
+    from filingscope.session import FREED, materialize
+
+    folder = pathlib.Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+    files = lambda: {f.name for f in folder.rglob("shuffle_*.data")}
+    df, before = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), files()
+    table = materialize(df)
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before
+    assert spark.conf.get(FREED, None) is None
+    # The frame itself may still be read: what it needs is computed again.
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, table.collect()))
