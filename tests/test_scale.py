@@ -317,3 +317,51 @@ def test_shuffles_of_a_written_table_leave_the_disk(spark):
     assert spark.conf.get(FREED, None) is None
     # The frame itself may still be read: what it needs is computed again.
     assert sorted(map(tuple, df.collect())) == sorted(map(tuple, table.collect()))
+
+
+def test_forward_returns_multiply_neither_days_nor_keys(spark, rows, no_broadcast, monkeypatch):
+    """Nearest closes of one sorted pass against the table of all days with a price; the plan has no rows for each offset or day."""
+    import random
+
+    rnd, day0, plans, keep = random.Random(11), datetime.date(2024, 1, 1), [], prices.materialize
+    at = lambda k: day0 + datetime.timedelta(k)
+    quotes = [(s, at(k), rnd.choice([None, 10.0, 20.5, 30.12346])) for s in "ABCD" for k in range(40) if rnd.random() < 0.3]
+    quotes += [("D", None, 5.0), ("E", None, 5.0), (None, at(3), 7.0)]
+    table = rows("symbol STRING, date DATE, close DOUBLE", quotes)
+    dates = [(s, at(k)) for s in ["A", "B", "C", "D", "E", "none", None] for k in range(-12, 45)]
+    trades = rows("trade_id STRING, ticker STRING, trade_date DATE, disclosure_date DATE", [
+        (f"{i}", s, d, None if i % 9 == 0 else d + datetime.timedelta(i % 5)) for i, (s, d) in enumerate(dates + dates[:5])])
+    monkeypatch.setattr(prices, "materialize", lambda df: plans.append(tree(df)) or keep(df))
+    got = prices.forward_returns(trades, table, (3, 7)).collect()
+    near = {(r.symbol, r.date): round(r.close, 4) for r in prices.nearest_days(table).collect()}
+    assert len(got) == len(trades.collect()) and len({r.price_trade for r in got}) > 3
+    for r in got:
+        for tag, on in (("trade", r.trade_date), ("disc", r.disclosure_date)):
+            p = [None if None in (on, r.ticker) else near.get((r.ticker, on + datetime.timedelta(o))) for o in (0, 3, 7)]
+            assert [r[f"price_{tag}"], r[f"price_{tag}_3d"], r[f"price_{tag}_7d"]] == p
+            assert (r[f"return_{tag}_7d"] is None) == (not p[0] or p[2] is None)
+    assert len(plans) == 1 and plans[0].count("Generate") == 1 and "Window" not in plans[0] and "MapInArrow" in plans[0]
+
+
+def test_signals_move_rows_once_for_their_cluster_count(spark, rows, no_broadcast, monkeypatch):
+    """Counts of cells are written; a row whose id no other has takes its cell's count where it is asked for, the others still meet by id.  Rows are those of the join."""
+    from filingscope.operators import flags
+
+    cols = "trade_id STRING, filer_id STRING, ticker STRING, trade_date DATE, disclosure_date DATE, transaction_type STRING, filing_violation STRING, price_at_disclosure_date DOUBLE"
+    some = [("a", "1", "X", 1, 5), ("b", "2", "X", 2, 6), ("c", "3", "X", 3, 7), ("d", None, "X", 3, 7), ("e", "1", "Y", 3, 7), (None, "4", "X", 3, 8), (None, "5", "X", 3, 8), ("f", "6", None, 3, 8),
+            ("t", "7", "X", 3, 9), ("t", "7", "X", 3, 9), ("t", "8", "X", 4, 10)]
+    data = [(i, f, x, day(t), day(u), "buy", "compliant", 1.0) for i, f, x, t, u in some] + [
+        ("t", "9", "X", day(4), day(20), "buy", "violation", 1.0), ("g", "9", "X", day(4), day(20), "buy", "violation", 1.0), ("h", "9", "X", None, day(20), "buy", "compliant", 1.0)]
+    for part in (data, data[:5], data[5:6] + data[:2]):
+        table = rows(cols, part)
+        counted = clusters.cluster_count_td(flags.qualifying_buys(table)).select("trade_id", "cluster_count_td")
+        want = table.join(counted, "trade_id", "left")
+        got = clusters.with_cluster_count_td(table, flags.qualifying(table))
+        assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    # Only rows of shared ids are dealt out by id, and no window is left to be run with the rows.
+    text = tree(clusters.with_cluster_count_td(table, flags.qualifying(table)))
+    assert "Window" not in text and not [x for x in text.splitlines() if "SortMergeJoin [trade_id" in x and "LeftOuter" in x and "cluster" in x]
+
+
+def day(k):
+    return datetime.date(2024, 1, k)
